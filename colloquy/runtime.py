@@ -49,3 +49,12 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint df for broadcast when its estimated size is under limit; else leave the join to Catalyst."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly per-row work at least as many partitions as there are cores, when the scan has fewer.
+
+    A scan of many files is left as it is; only a table of fewer splits than cores is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
