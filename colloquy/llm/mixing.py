@@ -52,10 +52,10 @@ def mix(
     goal = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.greatest(F.max(F.coalesce("max_repeats", F.lit(1))), F.lit(0)).alias("max_repeats"))
     want = {r.source: (float(r.target_share or 0), int(r.max_repeats)) for r in goal.collect() if r.source is not None}
     sized = runtime.stored(
-        docs.select("doc_id", "source", tk.token_count(F.col("text"), tokenizer).alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).where("tokens > 0 or source is not null"),
+        runtime.spread(docs.select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", tk.token_count(F.col("text"), tokenizer).alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h")),
         "p8-sizes",
     )
-    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).where(F.col("source").isin(list(want)) | F.lit(False))
+    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).where(F.col("source").isin(list(want)))
     everything = sized.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     total, n = int(everything.t or 0), int(everything.n)
     have = {r.source: int(r.tokens) for r in per_source.collect()}  # at most one row per target
@@ -82,6 +82,7 @@ def mix(
     )
     mixed = queued.select("doc_id", "source", F.col("pass_no").cast("int").alias("pass_no"), "tokens", "finish")
     actual = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.max("pass_no").alias("last_pass"))
+    mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))
     report = (
         spark.createDataFrame([(s, w, r, have.get(s, 0)) for s, (w, r) in want.items()], "source string, target_share double, max_repeats int, source_tokens bigint")
         .join(actual, "source", "left")
@@ -90,10 +91,11 @@ def mix(
             "target_share",
             "max_repeats",
             "source_tokens",
-            F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
+            mixed_tokens.alias("mixed_tokens"),
             F.coalesce(F.col("last_pass") + 1, F.lit(0)).alias("passes"),
-            F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.sum(F.coalesce("mixed_tokens", F.lit(0))).over(Window.partitionBy()), 6).alias("actual_share"),
-            (F.col("source_tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(float(total))).alias("short"),
+            F.round(mixed_tokens / F.sum(mixed_tokens).over(Window.partitionBy()), 6).alias("actual_share"),
+            # used up, and still under its share
+            ((mixed_tokens >= F.col("source_tokens") * F.col("max_repeats")) & (mixed_tokens < F.col("target_share") * F.lit(float(total)))).alias("short"),
         )
     )
     return mixed.orderBy("finish", "source", "doc_id", "pass_no"), report

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, packing, pieces
+from . import languages, mixing, packing, pieces
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -15,6 +15,26 @@ def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return int(r.m), int(r.o or 0)
 
 
+def imported(spark: SparkSession, d: str) -> DataFrame:
+    """The imports as records; one delivered twice counts once."""
+    return table(spark, d, "imports").groupBy("import_id").agg(F.min_by(F.struct("content", "lang", "meeting_id"), "received_at").alias("r")).select(
+        F.lit("imports").alias("origin"), F.col("import_id").cast("string").alias("record_id"), F.col("r.content").alias("text"), F.col("r.lang").alias("lang"), F.col("r.meeting_id").alias("meeting_id")
+    )
+
+
+def transcribed(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
+    return table(spark, d, "transcripts").select(F.lit("transcripts").alias("origin"), F.col("meeting_id").alias("record_id"), F.col(column).alias("text"), "lang", "meeting_id")
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    profiles = languages.train(languages.sample_lines(table(spark, d, "documents")))
+    return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), profiles)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(p3_languages(spark, d)).select("origin", "record_id", "first_line", "lang")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), limits(spark, d, "container")[0])
 
