@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import languages, mixing, packing, pieces
+from . import encodings, languages, mixing, packing, pieces
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -27,14 +27,24 @@ def transcribed(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    profiles = languages.train(languages.sample_lines(table(spark, d, "documents")))
-    return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), profiles)
+    docs = table(spark, d, "documents")
+    profiles = languages.train(languages.sample_lines(docs))
+    return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), profiles, encodings.model_of(docs))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p3_languages(spark, d)).select("origin", "record_id", "first_line", "lang")
 
 
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    records = imported(spark, d).unionByName(transcribed(spark, d, "md_text"))
+    return encodings.repairs(records, encodings.model_of(table(spark, d, "documents")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_repaired(spark, d).select("origin", "record_id", "line_no")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), limits(spark, d, "container")[0])
 
