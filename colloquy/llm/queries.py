@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encodings, languages, mixing, packing, pieces
+from . import encodings, languages, mails, mixing, packing, pieces
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -45,6 +45,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_repaired(spark, d).select("origin", "record_id", "line_no")
 
 
+def p6_written(spark: SparkSession, d: str) -> DataFrame:
+    return mails.newly_written(table(spark, d, "imports"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_written(spark, d).select("import_id", "line_no")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), limits(spark, d, "container")[0])
 
