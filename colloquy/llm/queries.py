@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import encodings, languages, mails, mixing, packing, pieces
+from ..runtime import small, table
+from . import encodings, languages, mails, mixing, packing, pieces, turns
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -26,6 +26,34 @@ def transcribed(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
     return table(spark, d, "transcripts").select(F.lit("transcripts").alias("origin"), F.col("meeting_id").alias("record_id"), F.col(column).alias("text"), "lang", "meeting_id")
 
 
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged lines; a segment delivered again counts once, by its latest delivery."""
+    people = (
+        table(spark, d, "meetings").select("meeting_id", "participants")
+        .unionByName(table(spark, d, "rooms").select("meeting_id", "participants"))
+        .groupBy("meeting_id")
+        .agg(F.max("participants").alias("participants"))
+    )
+    people = small(people)
+    raw = table(spark, d, "segments").select("meeting_id", "seg_idx", "start_sec", "speaker", "text", "received_at", "row_id")
+    segments = (
+        raw.groupBy("meeting_id", "seg_idx")
+        .agg(F.max_by(F.struct("start_sec", "speaker", "text"), F.struct("received_at", "row_id")).alias("r"))
+        .join(people, "meeting_id", "left")
+        .select(F.col("meeting_id").alias("record_id"), "seg_idx", "r.start_sec", "r.speaker", "r.text", "participants")
+    )
+    texts = imported(spark, d).unionByName(transcribed(spark, d).join(raw.select("meeting_id").distinct(), "meeting_id", "leftanti").select("origin", "record_id", "text", "lang", "meeting_id"))
+    return turns.lines_of(segments, texts.join(people, "meeting_id", "left"))
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(p2_lines(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turn_starts(p2_lines(spark, d))
+
+
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     profiles = languages.train(languages.sample_lines(docs))
