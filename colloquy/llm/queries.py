@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import small, table
-from . import encodings, languages, mails, mixing, packing, pieces, turns
+from . import encodings, languages, mails, mixing, packing, personal, pieces, turns
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -64,6 +64,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p3_languages(spark, d)).select("origin", "record_id", "first_line", "lang")
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of imports and transcripts, and every fact; an entry saved twice counts once."""
+    texts = imported(spark, d).unionByName(transcribed(spark, d)).select("origin", "record_id", F.lit(-1).alias("fact_no"), "text")
+    entries = table(spark, d, "knowledge").groupBy("entity_id").agg(F.max_by("facts", "updated").alias("facts"))
+    facts = entries.select(F.lit("knowledge").alias("origin"), F.col("entity_id").alias("record_id"), F.posexplode(F.col("facts.text")).alias("fact_no", "text"))
+    return texts.unionByName(facts)
+
+
+def p4_mentions(spark: SparkSession, d: str) -> DataFrame:
+    rooms, meetings = (table(spark, d, x).select("participants") for x in ("rooms", "meetings"))
+    people = personal.people_of(rooms.unionByName(meetings), table(spark, d, "knowledge"))
+    return personal.mentions(p4_records(spark, d), people)
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(p4_records(spark, d), p4_mentions(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_mentions(spark, d).select("origin", "record_id", "fact_no", "start_pos", "kind")
+
+
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     records = imported(spark, d).unionByName(transcribed(spark, d, "md_text"))
     return encodings.repairs(records, encodings.model_of(table(spark, d, "documents")))
