@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import small, table
-from . import encodings, languages, mails, mixing, packing, personal, pieces, turns
+from . import encodings, languages, mails, mixing, names, packing, personal, pieces, turns
 
 
 def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -26,6 +26,14 @@ def transcribed(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
     return table(spark, d, "transcripts").select(F.lit("transcripts").alias("origin"), F.col("meeting_id").alias("record_id"), F.col(column).alias("text"), "lang", "meeting_id")
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.groups(table(spark, d, "knowledge"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(p1_groups(spark, d))
+
+
 def p2_lines(spark: SparkSession, d: str) -> DataFrame:
     """Tagged lines; a segment delivered again counts once, by its latest delivery."""
     people = (
