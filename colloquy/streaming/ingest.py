@@ -48,20 +48,18 @@ def guarded(chunks: DataFrame) -> DataFrame:
 def guarded_batch(chunks: DataFrame) -> DataFrame:
     """The same for chunks already there, in the order they came (n): (rec_id, n, seq, status).
 
-    A chunk is accepted if it is the next number after those accepted before: that number is one more than the
-    greatest that follows on from 0 without a hole among the first arrivals.
+    What becomes of a chunk depends on all before it, so a recording is one fold; it runs over (n, seq) only, one row
+    for every few seconds of sound.
     """
-    from ..operators.ordered import Ordered
-
-    first = chunks.groupBy("rec_id", "seq").agg(F.min("n").alias("n"))
-    # a number can be accepted once all before it have been: its acceptance is at the latest first arrival up to it
-    o = Ordered(first, ["rec_id"], ["seq"]).running_sum("k", F.lit(1)).running_max("ready", F.col("n"))
-    reach = o.df.where((F.col("k") - 1 == F.col("seq")) & (F.col("ready") == F.col("n"))).select("rec_id", "seq", "n")
-    # in-order first arrivals form the accepted prefix only as far as no number is missing before them
-    ok = Ordered(reach, ["rec_id"], ["seq"]).running_sum("k", F.lit(1)).df.where(F.col("k") - 1 == F.col("seq")).select("rec_id", "seq", F.col("n").alias("at"))
-    j = chunks.join(ok, ["rec_id", "seq"], "left")
-    status = F.when(F.col("n") == F.col("at"), "ok").when(F.col("n") > F.col("at"), "dup").otherwise("gap")
-    return j.select("rec_id", "n", "seq", status.alias("status"))
+
+    def fold(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        nxt, out = 0, []
+        for n, seq in p.sort_values("n")[["n", "seq"]].itertuples(index=False):
+            out.append((key[0], n, seq, "dup" if seq < nxt else "gap" if seq > nxt else "ok"))
+            nxt += seq == nxt
+        return pd.DataFrame(out, columns=["rec_id", "n", "seq", "status"])
+
+    return chunks.select("rec_id", "n", "seq").groupBy("rec_id").applyInPandas(fold, "rec_id string, n bigint, seq bigint, status string")
 
 
 def without_duplicates(chunks: DataFrame, late: str = "10 minutes") -> DataFrame:
