@@ -45,10 +45,10 @@ def greedy(items: DataFrame, keys: list[str], rank: str, size: str, limit: int,
                 F.struct((acc["used"] + x["n"]).alias("used"), F.array_append(acc["got"], x).alias("got"), F.lit(False).alias("fresh")),
             ).otherwise(acc),
         )
-        done = runtime.cut(nxt.groupBy(*keys).agg(steps.alias("s"), F.max(rank).alias("end")))
+        done = runtime.cut(nxt.groupBy(*keys).agg(steps.alias("s"), F.max(rank).alias("__end")))
         if done.isEmpty():
             break
-        got = done.select(*keys, F.explode("s.got").alias("g")).select(*keys, F.col("g.rank").alias(rank))
+        got = done.select(*keys, F.explode("s.got").alias("__g")).select(*keys, F.col("__g.rank").alias(rank))
         taken = got if taken is None else taken.unionByName(got)
-        state = runtime.cut(state.join(done.select(*keys, F.col("s.used").alias("u"), "end"), keys, "left").select(*keys, F.coalesce("u", "used").alias("used"), F.coalesce("end", "last").alias("last")))
+        state = runtime.cut(state.join(done.select(*keys, F.col("s.used").alias("__u"), "__end"), keys, "left").select(*keys, F.coalesce("__u", "used").alias("used"), F.coalesce("__end", "last").alias("last")))
     return items.join(taken, [*keys, rank], "leftsemi") if taken is not None else items.where(F.lit(False))

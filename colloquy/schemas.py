@@ -32,7 +32,7 @@ AUDIO = (".m4a", ".mp3", ".wav", ".mp4", ".aac", ".flac", ".ogg", ".opus", ".web
 #: Section headings by language (people, projects, commitments, terms; glossary parts; labels).
 LOCALES = {
     "en": {
-        "sections": {"people": "People", "projects": "Projects & clients", "commitments": "Commitments & decisions", "terms": "Terms", "names": "Names", "glossary_terms": "Terms", "glossary_title": "Glossary", "misheard": "misheard", "longterm_title": "Long-term memory", "transcript": "Transcript"},
+        "sections": {"people": "People", "projects": "Projects & clients", "commitments": "Commitments & decisions", "terms": "Terms & usage", "names": "Names", "glossary_terms": "Terms", "glossary_title": "Glossary", "misheard": "misheard", "longterm_title": "Long-term memory", "transcript": "Transcript"},
         "msg": {"participants": "Participants", "participants_empty": "(not recorded)", "date": "Date", "duration": "Duration", "source": "Source", "status": {"open": "open", "done": "done", "cancelled": "cancelled", "unknown": "unknown"}},
         "templates": {"minutes": "Minutes", "actions": "Actions", "mood": "Mood", "tension": "Tension", "bias": "Bias", "topics": "Topics", "client": "Client", "hiring": "Hiring", "followup": "Follow-up"},
     },
