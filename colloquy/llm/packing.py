@@ -1,7 +1,7 @@
 """Problem 7: pack documents into containers of fixed token capacity.
 
 Conflict-constrained best fit. Items are spread evenly over shards by a hash of their id, so no source and no
-group of copies makes a shard larger than another, and each shard is packed on its own: largest items first, each
+group of copies makes a shard larger than another, and each shard is packed on its own: texts of many copies first, then the largest items, each
 into the tightest open container (found by bisection in the residual-ordered list) whose bitmaps admit it. A
 container's bitmaps say which sources and which duplicate clusters it holds: copies of one text never share a
 container, and neither do sources named together in ``source_conflicts``.
@@ -63,7 +63,8 @@ class Shard:
 def pack(items: Iterable[tuple[int, str, str]], capacity: int, source_conflicts: Iterable[tuple[str, str]] = ()) -> list[int]:
     """Container number of each (size, source, cluster key); sizes are at most capacity.
 
-    Ties are broken by source, cluster key and place in the input. An item of size 0 takes any container.
+    Texts of many copies come first, as every copy needs a container of its own that others then fill; then the largest
+    items. Ties are broken by source, cluster key and place in the input. An item of size 0 takes any container.
     """
     items = list(items)
     names = {s: i for i, s in enumerate(sorted({x[1] for x in items} | {s for p in source_conflicts for s in p}))}
@@ -79,7 +80,8 @@ def pack(items: Iterable[tuple[int, str, str]], capacity: int, source_conflicts:
         seen[cluster] = seen.get(cluster, 0) + len(who)
     bits = {c: i for i, c in enumerate(sorted(c for c, n in seen.items() if n > 1))}  # alone: no conflict, no bit
     shard, out = Shard(capacity, bad), [0] * len(items)
-    for (size, source, cluster), who in sorted(groups.items()):
+    many = lambda c: -seen[c] if seen[c] > 1 else 0
+    for (size, source, cluster), who in sorted(groups.items(), key=lambda g: (many(g[0][2]), g[0])):
         for i, b in zip(who, shard.place(-size, names[source], bits.get(cluster, -1), len(who)), strict=True):
             out[i] = b
     return out
