@@ -152,3 +152,12 @@ def numbered_names(names: DataFrame, key: str, name: str) -> DataFrame:
     number = F.aggregate(F.coalesce("held", F.array().cast("array<int>")), F.col("__n"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
     again = more.join(held, ["__s", "__e"], "left").withColumn("unique_name", F.concat("__s", F.lit("-"), number.cast("string"), "__e"))
     return n.where("__n = 1").select(key, name, F.col(name).alias("unique_name")).unionByName(again.select(key, name, "unique_name"))
+
+
+def run_stats(meetings: DataFrame, transcripts: DataFrame, reports: DataFrame) -> DataFrame:
+    """How many meetings, transcripts, reports and failed meetings there are, in one row."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(meetings, "meetings")
+    for df, name in ((transcripts, "transcripts"), (reports, "reports"), (meetings.where("error != ''"), "errors")):
+        out = out.crossJoin(one(df, name))  # one row each
+    return out

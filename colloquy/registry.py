@@ -171,14 +171,33 @@ def folder_plan(spark: SparkSession, d: str) -> DataFrame:
     return readers.folder_plan(i.distinct().unionByName(a.distinct()))
 
 
-@query(f"""WITH {DOCS}, l AS (SELECT kind, name, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n, unnest(string_split(content, chr(10))) AS line FROM d WHERE contains(lower(content), 'roadmap')),
+_DOC_SEARCH = f"""WITH {DOCS}, l AS (SELECT kind, name, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n, unnest(string_split(content, chr(10))) AS line FROM d WHERE contains(lower(content), 'roadmap')),
 f AS (SELECT kind, name, arg_min(line, n) AS line FROM l WHERE contains(lower(line), 'roadmap') GROUP BY kind, name)
-SELECT kind, name, left(trim(line, chr(32) || chr(9) || chr(13)), 140) AS line FROM f ORDER BY list_position(['brief', 'weekly', 'tracking', 'prep'], kind), name DESC LIMIT 20""")
+SELECT kind, name, left(trim(line, chr(32) || chr(9) || chr(13)), 140) AS line FROM f ORDER BY list_position(['brief', 'weekly', 'tracking', 'prep'], kind), name DESC LIMIT 20"""
+
+
+@query(_DOC_SEARCH)
 def doc_search(spark: SparkSession, d: str) -> DataFrame:
     return library.doc_search(docs(spark, d), "roadmap")
 
 
-@query()
+def _entity_search_sql(q: str) -> str:
+    return f"""WITH {ENT}, w AS (SELECT *, CASE WHEN len(list_filter(list_concat([name], aliases), lambda x: contains(lower(x), '{q}'))) > 0 THEN 'name'
+ WHEN contains(lower(summary), '{q}') THEN 'summary' WHEN len(list_filter(facts, lambda f: contains(lower(f.text), '{q}'))) > 0 THEN 'fact' END AS "where",
+ list_filter(facts, lambda f: contains(lower(f.text), '{q}'))[1].text AS fact FROM ent),
+s AS (SELECT *, CASE WHEN "where" = 'fact' THEN fact ELSE summary END AS what FROM w WHERE "where" IS NOT NULL),
+i AS (SELECT *, instr(lower(what), '{q}') AS i, greatest(0, instr(lower(what), '{q}') - 31) AS a FROM s)
+SELECT id, type, name, "where", CASE WHEN i = 0 OR length(what) <= 90 THEN left(what, 90) ELSE (CASE WHEN a > 0 THEN '…' ELSE '' END) || substr(what, a + 1, 90) || (CASE WHEN a + 90 < length(what) THEN '…' ELSE '' END) END AS snippet, updated
+FROM i ORDER BY list_position(['name', 'summary', 'fact'], "where"), updated, ord LIMIT 30"""
+
+
+_FIND = f"""WITH t AS ({_SEARCH.replace("'budget'", "'warehouse'")}), x AS ({_DOC_SEARCH.replace("'roadmap'", "'warehouse'")}), e AS ({_entity_search_sql('warehouse')}),
+v AS (WITH {MEET} SELECT meeting_id, title, coalesce(nullif(left(digest, 120), ''), title) AS line FROM m WHERE contains(lower(title), 'warehouse') OR contains(lower(digest), 'warehouse'))
+SELECT 'text' AS section, meeting_id AS id, title, line FROM t UNION ALL SELECT 'title', meeting_id, title, line FROM v WHERE meeting_id NOT IN (SELECT meeting_id FROM t)
+UNION ALL SELECT 'memory', id, name, snippet FROM e UNION ALL SELECT kind, name, name, line FROM x"""
+
+
+@query(_FIND)
 def unified_find(spark: SparkSession, d: str) -> DataFrame:
     m = meetings(spark, d)
     hits = library.search(_files(spark, d), m, "warehouse")
@@ -227,13 +246,7 @@ def entity_list(spark: SparkSession, d: str) -> DataFrame:
     return entities.listed(store(spark, d), "commitment", "open").select("id", "type", "name", "status", "owner", "n_facts", "n_sources", "last_source", "updated")
 
 
-@query(f"""WITH {ENT}, w AS (SELECT *, CASE WHEN len(list_filter(list_concat([name], aliases), lambda x: contains(lower(x), 'budget'))) > 0 THEN 'name'
- WHEN contains(lower(summary), 'budget') THEN 'summary' WHEN len(list_filter(facts, lambda f: contains(lower(f.text), 'budget'))) > 0 THEN 'fact' END AS "where",
- list_filter(facts, lambda f: contains(lower(f.text), 'budget'))[1].text AS fact FROM ent),
-s AS (SELECT *, CASE WHEN "where" = 'fact' THEN fact ELSE summary END AS what FROM w WHERE "where" IS NOT NULL),
-i AS (SELECT *, instr(lower(what), 'budget') AS i, greatest(0, instr(lower(what), 'budget') - 31) AS a FROM s)
-SELECT id, type, name, "where", CASE WHEN i = 0 OR length(what) <= 90 THEN left(what, 90) ELSE (CASE WHEN a > 0 THEN '…' ELSE '' END) || substr(what, a + 1, 90) || (CASE WHEN a + 90 < length(what) THEN '…' ELSE '' END) END AS snippet, updated
-FROM i ORDER BY list_position(['name', 'summary', 'fact'], "where"), updated, ord LIMIT 30""")
+@query(_entity_search_sql("budget"))
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
     return entities.search(store(spark, d), "budget")
 
@@ -700,3 +713,106 @@ WHERE meeting_id NOT IN (SELECT meeting_id FROM transcripts) AND (status IN ('ne
 def to_resume(spark: SparkSession, d: str) -> DataFrame:
     a = segments(spark, d).groupBy("meeting_id").agg(F.sum(F.length("text")).alias("bytes"))
     return ingest.to_resume(meetings(spark, d), table(spark, d, "transcripts"), a)
+
+
+# --- text primitives ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ENT} SELECT id, {_KEY.format('name')} AS k, coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'x') AS slug FROM ent""")
+def name_keys(spark: SparkSession, d: str) -> DataFrame:
+    return store(spark, d).select("id", T.norm_name(F.col("name")).alias("k"), T.slug(F.col("name")).alias("slug"))
+
+
+@query("""WITH l AS (SELECT DISTINCT coalesce(lang, '') AS lang FROM imports), a(k, v) AS (VALUES ('en', 'en'), ('zh', 'zh-CN'), ('zh-cn', 'zh-CN'), ('zh-hans', 'zh-CN'), ('zh-sg', 'zh-CN'), ('cn', 'zh-CN'), ('fr', 'fr'), ('english', 'en'), ('chinese', 'zh-CN'), ('french', 'fr'))
+SELECT lang, coalesce((SELECT v FROM a WHERE k = replace(lower(lang), '_', '-')), (SELECT v FROM a WHERE k = string_split(replace(lower(lang), '_', '-'), '-')[1])) AS code FROM l""")
+def locale_codes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "imports").select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().select("lang", T.locale_code(F.col("lang")).alias("code"))
+
+
+@query("""SELECT DISTINCT coalesce(source, '') AS source, CASE coalesce(source, '') WHEN 'audio' THEN 'Recording' WHEN 'paste' THEN 'Pasted' ELSE coalesce(source, '') END AS label FROM meetings""")
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    m = meetings(spark, d).select("source").distinct()
+    return m.select("source", T.source_label(F.col("source"), {"audio": "Recording", "paste": "Pasted"}).alias("label"))
+
+
+@query(f"""WITH {ENT}, t AS (SELECT id, lower(right(name || '. ' || summary, 60)) AS p FROM ent WHERE type = 'commitment')
+SELECT id, CASE WHEN regexp_matches(p, '已取消|已放弃|作废|cancelled|canceled|dropped|annulé') THEN 'cancelled' WHEN regexp_matches(p, '已兑现|已完成|已生效|已部署|已定|已执行|done|fulfilled|completed|réalisé') THEN 'done'
+ WHEN regexp_matches(p, '进行中|待办|待执行|待测试|待定|未兑现|推进中|in progress|open|pending|en cours') THEN 'open' ELSE 'unknown' END AS said FROM t""")
+def said_status(spark: SparkSession, d: str) -> DataFrame:
+    c = store(spark, d).where("type = 'commitment'")
+    return c.select("id", T.status_of(F.concat("name", F.lit(". "), "summary")).alias("said"))
+
+
+@query(f"""WITH {ENT} SELECT id, coalesce(sources[1], '') AS first_ref, len(sources) AS n_refs, regexp_extract(coalesce(sources[1], ''), '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS ref_date, summary AS plain FROM ent
+WHERE len(list_filter(sources, lambda s: length(s) NOT BETWEEN 4 AND 90)) = 0 AND NOT regexp_matches(summary, '\\s\\s|^\\s|\\s$|\\[')""")
+def source_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Sources written behind the summaries as references, and read back out of the text."""
+    e = store(spark, d).where(~F.exists("sources", lambda s: ~F.length(s).between(4, 90)) & ~F.col("summary").rlike(r"\s\s|^\s|\s$|\["))
+    line = F.concat("summary", F.array_join(F.transform("sources", lambda s: F.concat(F.lit(" ["), s, F.lit("]"))), ""))
+    r = e.select("id", line.alias("line"), T.refs(line).alias("refs"))
+    return r.select("id", F.coalesce(F.get("refs", F.lit(0)), F.lit("")).alias("first_ref"), F.size("refs").cast("bigint").alias("n_refs"), T.date_in(F.get("refs", F.lit(0))).alias("ref_date"), T.strip_refs(F.col("line"), F.col("refs")).alias("plain"))
+
+
+@query("""WITH p AS (SELECT DISTINCT participants FROM meetings WHERE participants <> ''), w AS (SELECT participants, list_filter(regexp_split_to_array(participants, '[、,，;；/\\s]+'), lambda w: length(w) >= 2) AS w FROM p)
+SELECT participants, array_to_string(w, '|') AS words FROM w""")
+def split_words(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "meetings").where("participants != ''").select("participants").distinct()
+    return p.select("participants", F.array_join(T.words(F.col("participants")), "|").alias("words"))
+
+
+@query("""WITH l AS (SELECT import_id, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS line FROM (SELECT DISTINCT import_id, content FROM imports) WHERE contains(content, '<v '))
+SELECT import_id, CAST(line_no AS INT) AS line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<v(?:\\.[^\\s>]+)*\\s+([^>]+)>', '\\1: ', 'g'), '</?v[^>]*>', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS caption FROM l WHERE contains(line, '<v ')""")
+def captions(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "imports").select("import_id", "content").distinct().where(F.contains("content", F.lit("<v ")))
+    lines = library.doc_lines(i, "import_id").where(F.contains("line", F.lit("<v ")))
+    return lines.select("import_id", "line_no", T.clean_tags(F.col("line")).alias("caption"))
+
+
+@query("""WITH n(stem) AS (SELECT DISTINCT source || '-1355' FROM documents UNION SELECT 'minutes-0930-2' UNION SELECT 'followup' UNION SELECT 'chat-12')
+SELECT stem, CASE WHEN regexp_matches(stem, '-\\d{4}(-\\d+)?$') THEN (CASE regexp_replace(stem, '-\\d{4}(-\\d+)?$', '') WHEN 'minutes' THEN 'Minutes' ELSE regexp_replace(stem, '-\\d{4}(-\\d+)?$', '') END)
+ || ' ' || regexp_extract(stem, '-(\\d{2})\\d{2}(-\\d+)?$', 1) || ':' || regexp_extract(stem, '-\\d{2}(\\d{2})(-\\d+)?$', 1) WHEN stem = 'followup' THEN 'Follow-up' ELSE stem END AS label FROM n""")
+def report_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "documents").select(F.concat("source", F.lit("-1355")).alias("stem")).unionByName(spark.createDataFrame([("minutes-0930-2",), ("followup",), ("chat-12",)], "stem string")).distinct()
+    return n.select("stem", export.report_label(F.col("stem")).alias("label"))
+
+
+@query(f"""WITH {MEET} SELECT meeting_id, string_agg(line, chr(10) ORDER BY k) AS head FROM (SELECT meeting_id, unnest([1, 2, 3, 4, 5]) AS k,
+ unnest(['# ' || title, '- Date: ' || date, CASE WHEN duration <> '' THEN '- Duration: ' || duration END, '- Source: ' || source, '- Participants: ' || CASE WHEN trim(participants) <> '' THEN trim(participants) ELSE '(not recorded)' END]) AS line FROM m) WHERE line IS NOT NULL GROUP BY meeting_id""")
+def transcript_heads(spark: SparkSession, d: str) -> DataFrame:
+    h = export.header_lines(meetings(spark, d)).where(F.col("line").rlike("^# |^- "))
+    return h.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("head"))
+
+
+@query(f"""WITH {SEG} SELECT meeting_id, seg_idx, '**' || coalesce(nullif(speaker, ''), 'me') || '**' || chr(10) || chr(10) || text AS block FROM seg WHERE coalesce(text, '') <> ''""")
+def chat_markdown(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d).select("meeting_id", "seg_idx", F.coalesce(F.nullif("speaker", F.lit("")), F.lit("me")).alias("role"), "text")
+    return export.chat_blocks(s, ["meeting_id", "seg_idx"], "role", "text")
+
+
+@query(f"""WITH {MEET}, {DOCS} SELECT (SELECT count(*) FROM m) AS meetings, (SELECT count(*) FROM transcripts WHERE length(md_text) > 0) AS transcripts, (SELECT count(*) FROM d WHERE meeting_id IS NOT NULL) AS reports, (SELECT count(*) FROM m WHERE error <> '') AS errors""")
+def run_stats(spark: SparkSession, d: str) -> DataFrame:
+    return library.run_stats(meetings(spark, d), table(spark, d, "transcripts").where(F.length("md_text") > 0), docs(spark, d).where("meeting_id is not null"))
+
+
+@query("""WITH b AS (SELECT import_id, strftime(received_at, '%Y-%m-%d') || '-' || import_id % 5 AS base FROM imports QUALIFY row_number() OVER (PARTITION BY import_id ORDER BY received_at) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY import_id) AS k FROM b) SELECT import_id, base || CASE WHEN k > 1 THEN '-x' || k ELSE '' END AS new_id FROM r""")
+def new_meeting_ids(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "imports").groupBy("import_id").agg(F.min("received_at").alias("at"))
+    base = F.concat_ws("-", F.date_format("at", "yyyy-MM-dd"), (F.col("import_id") % 5).cast("string"))
+    n = library.numbered_names(i.select("import_id", F.concat(base, F.lit("-x")).alias("base")), "import_id", "base")
+    return n.select("import_id", F.regexp_replace(F.regexp_replace("unique_name", "-x-(\\d+)$", "-x$1"), "-x$", "").alias("new_id"))
+
+
+@query("""SELECT 'people' AS path, 'People' AS text UNION ALL SELECT 'names', 'Noms' UNION ALL SELECT 'missing', 'sections.missing'""")
+def localised(spark: SparkSession, d: str) -> DataFrame:
+    from .functions import locale
+
+    keys = spark.createDataFrame([("people", "de"), ("names", "fr"), ("missing", "en")], "path string, lang string")
+    return keys.select("path", locale.text(F.concat(F.lit("sections."), "path"), F.col("lang")).alias("text"))
+
+
+@query(f"""WITH {ENT} SELECT id, f.text AS fact FROM (SELECT id, unnest(facts[greatest(len(facts) - 2, 1):]) AS f FROM ent WHERE id IN (SELECT id FROM ({_entity_search_sql('roadmap')})))""")
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of the entries a word finds: their last three facts."""
+    e = store(spark, d)
+    return entities.last_facts(e.join(entities.search(e, "roadmap").select("id"), "id", "leftsemi"), 3).select("id", F.col("text").alias("fact"))
