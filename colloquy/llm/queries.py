@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(p1_groups(spark, d))
 
 
-def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+def spoken_lines(spark: SparkSession, d: str) -> DataFrame:
     """Tagged lines; a segment delivered again counts once, by its latest delivery."""
     people = (
         table(spark, d, "meetings").select("meeting_id", "participants")
@@ -55,11 +55,11 @@ def p2_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
-    return turns.turns(p2_lines(spark, d))
+    return turns.turns(spoken_lines(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return turns.turn_starts(p2_lines(spark, d))
+    return turns.turn_starts(spoken_lines(spark, d))
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p3_languages(spark, d)).select("origin", "record_id", "first_line", "lang")
 
 
-def p4_records(spark: SparkSession, d: str) -> DataFrame:
+def personal_records(spark: SparkSession, d: str) -> DataFrame:
     """Texts of imports and transcripts, and every fact; an entry saved twice counts once."""
     texts = imported(spark, d).unionByName(transcribed(spark, d)).select("origin", "record_id", F.lit(-1).alias("fact_no"), "text")
     entries = table(spark, d, "knowledge").groupBy("entity_id").agg(F.max_by("facts", "updated").alias("facts"))
@@ -83,11 +83,11 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 def p4_mentions(spark: SparkSession, d: str) -> DataFrame:
     rooms, meetings = (table(spark, d, x).select("participants") for x in ("rooms", "meetings"))
     people = personal.people_of(rooms.unionByName(meetings), table(spark, d, "knowledge"))
-    return personal.mentions(p4_records(spark, d), people)
+    return personal.mentions(personal_records(spark, d), people)
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redacted(p4_records(spark, d), p4_mentions(spark, d))
+    return personal.redacted(personal_records(spark, d), p4_mentions(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
