@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,9 +57,26 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete an application's written tables when its driver ends, if the session still runs."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone; whoever owns the folder cleans it
+        pass
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a cut whose columns stay prunable."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
