@@ -91,10 +91,23 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+#: Bytes of files a task of costly per-row work should stand for, at most.
+SPREAD_BYTES = 32 * 1024 * 1024
+_SHUFFLES = ("Aggregate", "Join", "Window", "Sort", "Repartition", "Distinct", "Deduplicate")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give costly per-row work at least as many partitions as there are cores, when the scan has fewer.
+    """Give costly per-row work enough partitions.
 
-    A scan of many files is left as it is; only a table of fewer splits than cores is shuffled.
+    A plain scan of as many splits as there are cores, or more, is left as it is. Anything else is shuffled by the
+    keys into as many partitions as its files' size asks for: what comes out of a shuffle would be coalesced by bytes,
+    which says nothing of the work per row.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if not any(x in text for x in _SHUFFLES) and df.rdd.getNumPartitions() >= cores:
+        return df
+    leaves = plan.collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(max(2 * cores, -(-size // SPREAD_BYTES)), *keys)
