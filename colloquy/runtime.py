@@ -109,5 +109,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if not any(x in text for x in _SHUFFLES) and df.rdd.getNumPartitions() >= cores:
         return df
     leaves = plan.collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(max(2 * cores, -(-size // SPREAD_BYTES)), *keys)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # rows without files report no size
+    return df.repartition(min(max(2 * cores, -(-known // SPREAD_BYTES)), 1_000_000), *keys)
