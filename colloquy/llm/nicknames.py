@@ -1,22 +1,27 @@
-"""Short given names, shared by the operators on names."""
+"""Short given names, shared by the operators on names.
+
+Most short forms follow a rule: the beginning of a name, perhaps with its last consonant doubled and -y or -ie behind
+it. Only the others are listed.
+"""
 
 from __future__ import annotations
 
-#: Common English short forms of given names.
+from collections.abc import Iterable
+
+#: Common English short forms of given names that the rule does not give.
 SHORT = {
-    "abigail": "abby abbie gail", "alexander": "alex sasha xander sandy lex alec", "anastasia": "stacy ana nastya stacey anya", "augustin": "gus augie austin",
-    "barbara": "barb babs barbie bobbie", "bartholomew": "bart barty tolly", "beatrice": "bea trixie bee", "benjamin": "ben benny benji", "catherine": "kate cathy cat katie kathy kit",
-    "christopher": "chris kit topher kris", "clement": "clem clemmie", "cordelia": "delia cordy", "daniel": "dan danny", "deborah": "deb debbie debby", "dominic": "dom nic nick",
-    "dorothea": "dora thea dot dottie dorothy", "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora ella lena", "elizabeth": "liz beth betsy lizzie eliza betty libby", "emmanuel": "manny manu manuel emma",
-    "ferdinand": "ferdy ferd nando", "florentine": "flora flo florence", "francesca": "fran frankie chesca cesca", "frederick": "fred freddie freddy rick", "gabriel": "gabe gab", "geoffrey": "geoff jeff",
-    "gregory": "greg gregor", "gwendolyn": "gwen wendy gwenny", "harold": "harry hal", "helena": "lena nell helen", "henrietta": "etta hetty hettie henny", "hubert": "hugh bert hub", "ingrid": "inga inge",
-    "irina": "ira rina", "isabella": "bella izzy isa bel", "jennifer": "jen jenny jenn", "jonathan": "jon jonny nathan johnny", "joseph": "joe joey jo", "julius": "jules jule", "karolina": "karo lina carol caro",
-    "kimberly": "kim kimmy", "konstantin": "kostya kon stan", "lawrence": "larry laurie lawrie", "leonard": "len leo lenny", "lucinda": "lucy cindy lu", "magdalena": "magda lena maggie", "margaret": "maggie meg peggy marge greta",
-    "matthew": "matt matty", "nathaniel": "nate nat nathan", "nicolette": "nicky nico nic nikki colette", "norbert": "norb bert norby", "octavia": "tavi tavy", "olivia": "liv livvy ollie", "oswald": "oz ozzie ossie",
-    "patrick": "pat paddy rick", "penelope": "penny pen nell", "philippa": "pippa phil pip", "rebecca": "becky becca bec", "richard": "rick dick rich richie", "robert": "rob bob bobby robbie bert", "rosalind": "roz rosa rosie linda ros",
-    "samuel": "sam sammy", "stephanie": "steph stevie steffi", "susannah": "sue susie susan sanna", "theodore": "ted theo teddy", "timothy": "tim timmy", "tobias": "toby tobi", "valentina": "val tina", "veronica": "ronnie vera nica",
-    "victoria": "vicky tori vic", "walter": "walt wally", "william": "bill will billy liam willy", "winifred": "winnie fred freda win", "andrew": "andy drew", "anthony": "tony", "charles": "charlie chuck", "david": "dave",
-    "james": "jim jimmy jamie", "john": "jack johnny", "katherine": "kate kathy katie", "michael": "mike mick", "nicholas": "nick", "peter": "pete", "steven": "steve", "thomas": "tom tommy", "zachary": "zach",
+    "abigail": "abby abbie gail", "alexander": "sasha xander sandy lex alec", "anastasia": "stacy nastya stacey anya", "augustin": "gus austin", "barbara": "babs bobbie",
+    "bartholomew": "tolly", "beatrice": "trixie bee", "benjamin": "benji", "catherine": "kate katie kathy kit", "christopher": "kit topher kris", "cordelia": "delia",
+    "dominic": "nic nick", "dorothea": "dora thea dot dottie dorothy", "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora ella lena",
+    "elizabeth": "liz beth betsy lizzie betty libby", "emmanuel": "manny manu manuel", "ferdinand": "nando", "florentine": "flora florence", "francesca": "frankie chesca cesca",
+    "frederick": "rick", "gabriel": "gabe", "geoffrey": "jeff", "gregory": "gregor", "gwendolyn": "wendy", "harold": "hal", "helena": "lena nell", "henrietta": "etta hetty hettie",
+    "hubert": "hugh bert", "ingrid": "inga inge", "irina": "ira rina", "isabella": "bella izzy bel", "jonathan": "nathan johnny", "joseph": "joe joey jo", "julius": "jules jule",
+    "karolina": "lina carol caro", "konstantin": "kostya stan", "lawrence": "larry laurie", "leonard": "len lenny", "lucinda": "cindy lu", "magdalena": "lena",
+    "margaret": "maggie meg peggy marge greta", "nathaniel": "nate nathan", "nicolette": "nicky nikki colette", "norbert": "bert", "octavia": "tavi tavy",
+    "olivia": "liv livvy ollie", "oswald": "oz ozzie ossie", "patrick": "paddy rick", "penelope": "nell", "philippa": "pippa pip", "rebecca": "becky becca bec",
+    "richard": "rick dick", "robert": "bob bobby bert", "rosalind": "roz linda", "stephanie": "stevie steffi", "susannah": "sue sanna", "theodore": "ted teddy",
+    "valentina": "tina", "veronica": "ronnie vera nica", "victoria": "vicky tori", "william": "bill billy liam", "winifred": "fred freda", "andrew": "drew", "anthony": "tony",
+    "charles": "chuck", "david": "dave", "james": "jim jimmy", "john": "jack johnny", "katherine": "kate", "michael": "mike mick", "nicholas": "nick", "thomas": "tom tommy",
 }
 
 #: Short form to the given names it may stand for.
@@ -26,6 +31,32 @@ for _full, _shorts in SHORT.items():
         LONG[_s] = (*LONG.get(_s, ()), _full)
 
 
+def regular(full: str) -> set[str]:
+    """Short forms of a (folded) given name by the rule."""
+    out = set()
+    for n in (3, 4, 5):
+        b = full[:n]
+        if n < len(full):
+            out |= {b, f"{b}y", f"{b}ie"}
+            if b[-1] not in "aeiouy":
+                out |= {f"{b}{b[-1]}y", f"{b}{b[-1]}ie"}
+    return out
+
+
 def fulls(given: str) -> tuple[str, ...]:
-    """The given names a (folded) given name may stand for, itself first."""
+    """A given name, and the listed names it is short for."""
     return (given, *(x for x in LONG.get(given, ()) if x != given))
+
+
+def same_given(a: str, b: str) -> bool:
+    """Whether two given names are one, or one is short for the other, or both for a third."""
+    return a == b or bool(set(fulls(a)) & set(fulls(b))) or any(y in regular(x) for p in fulls(a) for q in fulls(b) for x, y in ((p, q), (q, p)))
+
+
+def forms(givens: Iterable[str]) -> dict[str, tuple[str, ...]]:
+    """Every form a text may have of the given names, with the names it may stand for."""
+    out: dict[str, tuple[str, ...]] = {}
+    for full in sorted(set(givens) | set(SHORT)):
+        for form in {full, *regular(full), *SHORT.get(full, "").split()}:
+            out[form] = (*out.get(form, ()), full)
+    return out

@@ -63,9 +63,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    profiles = languages.train(languages.sample_lines(docs))
-    return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), profiles, encodings.model_of(docs))
+    lines = languages.sample_lines(table(spark, d, "documents"))  # one bounded sample for both models
+    clean = encodings.Plausibility.of([x for x, _ in lines])
+    return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), languages.train(lines), clean)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
