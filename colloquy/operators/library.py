@@ -156,8 +156,9 @@ def numbered_names(names: DataFrame, key: str, name: str) -> DataFrame:
 
 def run_stats(meetings: DataFrame, transcripts: DataFrame, reports: DataFrame) -> DataFrame:
     """How many meetings, transcripts, reports and failed meetings there are, in one row."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = one(meetings, "meetings")
-    for df, name in ((transcripts, "transcripts"), (reports, "reports"), (meetings.where("error != ''"), "errors")):
-        out = out.crossJoin(one(df, name))  # one row each
-    return out
+    kinds = {"meetings": meetings, "transcripts": transcripts, "reports": reports, "errors": meetings.where("error != ''")}
+    rows = None
+    for name, df in kinds.items():
+        tagged = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    return rows.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in kinds])

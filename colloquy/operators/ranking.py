@@ -36,5 +36,5 @@ def related(meetings: DataFrame, people: str, topic: str, top: int = 6, recent:
     best = ranked(relevance(meetings, words)).limit(top)
     hits = best.where(F.exists(F.transform(keys, F.lower), lambda k: F.contains(text, k))).select("meeting_id", "score", F.lit("relevance").alias("how"))
     latest = meetings.orderBy(F.desc("date"), F.desc("created"), F.desc("meeting_id")).limit(recent).select("meeting_id", F.lit(0).alias("score"), F.lit("recent").alias("how"))
-    none = hits.agg(F.count("*").alias("n"))
-    return hits.unionByName(latest.crossJoin(F.broadcast(none)).where("n = 0").drop("n"))  # one row that says whether there were hits
+    any_hit = hits.select(F.lit(1).alias("g")).distinct()
+    return hits.unionByName(latest.withColumn("g", F.lit(1)).join(any_hit, "g", "leftanti").drop("g"))
