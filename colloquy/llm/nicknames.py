@@ -1,7 +1,7 @@
 """Short given names, shared by the operators on names.
 
-Most short forms follow a rule: the beginning of a name, perhaps with its last consonant doubled and -y or -ie behind
-it. Only the others are listed.
+Forms in -y and -ie follow a rule: the beginning of a name, perhaps with its last consonant doubled. The others are
+listed, as most beginnings of names are no short forms but words.
 """
 
 from __future__ import annotations
@@ -10,18 +10,20 @@ from collections.abc import Iterable
 
 #: Common English short forms of given names that the rule does not give.
 SHORT = {
-    "abigail": "abby abbie gail", "alexander": "sasha xander sandy lex alec", "anastasia": "stacy nastya stacey anya", "augustin": "gus austin", "barbara": "babs bobbie",
-    "bartholomew": "tolly", "beatrice": "trixie bee", "benjamin": "benji", "catherine": "kate katie kathy kit", "christopher": "kit topher kris", "cordelia": "delia",
-    "dominic": "nic nick", "dorothea": "dora thea dot dottie dorothy", "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora ella lena",
-    "elizabeth": "liz beth betsy lizzie betty libby", "emmanuel": "manny manu manuel", "ferdinand": "nando", "florentine": "flora florence", "francesca": "frankie chesca cesca",
-    "frederick": "rick", "gabriel": "gabe", "geoffrey": "jeff", "gregory": "gregor", "gwendolyn": "wendy", "harold": "hal", "helena": "lena nell", "henrietta": "etta hetty hettie",
-    "hubert": "hugh bert", "ingrid": "inga inge", "irina": "ira rina", "isabella": "bella izzy bel", "jonathan": "nathan johnny", "joseph": "joe joey jo", "julius": "jules jule",
-    "karolina": "lina carol caro", "konstantin": "kostya stan", "lawrence": "larry laurie", "leonard": "len lenny", "lucinda": "cindy lu", "magdalena": "lena",
-    "margaret": "maggie meg peggy marge greta", "nathaniel": "nate nathan", "nicolette": "nicky nikki colette", "norbert": "bert", "octavia": "tavi tavy",
-    "olivia": "liv livvy ollie", "oswald": "oz ozzie ossie", "patrick": "paddy rick", "penelope": "nell", "philippa": "pippa pip", "rebecca": "becky becca bec",
-    "richard": "rick dick", "robert": "bob bobby bert", "rosalind": "roz linda", "stephanie": "stevie steffi", "susannah": "sue sanna", "theodore": "ted teddy",
-    "valentina": "tina", "veronica": "ronnie vera nica", "victoria": "vicky tori", "william": "bill billy liam", "winifred": "fred freda", "andrew": "drew", "anthony": "tony",
-    "charles": "chuck", "david": "dave", "james": "jim jimmy", "john": "jack johnny", "katherine": "kate", "michael": "mike mick", "nicholas": "nick", "thomas": "tom tommy",
+    "abigail": "abby abbie gail", "alexander": "alex sasha xander sandy lex alec", "anastasia": "stacy ana nastya stacey anya", "augustin": "gus austin",
+    "barbara": "barb babs bobbie", "bartholomew": "bart tolly", "beatrice": "bea trixie bee", "benjamin": "ben benji", "catherine": "kate cat katie kathy kit",
+    "christopher": "chris kit topher kris", "clement": "clem", "cordelia": "delia", "daniel": "dan", "deborah": "deb", "dominic": "dom nic nick",
+    "dorothea": "dora thea dot dottie dorothy", "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora ella lena", "elizabeth": "liz beth betsy lizzie eliza betty libby",
+    "emmanuel": "manny manu manuel emma", "ferdinand": "ferd nando", "florentine": "flora flo florence", "francesca": "fran frankie chesca cesca", "frederick": "fred rick",
+    "gabriel": "gabe gab", "geoffrey": "geoff jeff", "gregory": "greg gregor", "gwendolyn": "gwen wendy", "harold": "hal", "helena": "lena nell helen",
+    "henrietta": "etta hetty hettie", "hubert": "hugh bert hub", "ingrid": "inga inge", "irina": "ira rina", "isabella": "bella izzy isa bel", "jennifer": "jen jenn",
+    "jonathan": "jon nathan johnny", "joseph": "joe joey jo", "julius": "jules jule", "karolina": "karo lina carol caro", "kimberly": "kim", "konstantin": "kostya kon stan",
+    "lawrence": "larry laurie", "leonard": "len leo lenny", "lucinda": "cindy lu", "magdalena": "magda lena", "margaret": "maggie meg peggy marge greta", "matthew": "matt",
+    "nathaniel": "nate nat nathan", "nicolette": "nicky nico nic nikki colette", "norbert": "norb bert", "octavia": "tavi tavy", "olivia": "liv livvy ollie",
+    "oswald": "oz ozzie ossie", "patrick": "pat paddy rick", "penelope": "pen nell", "philippa": "pippa phil pip", "rebecca": "becky becca bec", "richard": "rick dick rich",
+    "robert": "rob bob bobby bert", "rosalind": "roz rosa linda ros", "samuel": "sam", "stephanie": "steph stevie steffi", "susannah": "sue susan sanna",
+    "theodore": "ted theo teddy", "timothy": "tim", "tobias": "tobi", "valentina": "val tina", "veronica": "ronnie vera nica", "victoria": "vicky tori vic", "walter": "walt",
+    "william": "bill will billy liam", "winifred": "fred freda win",
 }
 
 #: Short form to the given names it may stand for.
@@ -37,7 +39,7 @@ def regular(full: str) -> set[str]:
     for n in (3, 4, 5):
         b = full[:n]
         if n < len(full):
-            out |= {b, f"{b}y", f"{b}ie"}
+            out |= {f"{b}y", f"{b}ie"}
             if b[-1] not in "aeiouy":
                 out |= {f"{b}{b[-1]}y", f"{b}{b[-1]}ie"}
     return out
