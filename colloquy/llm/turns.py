@@ -15,7 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -135,10 +135,10 @@ def token_class(m: re.Match) -> int:
     return CLASS[kind]
 
 
-def tokens(line: str, most: int | None = None) -> list[tuple[int, int, int]]:
-    """(class, start, end) of each token (of the first ``most``); a voice tag is followed by an empty separator."""
+def tokens(line: str) -> list[tuple[int, int, int]]:
+    """(class, start, end) of each token; a voice tag is followed by an empty separator."""
     out = []
-    for m in islice(_TOKEN.finditer(line), most):
+    for m in _TOKEN.finditer(line):
         out.append((token_class(m), m.start(), m.end()))
         if m.lastgroup == "tag":
             out.append((CLASS["colon"], m.end(), m.end()))
@@ -182,7 +182,12 @@ class Tagger:
         self.emit = np.log(emit / emit.sum(axis=1, keepdims=True))
 
     def decode(self, lines: list[list[int]]) -> list[np.ndarray]:
-        """Viterbi paths of many lines; lines of like length are decoded together."""
+        """Viterbi paths of many lines; lines of like length are decoded together, equal ones once."""
+        first: dict[tuple[int, ...], int] = {}
+        same = [first.setdefault(tuple(x), len(first)) for x in lines]
+        if len(first) < len(lines):
+            paths = self.decode([list(x) for x in first])
+            return [paths[i] for i in same]
         out: list = [np.zeros(0, dtype=np.int8)] * len(lines)
         order = sorted((i for i, x in enumerate(lines) if x), key=lambda i: len(lines[i]))
         k = 0
@@ -284,24 +289,17 @@ def resolve(label: str, participants: str | None) -> str | None:
 
 
 def read(lines: list[str], participants: list[str | None]) -> list[tuple[str | None, float | None, bool]]:
-    """(speaker, stamp in seconds, anything spoken) of each line.
-
-    A line's head and its first spoken word decide; lines in whose first HEAD tokens nobody speaks are read whole.
-    """
-    out = tagged(lines, participants, HEAD)
-    rest = [i for i, (_, _, spoken, more) in enumerate(out) if more and not spoken]
-    if rest:
-        for i, got in zip(rest, tagged([lines[i] for i in rest], [participants[i] for i in rest], None), strict=True):
-            out[i] = got
-    return [x[:3] for x in out]
+    """(speaker, stamp in seconds, anything spoken) of each line."""
+    return [x[:3] for x in tagged(lines, participants)]
 
 
-def tagged(lines: list[str], participants: list[str | None], most: int | None) -> list[tuple[str | None, float | None, bool, bool]]:
-    """As read, from the first ``most`` tokens; the last value says whether there may be more."""
-    toks = [tokens(x, most) for x in lines]
+def tagged(lines: list[str], participants: list[str | None]) -> list[tuple[str | None, float | None, bool, str]]:
+    """(speaker, stamp in seconds, anything spoken, what is spoken) of each line, every token of which is tagged."""
+    toks = [tokens(x) for x in lines]
     paths = tagger().decode([[c for c, _, _ in t] for t in toks])
     out = []
     for line, tok, path, who in zip(lines, toks, paths, participants, strict=True):
+        path = path.tolist()
         k, n, at, speaker, label = 0, len(tok), None, None, None
         while k < n and path[k] in (STAMP, SPEAKER, SEPARATOR):  # the line's head
             c, a, b = tok[k]
@@ -310,19 +308,50 @@ def tagged(lines: list[str], participants: list[str | None], most: int | None) -
             if path[k] == SPEAKER:
                 label = (label[0], b, k) if label else (a, b, k)
             k += 1
+        while k and path[k - 1] == SEPARATOR and tok[k - 1][0] not in _SEPARATING:  # an opening bracket of what is said
+            k -= 1
         if label:
             speaker = resolve(line[label[0] : label[1]], who)
             if speaker is None:  # no participant: spoken after all
                 k = next(i for i, (_, a, _) in enumerate(tok) if a == label[0])
         spoken = any(path[i] in (SPEECH, SPEAKER) and tok[i][0] in _WORDS for i in range(k, n))
-        out.append((speaker, at, spoken, most is not None and n >= most))
+        out.append((speaker, at, spoken, speech(line, tok[k:], path[k:]) if spoken else ""))
     return out
 
 
-#: Tokens of a line read first.
-HEAD = 14
+def speech(line: str, tok: list[tuple[int, int, int]], path: list[int]) -> str:
+    """A line behind its head without stamps, sound notes and fillers; a blank stays where one stood."""
+    out, at, end, gone, k = [], None, 0, False, 0  # at: where the stretch being kept begins
+    drop = [c == CLASS["tag_end"] for c, _, _ in tok]
+    for s, run in groupby(path):
+        n = len(list(run))
+        if s in _ASIDE and any(tok[i][0] in _ASIDE[s] for i in range(k, k + n)):  # marks alone are no filler
+            drop[k : k + n] = [True] * n
+        k += n
+    for (_, a, b), no in zip(tok, drop, strict=True):
+        if no:
+            if at is not None:
+                out.append(line[at:end])
+                at = None
+            gone = bool(out)
+        elif at is None:
+            if gone and any(x.isspace() for x in line[end:a]):
+                out.append(" ")
+            at, end = a, b
+        else:
+            end = b
+    if at is not None:
+        out.append(line[at:end])
+    return "".join(out).strip()
+
+
 _WORDS = frozenset(CLASS[c] for c in "name initial low han_short han_long number generic".split())
 
+_SEPARATING = frozenset(CLASS[c] for c in "comma colon dash tag_end bracket arrow".split())
+
+#: What is left out of the clean text, and the classes of which a run of it has one at least.
+_ASIDE = {STAMP: {CLASS["stamp"]}, ANNOTATION: {CLASS["note"], CLASS["role"]}, FILLER: {CLASS["filler"]}}
+
 
 def seconds(stamp: str) -> float:
     parts = [float(x) for x in re.sub(r"[^\d:.]", "", stamp.replace(",", ".")).strip(".").split(":")]
@@ -332,8 +361,8 @@ def seconds(stamp: str) -> float:
 _CUE = re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,]\d{1,3}\s*-->")
 
 
-def text_lines(texts: list[str], participants: list[str | None], sure: list[bool]) -> list[list[tuple[int, float | None, str | None, bool]]]:
-    """(line, time, speaker, spoken) of the lines of each transcript; [] of a text that is none.
+def text_lines(texts: list[str], participants: list[str | None], sure: list[bool]) -> list[list[tuple[int, float | None, str | None, bool, str]]]:
+    """(line, time, speaker, spoken, what is spoken) of the lines of each transcript; [] of a text that is none.
 
     A line without stamp of its own has the time of the line before it. What stands above the first stamp or label
     is a title if a blank line follows or it is marked as a heading. A text is a transcript if it is ``sure`` to be,
@@ -349,21 +378,21 @@ def text_lines(texts: list[str], participants: list[str | None], sure: list[bool
             ]
         at.append(len(body))
     spread = [who for i, who in enumerate(participants) for _ in range(at[i + 1] - at[i])]
-    everything = read(body, spread)
+    everything = tagged(body, spread)
     out = []
     for i, known in enumerate(sure):
         got, lines = everything[at[i] : at[i + 1]], body[at[i] : at[i + 1]]
-        if not known and cues[i] < 2 and sum(s is not None for s, _, _ in got) < 2:
+        if not known and cues[i] < 2 and sum(s is not None for s, *_ in got) < 2:
             out.append([])
             continue
-        first = next((k for k, (s, t, _) in enumerate(got) if s is not None or t is not None), len(got))
+        first = next((k for k, (s, t, *_) in enumerate(got) if s is not None or t is not None), len(got))
         for k in range(first):
             if got[k][2] and (lines[k].lstrip().startswith("#") or k + 1 < len(lines) and not lines[k + 1].strip()):
-                got[k] = (None, None, False)
+                got[k] = (None, None, False, "")
         rows, now = [], None
-        for k, (s, t, spoken) in enumerate(got):
+        for k, (s, t, spoken, said) in enumerate(got):
             now = t if t is not None else now
-            rows.append((k + 1, now, s, spoken))
+            rows.append((k + 1, now, s, spoken, said))
         out.append(rows)
     return out
 
@@ -375,12 +404,12 @@ def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
         for p in parts:
             text = p.text.fillna("")
             who = [x if isinstance(x, str) else None for x in p.participants]
-            said = read([" ".join(x.split("\n")) for x in text], who)
+            got = tagged([" ".join(x.split("\n")) for x in text], who)
             rows = []
-            for rid, k, start, column, w, (s, _, spoken) in zip(p.record_id, p.seg_idx, p.start_sec, p.speaker, who, said, strict=True):
+            for rid, k, start, column, w, (s, _, spoken, said) in zip(p.record_id, p.seg_idx, p.start_sec, p.speaker, who, got, strict=True):
                 named = resolve(column, w) if isinstance(column, str) and column.strip() else None
-                rows.append(("segments", rid, k, None if start != start else start, named or s, spoken))
-            yield pd.DataFrame(rows, columns=["origin", "record_id", "pos", "at", "speaker", "spoken"])
+                rows.append(("segments", rid, k, None if start != start else start, named or s, spoken, said))
+            yield pd.DataFrame(rows, columns=["origin", "record_id", "pos", "at", "speaker", "spoken", "said"])
 
     def tag_texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -388,17 +417,19 @@ def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
             who = [x if isinstance(x, str) else None for x in p.participants]
             rows = []
             for origin, rid, lines in zip(p.origin, p.record_id, text_lines(list(p.text), who, list(p.origin == "transcripts")), strict=True):
-                rows += [(origin, rid, n, at, s, spoken) for n, at, s, spoken in lines if spoken or s is not None]
-            yield pd.DataFrame(rows, columns=["origin", "record_id", "pos", "at", "speaker", "spoken"])
+                rows += [(origin, rid, n, at, s, spoken, said) for n, at, s, spoken, said in lines if spoken or s is not None]
+            yield pd.DataFrame(rows, columns=["origin", "record_id", "pos", "at", "speaker", "spoken", "said"])
 
-    out = "origin string, record_id string, pos bigint, at double, speaker string, spoken boolean"
+    out = "origin string, record_id string, pos bigint, at double, speaker string, spoken boolean, said string"
     a = runtime.spread(segments.select("record_id", "seg_idx", "start_sec", "speaker", "text", "participants"), "record_id", "seg_idx").mapInPandas(tag, out)
     b = runtime.spread(texts.select("origin", "record_id", "text", "participants").where(F.length("text") > 0), "record_id").mapInPandas(tag_texts, out)
     return a.unionByName(b)
 
 
 def turns(lines: DataFrame) -> DataFrame:
-    """One row per turn: origin, record_id, turn_no, first_pos, last_pos, start, speaker, lines.
+    """One row per turn: origin, record_id, turn_no, first_pos, last_pos, start, speaker, lines, text.
+
+    The text is what is spoken in the turn's lines, without labels, stamps, sound notes and fillers, joined by blanks.
 
     Lines are ordered by time, without time by position. Lines of fillers and notes only make no turn and end none,
     but in texts a label standing alone counts for the lines below it. A record's first lines without any label have
@@ -437,6 +468,7 @@ def turns(lines: DataFrame) -> DataFrame:
         F.min("at").alias("start"),
         F.min_by("speaker", first).alias("speaker"),
         F.count("*").alias("lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "pos", "said"))), lambda x: x["said"]), " ").alias("text"),
     )
 
 

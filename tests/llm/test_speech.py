@@ -77,6 +77,22 @@ def test_turns_don_t_depend_on_how_rows_lie(spark):
         assert sorted((r.first_pos, r.speaker) for r in got.collect()) == want
 
 
+def test_turns_give_the_clean_text(spark):
+    long = "The client accepted the plan, er, which surprised all of us and everyone else in the team at 16:30, because nobody (applause) had um expected it."
+    clean = "The client accepted the plan which surprised all of us and everyone else in the team at 16:30, because nobody had expected it."
+    data = [
+        ("m", "0", 1.0, None, "[00:01] Anna Berg: Um, we agreed to send the quote. [music]", PEOPLE), ("m", "1", 2.0, None, "uh", PEOPLE), ("m", "2", 3.0, None, long, PEOPLE),
+        ("m", "3", 4.0, None, "A. Berg: (312) 555-0144", PEOPLE), ("m", "4", 5.0, None, "<v carl_dorn>Bolo Foods asked us, uh, twice.</v>", PEOPLE), ("m", "5", 6.0, None, "韩 龙炜（主持）：呃，预算还卡着。 ♪", PEOPLE),
+    ]
+    text = "Carl Dorn  00:00:02\nUm, first words\n[laughter]\nand more, you know, of them\n\nAnna Berg  00:00:09\nlater words"
+    t = spark.createDataFrame([("transcripts", "t", text, PEOPLE)], "origin string, record_id string, text string, participants string")
+    got = turns.turns(turns.lines_of(seg(spark, data), t).repartition(3))
+    assert rows(got.select("record_id", "turn_no", "speaker", "text"), "record_id", "turn_no") == [
+        ("m", 1, "Anna Berg", f"we agreed to send the quote. {clean} (312) 555-0144"), ("m", 2, "Carl Dorn", "Bolo Foods asked us twice."), ("m", 3, "韩龙炜", "预算还卡着。"),
+        ("t", 1, "Carl Dorn", "first words and more of them"), ("t", 2, "Anna Berg", "later words"),
+    ]
+
+
 LINES = {
     "en": "the plan is still blocked and nobody knows why|we agreed to send the revised quote by friday|could somebody call the client back|there is a gap in the budget of the team",
     "fr": "le client accepte la maquette mais veut revoir les détails|nous avons convenu de rédiger la synthèse|rien n'a bougé depuis le dernier appel|il manque encore un budget pour les équipes",
