@@ -1,7 +1,7 @@
 """Short given names, shared by the operators on names.
 
-Forms in -y and -ie follow a rule: the beginning of a name, perhaps with its last consonant doubled. The others are
-listed, as most beginnings of names are no short forms but words.
+Most short forms follow a rule: the beginning of a name, perhaps with its last consonant doubled and -y or -ie behind
+it. The others are listed, for common English given names whether or not any table has them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,19 @@ SHORT = {
     "robert": "rob bob bobby bert", "rosalind": "roz rosa linda ros", "samuel": "sam", "stephanie": "steph stevie steffi", "susannah": "sue susan sanna",
     "theodore": "ted theo teddy", "timothy": "tim", "tobias": "tobi", "valentina": "val tina", "veronica": "ronnie vera nica", "victoria": "vicky tori vic", "walter": "walt",
     "william": "bill will billy liam", "winifred": "fred freda win",
+    "adelaide": "addie heidi", "agnes": "aggie nessie", "albert": "al bert bertie", "alfred": "al fred freddie alf", "alice": "allie ally", "amelia": "millie mel amy", "andrew": "drew andy",
+    "angela": "angie", "ann": "annie nan nancy", "anthony": "tony", "archibald": "archie", "arthur": "art artie", "bernard": "bernie", "bridget": "biddy bridie", "caroline": "carrie lina caro",
+    "cecilia": "celia cissy", "charles": "chuck charlie chas chip", "charlotte": "lottie charlie lotte", "clarence": "clare", "cornelius": "neil connie", "cynthia": "cindy", "david": "dave davy",
+    "denise": "denny", "dennis": "denny", "dolores": "lola lolly", "donald": "don donnie", "douglas": "doug", "edmund": "ed ned ted", "edwin": "ed ned", "eugene": "gene", "evelyn": "eve evie",
+    "florence": "flo flossie", "frances": "fran fanny frankie", "francis": "frank fran", "franklin": "frank", "george": "georgie", "gerald": "gerry jerry", "gertrude": "trudy gertie", "gilbert": "gil bert",
+    "harriet": "hattie", "henry": "hank harry hal", "herbert": "herb bert", "howard": "howie", "isaac": "ike zac", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie", "jane": "janie jenny",
+    "jeremy": "jerry", "jessica": "jess", "john": "jack johnny jock", "judith": "judy", "katherine": "kate kathy kit katie kat", "kathleen": "kate kathy", "kenneth": "ken", "leonora": "nora", "lillian": "lily",
+    "louis": "lou louie", "louisa": "lou", "lucille": "lucy", "marcus": "marc", "margery": "marge", "martha": "marty patty", "martin": "marty", "mary": "molly polly may mae", "matilda": "tilda tilly mattie",
+    "maximilian": "max", "melissa": "lissa missy mel", "michael": "mike mick mickey micky", "mildred": "millie", "mitchell": "mitch", "nancy": "nan", "natalie": "nat", "nicholas": "nick nicky nico klaus", "pamela": "pam",
+    "patricia": "pat patsy patty trish tricia", "peter": "pete", "phillip": "phil pip", "prudence": "prue", "rachel": "rae", "raymond": "ray", "reginald": "reg reggie", "roderick": "rod rick", "roland": "rollie",
+    "ronald": "ron ronnie", "rudolph": "rudy", "russell": "russ", "sarah": "sally sadie", "sebastian": "seb bastian", "silvester": "sly", "solomon": "sol", "stephen": "steve stevie", "steven": "steve stevie",
+    "sylvia": "syl", "teresa": "tess terry tessa", "terence": "terry", "thomas": "tom tommy", "vincent": "vin vince vinny", "virginia": "ginny ginger", "vivian": "viv", "wallace": "wally", "wilhelmina": "mina minnie billie",
+    "zachary": "zach zack zac",
 }
 
 #: Short form to the given names it may stand for.
@@ -39,7 +52,7 @@ def regular(full: str) -> set[str]:
     for n in (3, 4, 5):
         b = full[:n]
         if n < len(full):
-            out |= {f"{b}y", f"{b}ie"}
+            out |= {b, f"{b}y", f"{b}ie"}
             if b[-1] not in "aeiouy":
                 out |= {f"{b}{b[-1]}y", f"{b}{b[-1]}ie"}
     return out

@@ -43,6 +43,14 @@ def test_groups(spark):
     assert clusters(spark) == []
 
 
+def test_short_forms_of_names_in_no_table(spark):
+    for short, full in (("mike", "michael"), ("jim", "james"), ("dave", "david"), ("tom", "thomas"), ("ben", "benedict"), ("tony", "anthony"), ("max", "maxwell")):
+        assert N.same_given(short, full) and N.same_given(full, short), full
+    assert not N.same_given("jim", "joan") and not N.same_given("be", "benedict")
+    got = clusters(spark, ("person", "Mike Orvolkeshaw", []), ("person", "Michael Orvolkeshaw", []), ("person", "Ben Hestalow", []), ("person", "Benedict Hestalow", []))
+    assert got == [[0, 1], [2, 3]]
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([("b", "person", "a"), ("a", "person", "a"), ("c", "person", "a"), ("d", "project", "d")], "entity_id string, entity_type string, cluster_id string")
     assert rows(N.pairs(df)) == [("a", "b"), ("a", "c"), ("b", "c")]
