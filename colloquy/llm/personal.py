@@ -176,16 +176,33 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
                 yield got.start(), got.end(), kind
 
 
+#: The words of _DISGUISE, for the hints.
+_AT, _DOT = ("at", "arroba", "arobase", "ät", "艾特"), ("dot", "punto", "point", "ponto", "punkt", "点")
+_BEHIND_AT = re.compile(rf" *(?:{'|'.join(_AT)})(?: *[\])}}>]| +[A-Za-z0-9\-]+(?: +(?:{'|'.join(_DOT)}) | *[\[({{]|\.[A-Za-z0-9\-]))", re.I)
+_BEHIND_DOT = re.compile(rf" *(?:dot +\w|(?:{'|'.join(_DOT)}) *[\])}}])", re.I)
+_BEHIND_PLUS = re.compile(r" *plus +\w+(?: +at | *[\[(@])", re.I)
+_PAUSE = " ,;-"
+#: A hint that counts at the beginning of a word.
+START = "start"
 #: What a text with disguised addresses, spelled numbers or postal addresses (by place in ADDRESS) holds.
+#: Every match of a pattern holds a hint of its set (in a text with blanks for all white space); a hint that is a
+#: pattern counts where it matches, the others everywhere. "digit" hints count three in a row, pauses between them.
 HINT_SETS = (
-    {h: "disguise" for h in (" dot ", "(at", "[at", "( at", "[ at", "{at", "<at>", "(dot", "[dot", "arroba", "arobase", "艾特", *"\u200b\u200c\u200d\u2060\u00ad\ufeff")},
-    {f" {w}" if len(w) > 3 else f" {w} ": "digit" for w in DIGIT_WORDS if len(w) > 2},
-    {h: 0 for h in ("street", " st.", " road", " rd", " lane", " ln", " ave", " drive", " dr.", " court", " ct.", "blvd", "boulevard", " terrace", " ter.", " close,", " close ", " close\n", " crescent", " way", " place", " square")},
-    {h: 1 for h in ("rue ", "impasse ", "quai ", "allée ", "chemin ", "cours ", "route ", "sentier ", "place ", "avenue ", "boulevard ")},
-    {h: 3 for h in ("calle", "c/", "avenida", "avda.", "av.", "plaza", "paseo", "camino")},
-    {h: 4 for h in ("rua ", "r. d", "avenida", "av.", "travessa", "praça", "largo ", "estrada")},
-    {"号": 5},
+    {f"{x}{w}{y}": ("disguise", _BEHIND_AT) for w in _AT for x in " [({<" for y in " ])}>"},
+    {f"{x}{w}{y}": ("disguise", _BEHIND_DOT) for w in _DOT for x in " [({" for y in " ])}"},
+    {" plus ": ("disguise", _BEHIND_PLUS)},
+    {h: ("disguise", None) for h in (" underscore ", "艾特", *"\u200b\u200c\u200d\u2060\u00ad\ufeff")},
+    {f"{x}{w}{y}": ("digit", None) for w in DIGIT_WORDS for x in _PAUSE for y in _PAUSE},
+    {h: (1, None) for h in ("rue ", "impasse ", "quai ", "allée ", "chemin ", "cours ", "route ", "sentier ", "place ", "avenue ", "boulevard ")},
+    {h: (3, None) for h in ("calle", "c/", "avenida", "avda.", "av.", "plaza", "paseo", "camino")},
+    {h: (4, None) for h in ("rua", "avenida", "av.", "travessa", "praça", "largo", "estrada")},
+    {"r.": (4, START)},
+    {"号": (5, None)},
 )
+#: What stands at the head of an English address: house number and a capital.
+_HOUSE = re.compile(r"\d[A-Za-z]? [A-ZÀ-Þ]")
+_SPACE = re.compile(r"[^\S ]")
+_LATIN = re.compile("[A-Za-zÀ-ÿ0-9_]")
 _POSTCODE = re.compile(r"\d ?[a-z]?, \d{5} ")
 
 
@@ -198,26 +215,34 @@ class Finder:
         both: dict[str, list] = {g: [g] for g in self.fulls if len(g) > 1}
         for hints in HINT_SETS:
             for h, what in hints.items():
-                both.setdefault(h, []).append((what,))
+                both.setdefault(h, []).append(what)
         for w, what in both.items():
             self.auto.add_word(w, (len(w), tuple(what)))
         self.auto.make_automaton()
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, str]], set]:
+        text = _SPACE.sub(" ", plain(text))
         low = text.lower()
         if len(low) != len(text):
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        names, hints, digits = [], set(), [-99]
+        names, hints, run, reach = [], set(), 0, 0
         for last, (n, whats) in self.auto.iter(low):
             for w in whats:
                 if isinstance(w, str):
                     names.append((last - n + 1, last + 1, w))
-                elif w[0] == "digit":
-                    if last - digits[-1] < 40:
+                    continue
+                what, more = w
+                if what == "digit":
+                    run = run + 1 if not low[reach : last - n + 2].strip(_PAUSE) else 1
+                    reach = last
+                    if run > 2:
                         hints.add("spelled")
-                    digits.append(last)
-                else:
-                    hints.add(w[0])
+                elif what not in hints:
+                    at = last - n + 1
+                    if more is None or more is START and not (at and _LATIN.match(low[at - 1])) or more is not START and more.match(low, at + (low[at] in "[({<")):
+                        hints.add(what)
+        if _HOUSE.search(text):
+            hints.add(0)
         return names, hints
 
 

@@ -35,6 +35,20 @@ def test_impersonal_numbers():
         assert hits(x) == []
 
 
+def test_hints_hide_nothing():
+    """What the patterns find in a text alone, whatever it holds besides."""
+    for v in (
+        "anna(ät)firma(punkt)de", "anna@firma (punto) es", "anna@firma(ponto)pt", "anna@firme [ point ] fr", "anna@firm{dot}test", "anna (  at\t) firm.test", "anna at firm.test", "anna@firm（点）test", "anna { arroba } firma.es",
+        "anna plus x at firm.test", "anna\ndot\nb@firm.test",
+    ):
+        assert [k for _, k in hits(v)] == ["email"] and hits(v) == [(v, "email")], v
+    for v in ("five-five-five-oh-one-two-four", "one, two, six, one, two, three, four", "null-drei-null;zwei-drei-eins-zwei, fünf, sechs, null, sechs", "un,deux,trois,un,deux,trois,quatre"):
+        assert "spelled" in P.Finder([]).scan(v)[1] and P._SPELLED.search(v), v
+    for v in ("R. Augusta, 12, 1100-053 Lisboa", "12 Elm Close", "7 Old Mill St", "Rua\u00a0Augusta, 12, 1100-053 Lisboa"):
+        for text in (v, f"{v}.", f"at {v}!"):
+            assert [(x.rstrip("."), k) for x, k in hits(text)] == [(v, "address")], text
+
+
 def test_values_broken_over_lines():
     text = "> Please write to the town house at Flat 8,\n> 223 Ashcombe Road, Norrington or call her office at 07700\n> 900186 today."
     assert [k for _, k in hits(text)] == ["address", "phone"]
