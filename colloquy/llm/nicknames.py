@@ -6,8 +6,6 @@ it. The others are listed, for common English given names whether or not any tab
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 #: Common English short forms of given names that the rule does not give.
 SHORT = {
     "abigail": "abby abbie gail", "alexander": "alex sasha xander sandy lex alec", "anastasia": "stacy ana nastya stacey anya", "augustin": "gus austin",
@@ -68,10 +66,13 @@ def same_given(a: str, b: str) -> bool:
     return a == b or bool(set(fulls(a)) & set(fulls(b))) or any(y in regular(x) for p in fulls(a) for q in fulls(b) for x, y in ((p, q), (q, p)))
 
 
-def forms(givens: Iterable[str]) -> dict[str, tuple[str, ...]]:
-    """Every form a text may have of the given names, with the names it may stand for."""
-    out: dict[str, tuple[str, ...]] = {}
-    for full in sorted(set(givens) | set(SHORT)):
-        for form in {full, *regular(full), *SHORT.get(full, "").split()}:
-            out[form] = (*out.get(form, ()), full)
-    return out
+def beginnings(form: str) -> list[str]:
+    """The beginnings of the given names a form is short for by the rule: the other way of ``regular``."""
+    out = [form]
+    for end in ("y", "ie"):
+        if form.endswith(end):
+            b = form[: -len(end)]
+            out.append(b)
+            if b[-2:-1] == b[-1:] and b[-1:] not in "aeiouy":
+                out.append(b[:-1])
+    return [b for b in out if 3 <= len(b) <= 5]

@@ -3,14 +3,15 @@
 Transducers rewrite a text step by step (wide digits and look-alike letters one to one; "(at)", "dot", spelled digits
 and line wraps with a change of length), each keeping the places where it changed something, so every match in the
 rewritten text is mapped back to its source characters. Identifiers are recognised by the shapes of their numbers.
-Names are proposed around given names (an Aho-Corasick pass), initials and Chinese family names, and accepted by a
-join with the table of known people, so the people never have to fit into one task.
+Names are proposed around words that may be family names, initials and Chinese family names, and accepted by a join
+with the table of known people, so neither the people nor their names have to fit into one task.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .nicknames import forms
+from .nicknames import beginnings, fulls
 
 KINDS = ("email", "phone", "id", "address", "name")
-#: Most given names learned, by the number of people who bear them.
-GIVEN_NAMES = 20_000
+#: Bits of the maps of the known names' hashes; a hash that several words share costs a row of the join, no result.
+BITS = 1 << 22
 #: A Chinese family name with a title or a familiar prefix is no full name.
 TITLED = "(总|哥|姐|工|董|局|处|经理|主任|老师|工程师|先生|女士|博士|教授)$|^[老小阿]"
-HITS = "origin string, record_id string, fact_no int, start_pos int, end_pos int, kind string, family string, givens array<string>, initial string, sure boolean"
+HITS = "origin string, record_id string, fact_no int, start_pos int, end_pos int, kind string, family string, givens array<string>, begins array<string>, initial string, sure boolean"
 
 # --- transducers -------------------------------------------------------------------------------------------------
 
@@ -206,13 +207,26 @@ _LATIN = re.compile("[A-Za-zÀ-ÿ0-9_]")
 _POSTCODE = re.compile(r"\d ?[a-z]?, \d{5} ")
 
 
+class Known(dict):
+    """1 for a word that may be a family name, 2 for one that may be a given name several bear, 3 for both, else 0."""
+
+    def __init__(self, maps: tuple[bytes, ...]) -> None:
+        self.maps = maps
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = zlib.crc32(fold(word).encode()) % BITS
+        self[word] = got = sum(1 << i for i, m in enumerate(self.maps) if m[h >> 3] >> (h & 7) & 1)
+        return got
+
+
 class Finder:
-    """One Aho-Corasick pass over a text: the given names in it, and which of the costlier searches it needs."""
+    """The words of a text that known names may have, and which of the costlier searches it needs."""
 
-    def __init__(self, givens: list[str]) -> None:
-        self.auto = ahocorasick.Automaton()
-        self.fulls = forms(givens) if givens else {}
-        both: dict[str, list] = {g: [g] for g in self.fulls if len(g) > 1}
+    def __init__(self, maps: tuple[bytes, ...] | list = ()) -> None:
+        self.auto, self.known = ahocorasick.Automaton(), Known(tuple(maps)) if maps else None
+        both: dict[str, list] = {}
         for hints in HINT_SETS:
             for h, what in hints.items():
                 both.setdefault(h, []).append(what)
@@ -220,18 +234,22 @@ class Finder:
             self.auto.add_word(w, (len(w), tuple(what)))
         self.auto.make_automaton()
 
-    def scan(self, text: str) -> tuple[list[tuple[int, int, str]], set]:
+    def scan(self, text: str) -> tuple[list[tuple[int, int, int, int, int]], set]:
+        """(start, end, kind as in Known, start and end of the word before) of the words, and the hints."""
+        known, names, before = self.known, [], (0, 0)
+        if known is not None:
+            for m in _WORD.finditer(text):
+                at = m.span()
+                if k := known[m[0]]:
+                    names.append((*at, k, *before))
+                before = at
         text = _SPACE.sub(" ", plain(text))
         low = text.lower()
         if len(low) != len(text):
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        names, hints, run, reach = [], set(), 0, 0
+        hints, run, reach = set(), 0, 0
         for last, (n, whats) in self.auto.iter(low):
-            for w in whats:
-                if isinstance(w, str):
-                    names.append((last - n + 1, last + 1, w))
-                    continue
-                what, more = w
+            for what, more in whats:
                 if what == "digit":
                     run = run + 1 if not low[reach : last - n + 2].strip(_PAUSE) else 1
                     reach = last
@@ -316,30 +334,47 @@ def fold(x: str) -> str:
 
 
 _GAP = r"(?:[ \t_.\-·]{1,3}|,[ \t_]?|[ \t]*,?\n(?:[>|]|[A-Z]{2,4}>|[ \t])*)"
-_NEXT = re.compile(rf"({_GAP})(?:([A-Za-zÀ-ÿ])\.?{_GAP})?([A-Za-zÀ-ɏ]{{3,40}})")
-_PREV = re.compile(rf"([A-Za-zÀ-ɏ]{{3,40}})({_GAP})$")
+_WORD = re.compile("[A-Za-zÀ-ɏ]{2,40}")
+_GIVEN = r"[A-Za-zÀ-ɏ]{2,40}(?:['’\-][A-Za-zÀ-ɏ]{2,40}){0,2}"
+#: A given name behind a family name, a family name behind a given one, and what is between a given and a family name.
+_AFTER = re.compile(rf"{_GAP}({_GIVEN})(?![A-Za-zÀ-ɏ])")
+_NEXT = re.compile("(?:  ?|_)([A-ZÀ-ɏ][A-Za-zÀ-ɏ]{3,39})")
+_BETWEEN = re.compile(rf"{_GAP}(?:[A-Za-zÀ-ÿ]\.?{_GAP})?")
+_JOINED = re.compile("(?<![A-Za-zÀ-ɏ])[A-Za-zÀ-ɏ]{2,40}['’\\-]$")
 _INITIAL = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9_.@+\-])([A-ZÀ-Þ])(\.[ \t_]?|[ \t_])(?:[A-Z]\.[ \t_]?)?([A-ZÀ-Þ][A-Za-zÀ-ɏ]{{2,40}})(?![A-Za-zÀ-ɏ0-9_@])")
 _TRAIL = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_.@+\-])([A-ZÀ-Þ][A-Za-zÀ-ɏ]{2,40})(,?[ \t_]{1,2})([A-ZÀ-Þ])\.(?![\w@])")
 
 
-def around(text: str, given: list[tuple[int, int, str]], givens: set[str], fulls: dict[str, tuple[str, ...]]) -> Iterator[tuple[int, int, str, tuple[str, ...], str | None, bool]]:
-    """Proposed Latin names: (start, end, family, given names it may be, initial, sure without the people's table)."""
+def around(text: str, words: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, str | None, list[str], list[str], str | None]]:
+    """Proposed Latin names: (start, end, family, given names it may be, beginnings of such, initial).
+
+    Family is null where a given name several people bear is enough.
+    """
     n = len(text)
-    for a, b, g in given:
-        if a and (text[a - 1] < "ɐ" and text[a - 1].isalpha() or text[a - 1] == "@") or b < n and text[b] < "ɐ" and text[b].isalpha():
+    for a, b, k, first, last in words:
+        if k & 2 and text[a].isupper() and not (a and (text[a - 1] < "ɐ" and text[a - 1].isalpha() or text[a - 1] == "@")):
+            if (m := _NEXT.match(text, b)) and m[1][0].isupper():
+                yield a, m.end(), None, [fold(text[a:b])], [], None
+        if not k & 1 or b - a < 3:
             continue
-        names = fulls[g]
-        if m := _NEXT.match(text, b, min(n, b + 70)):
-            word = m[3]
-            proper = word[0].isupper() and text[a].isupper() and g in givens and len(word) > 3 and m[1] in (" ", "  ", "_") and not m[2]
-            yield a, m.end(), fold(word), names, None, proper
-        if m := _PREV.search(text, max(0, a - 50), a):
-            yield m.start(1), b, fold(m[1]), names, None, False
+        family = fold(text[a:b])
+        if m := _AFTER.match(text, b, min(n, b + 140)):
+            for end in {m.end(1), *(m.start(1) + i for i, c in enumerate(m[1]) if c in "'’-")}:
+                g = fold(text[m.start(1) : end])
+                yield a, end, family, list(fulls(g)), beginnings(g), None
+        if last and not (first and (text[first - 1] == "@" or text[first - 1] < "ɐ" and text[first - 1].isalpha())) and _BETWEEN.fullmatch(text, last, a):
+            begin = first
+            for _ in range(3):
+                g = fold(text[begin:last])
+                yield begin, b, family, list(fulls(g)), beginnings(g), None
+                if not begin or text[begin - 1] not in "'’-" or not (m := _JOINED.search(text, max(0, begin - 42), begin)):
+                    break
+                begin = m.start()
     for m in _INITIAL.finditer(text):
-        yield m.start(), m.end(), fold(m[3]), (), fold(m[1]), False
+        yield m.start(), m.end(), fold(m[3]), [], [], fold(m[1])
     for m in _TRAIL.finditer(text):
         if "," in m[2]:  # Family, G.
-            yield m.start(), m.end(), fold(m[1]), (), fold(m[3]), False
+            yield m.start(), m.end(), fold(m[1]), [], [], fold(m[3])
 
 
 _REST = re.compile("[ 　]?([一-鿿]{1,3})")
@@ -372,11 +407,12 @@ def people_of(participants: DataFrame, knowledge: DataFrame) -> DataFrame:
     return latin.select(fold_udf("family").alias("family"), fold_udf("given").alias("given")).unionByName(han).distinct()
 
 
-def given_names(people: DataFrame, most: int = GIVEN_NAMES) -> tuple[set[str], set[str]]:
-    """Given names several people bear (at most ``most``), and the first characters of Chinese names."""
-    latin = people.where("given != ''").groupBy("given").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "given").limit(most).collect()
-    han = people.where("given = ''").select(F.substring("family", 1, 1).alias("c")).distinct().limit(most).collect()
-    return {r.given for r in latin}, {r.c for r in han}
+def bitmap(words: DataFrame) -> bytes:
+    """Which hashes the words of a one-column table have; of fixed size however many they are."""
+    out = bytearray(BITS // 8)
+    for h in words.select(F.pmod(F.crc32(F.encode(words.columns[0], "utf-8")), F.lit(BITS)).cast("int").alias("h")).distinct().toPandas().h:
+        out[h >> 3] |= 1 << (h & 7)
+    return bytes(out)
 
 
 def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
@@ -386,22 +422,24 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
     texts have no mention. Of overlapping mentions the identifier wins over the name, the longer name over the
     shorter. Equal texts under several ids are each reported.
     """
-    givens, han = given_names(people)
+    people = runtime.stored(people.distinct(), "p4-people")
+    borne = people.where("given != ''").groupBy("given").agg(F.count("*").alias("n")).where("n > 1").select("given")
+    maps = (bitmap(people.where("given != ''").select("family")), bitmap(borne))
+    han = {r.c for r in people.where("given = ''").select(F.substring("family", 1, 1).alias("c")).distinct().collect()}
     families = re.compile(f"[{re.escape(''.join(sorted(han)))}](?=[ 　]?[一-鿿])") if han else None
-    auto_words = sorted(givens)
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(auto_words)
+        finder = Finder(maps)
         for p in parts:
             rows = []
             for origin, rid, no, text in zip(p.origin, p.record_id, p.fact_no, p.text, strict=True):
-                given, hints = finder.scan(text)
+                words, hints = finder.scan(text)
                 hits = detect(text, hints)
-                rows += [(origin, rid, no, a, b, k, None, None, None, True) for a, b, k in hits]
+                rows += [(origin, rid, no, a, b, k, None, None, None, None, True) for a, b, k in hits]
                 free = Free(hits)
-                rows += [(origin, rid, no, a, b, "name", f, list(g), i, s) for a, b, f, g, i, s in around(text, given, givens, finder.fulls) if free(a, b)]
-                rows += [(origin, rid, no, a, b, "name", f, [""], None, False) for a, b, f in chinese(text, families) if free(a, b)]
-            yield pd.DataFrame(rows, columns=["origin", "record_id", "fact_no", "start_pos", "end_pos", "kind", "family", "givens", "initial", "sure"])
+                rows += [(origin, rid, no, a, b, "name", f, g, h, i, False) for a, b, f, g, h, i in around(text, words) if free(a, b)]
+                rows += [(origin, rid, no, a, b, "name", f, [""], [], None, False) for a, b, f in chinese(text, families) if free(a, b)]
+            yield pd.DataFrame(rows, columns=["origin", "record_id", "fact_no", "start_pos", "end_pos", "kind", "family", "givens", "begins", "initial", "sure"])
 
     found = runtime.stored(
         runtime.spread(records.select("origin", "record_id", "fact_no", "text").where(F.length("text") > 0), "record_id", "fact_no").mapInPandas(look, HITS), "p4-hits"
@@ -409,10 +447,11 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
     place = ["origin", "record_id", "fact_no", "start_pos", "end_pos", "kind"]
     known = found.where("not sure").join(
         people.withColumnRenamed("family", "f"),
-        (F.col("family") == F.col("f")) & (F.array_contains("givens", F.col("given")) | F.col("given").startswith(F.col("initial"))),
+        (F.col("family") == F.col("f")) & (F.array_contains("givens", F.col("given")) | F.expr("exists(begins, x -> startswith(given, x) and length(given) > length(x))") | F.col("given").startswith(F.col("initial"))),
         "leftsemi",
     )
-    names = found.where("sure and kind = 'name'").select(*place).unionByName(known.select(*place))
+    alone = found.where("not sure and family is null").withColumn("g", F.col("givens")[0])
+    names = alone.join(borne, F.col("g") == F.col("given"), "leftsemi").select(*place).unionByName(known.select(*place))
     return found.where("sure and kind != 'name'").select(*place).unionByName(longest(names))
 
 

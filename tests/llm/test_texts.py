@@ -76,6 +76,15 @@ def test_names_and_redaction(spark):
     assert P.mentions(df.limit(0), people).count() == 0
 
 
+def test_given_names_one_person_bears(spark):
+    who = "Xochitl Ramos; Benedict Orvolkeshaw; Michael Hestalow; Jean-Luc Törolund; Anna Falk, Anna Berg"
+    people = P.people_of(spark.createDataFrame([(who,)], "participants string"), spark.createDataFrame([], "entity_type string, name string"))
+    want = ["Xochitl Ramos", "RAMOS, Xochitl", "Ben Orvolkeshaw", "Benny Orvolkeshaw", "Mike Hestalow", "Jean-Luc Törolund", "Anna Newcomer", "Michael T. Hestalow"]
+    text = "Ask " + "; ask ".join(want) + "; not Xochitl Falk, Ramos or Xochitl, the Ramos, Benjamin Orvolkeshaw."
+    found = P.mentions(spark.createDataFrame([("imports", "1", -1, text)], "origin string, record_id string, fact_no int, text string"), people)
+    assert [text[r.start_pos : r.end_pos] for r in found.orderBy("start_pos").collect()] == want
+
+
 @pytest.fixture(scope="module")
 def model():
     path = "/root/testdata/sf0.01/documents.parquet"
