@@ -5,8 +5,9 @@
 2. Trie join of the telling words: words go to shards by the segments they are cut into (of two words within the
    bound at least one segment is equal), each shard holds its words in a trie, and every word runs through it with the
    rows of a Levenshtein automaton (with transposition), which gives all neighbours within the bound.
-3. Nodes with neighbouring words are compared part by part in every order: given names may be short forms, trades
-   abbreviated, and all slips together stay within the bound.
+3. Nodes of which two words (of a weak reading, its word and initial) are neighbours, short forms or abbreviations of
+   one another are compared part by part in every order, and all slips together stay within the bound. The join is on
+   both words, so a common one makes no more pairs than are alike in the other, and none is left out.
 4. Entries are joined along their nodes and these links. An initial, or a firm's word without its trade, counts only
    if all that it fits is one person or firm; a given name, a title or a set of initials alone counts for nothing.
 """
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from ..operators.graph import components
-from .nicknames import LONG, fulls, same_given
+from .nicknames import LONG, fulls, regular, same_given
 from .personal import fold
 
 #: Most slips between two spellings; words under LONG_WORD letters may differ by one, under SHORT_WORD by none.
 SLIPS, LONG_WORD, SHORT_WORD = 2, 8, 5
-#: A word is looked up if it goes with so few others, or with no more than twice as many as the name's rarest word.
-COMMON = 50
 #: Shards of the trie join per core.
 SHARDS = 4
 #: And so many words to a shard, so that more words are more shards.
@@ -156,7 +155,7 @@ def firm(name: str) -> list[tuple[str, str, list[str]]]:
         return []
     if len(words) == 1:
         return [("core", words[0], words)] if len(words[0]) > 3 else []
-    parts = sorted(words[:3])
+    parts = sorted(words)
     return [("full", " ".join(parts), parts)]
 
 
@@ -212,16 +211,12 @@ def alike(kind_a: str, a: list[str], kind_b: str, b: list[str], is_firm: bool, m
         return any(slips(one[0], w) <= bound(one[0], w) for w in other)
     if len(a) != len(b):
         return False
-    orders = ([0, 1], [1, 0]) if len(a) == 2 else ([0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0])
-    for order in orders:
-        n = 0
-        for x, j in zip(a, order, strict=True):
-            n += part_slips(x, b[j], is_firm)
-            if n > most:
-                break
-        if n <= most:
+    def fits(i: int, free: tuple[int, ...], left: int) -> bool:
+        if i == len(a):
             return True
-    return False
+        return any((n := part_slips(a[i], b[j], is_firm)) <= left and fits(i + 1, tuple(k for k in free if k != j), left - n) for j in free)
+
+    return fits(0, tuple(range(len(b))), most)
 
 
 def abbreviates(a: list[str], b: list[str]) -> str | None:
@@ -326,6 +321,28 @@ def trie_join(words: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "slips")).distinct()
 
 
+def short_keys(entity_type: str, word: str) -> list[dict]:
+    """Keys on which a word meets those it is short for, or that are short for it: its own, and such as its short forms have."""
+    if entity_type != "project":
+        return [{"key": p, "own": True} for p in fulls(word)] + [{"key": f, "own": False} for f in sorted({f for p in fulls(word) for f in regular(p)})]
+    out = [{"key": f"{word}-", "own": True}] + [{"key": f"{word[:i]}-", "own": False} for i in range(2, len(word) - 1)]
+    if len(word) > 2 and not re.search("[aeiou]", word[1:]):
+        out.append({"key": word[:3], "own": True})
+    rest = [c for c in word[1:] if c not in "aeiou"]
+    return out + [{"key": word[0] + x + y, "own": False} for x, y in sorted({(x, y) for i, x in enumerate(rest) for y in rest[i + 1 :]})]
+
+
+def short_join(words: DataFrame) -> DataFrame:
+    """(entity_type, word, other): given names of which one is short for the other, words of firms that abbreviate, both ways."""
+    keys = F.pandas_udf(lambda t, w: pd.Series([short_keys(*x) for x in zip(t, w, strict=True)]), "array<struct<key string, own boolean>>")
+    fits = F.pandas_udf(lambda t, a, b: pd.Series([(shortened if k == "project" else same_given)(x, y) for k, x, y in zip(t, a, b, strict=True)]), "boolean")
+    keyed = runtime.stored(words.select("entity_type", "word", F.explode(keys("entity_type", "word")).alias("k")).select("entity_type", "word", "k.key", "k.own"), "p1-short")
+    other = keyed.select("entity_type", F.col("word").alias("other"), "key")
+    found = keyed.where("own").select("entity_type", "word", "key").join(other, ["entity_type", "key"]).where("word != other").select("entity_type", "word", "other").distinct()
+    found = runtime.stored(found.where(fits("entity_type", "word", "other")), "p1-shorts")
+    return found.unionByName(found.select("entity_type", F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
+
+
 # --- entries to groups -------------------------------------------------------------------------------------------
 
 
@@ -353,36 +370,35 @@ def groups(entries: DataFrame) -> DataFrame:
     """
     everything = entries.where("entity_type in ('person', 'project') and entity_id is not null").select("entity_id", "entity_type").distinct()
     read = runtime.stored(readings(runtime.spread(entries.select("entity_id", "entity_type", "name", "aliases", "updated"), "entity_id")), "p1-readings")
-    nodes = read.groupBy("entity_type", "key").agg(F.first("kind").alias("kind"), F.first("parts").alias("parts"), F.countDistinct("entity_id").alias("held"))
-    # the telling part of two: the one that goes with fewer others
-    words = nodes.select("entity_type", "key", "kind", "parts", "held", F.explode(F.when(F.col("kind") == "initial", F.slice("parts", 1, 1)).otherwise(F.col("parts"))).alias("word"))
-    spread = words.groupBy("entity_type", "word").agg(F.count("*").alias("partners"))
-    rarest = Window.partitionBy("entity_type", "key")
-    telling = runtime.stored(
-        words.where("kind != 'exact' and word != ''").join(spread, ["entity_type", "word"]).withColumn("least", F.min("partners").over(rarest)).where((F.col("partners") <= COMMON) | (F.col("partners") <= 2 * F.col("least"))).drop("partners", "least"), "p1-words"
-    )
-    near = runtime.stored(trie_join(telling.select("word").distinct()), "p1-near")
-    same = telling.select("word").distinct().select("word", F.col("word").alias("other"), F.lit(0).alias("slips"))
-    # the other part narrows a common word: nodes meet on the first letters of what it may stand for
-    letters = F.pandas_udf(lambda t, k, p, w: pd.Series([_letters(*x) for x in zip(t, k, p, w, strict=True)]), "array<string>")
-    keyed = telling.withColumn("letter", F.explode(letters("entity_type", "kind", "parts", "word")))
-    left = keyed.select("entity_type", "word", "letter", F.col("key").alias("a"), F.col("kind").alias("kind_a"), F.col("parts").alias("parts_a"), F.col("held").alias("held_a"))
-    right = keyed.select("entity_type", F.col("word").alias("other"), "letter", F.col("key").alias("b"), F.col("kind").alias("kind_b"), F.col("parts").alias("parts_b"), F.col("held").alias("held_b"))
-    pairs = (
-        left.join(near.unionByName(same), "word")
-        .join(right, ["entity_type", "other", "letter"])
-        .where("a < b and not (kind_a = 'core' and kind_b = 'core' and slips > 1)")
-        .groupBy("entity_type", "a", "b")
-        .agg(*[F.first(x).alias(x) for x in ("kind_a", "parts_a", "held_a", "kind_b", "parts_b", "held_b")])
-    )
+    nodes = read.groupBy("entity_type", "key").agg(F.first("kind").alias("kind"), F.first("parts").alias("parts"))
+    nodes = runtime.stored(nodes.where("kind != 'exact'"), "p1-nodes")
+    words = nodes.select("entity_type", F.explode(F.when(F.col("kind") == "initial", F.slice("parts", 1, 1)).otherwise(F.col("parts"))).alias("word")).where("word != ''").distinct()
+    words = runtime.stored(words, "p1-words")
+    near = words.join(trie_join(words.select("word").distinct()), "word").select("entity_type", "word", "other", "slips")
+    same = words.select("entity_type", "word", F.col("word").alias("other"), F.lit(0).alias("slips"))
+    related = runtime.stored(near.unionByName(same).unionByName(short_join(words).withColumn("slips", F.lit(0))), "p1-near")
+    # full names: two words of one meet two of the other
+    full = nodes.where("kind = 'full'").select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "x"))
+    two = full.select("*", F.posexplode("parts").alias("j", "y"))
+    side = lambda df, c: df.select(F.col("key").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("parts").alias(f"parts_{c}"), "entity_type", *[x for x in ("n", "x", "y", "letter") if x in df.columns])
+    met = related.select("entity_type", F.col("word").alias("x"), F.col("other").alias("x_b"))
+    met = side(two.where("i < j"), "a").join(met, ["entity_type", "x"]).join(met.toDF("entity_type", "y", "y_b"), ["entity_type", "y"]).drop("x", "y")
+    strong = met.join(side(two.where("i != j"), "b").withColumnsRenamed({"x": "x_b", "y": "y_b"}), ["entity_type", "n", "x_b", "y_b"]).where("a < b")
+    # weak readings: a word and an initial, or a word alone
+    letters = F.pandas_udf(lambda t, k, p, i: pd.Series([_letters(*x) for x in zip(t, k, p, i, strict=True)]), "array<string>")
+    weak = nodes.where("kind != 'full'").select("*", F.lit(0).alias("i"), F.col("parts")[0].alias("x"))
+    keyed = weak.unionByName(full.drop("n")).withColumn("letter", F.explode(letters("entity_type", "kind", "parts", "i")))
+    fits = side(keyed.where("kind != 'full'"), "a").join(related.select("entity_type", F.col("word").alias("x"), F.col("other").alias("x_b"), "slips"), ["entity_type", "x"]).drop("x")
+    loose = fits.join(side(keyed, "b").withColumnRenamed("x", "x_b"), ["entity_type", "x_b", "letter"]).where("(kind_b = 'full' or a < b) and not (kind_a = 'core' and kind_b = 'core' and slips > 1)")
+    ends = ["entity_type", "a", "b", "kind_a", "parts_a", "kind_b", "parts_b"]
+    pairs = strong.select(*ends).unionByName(loose.select(*ends)).dropDuplicates(["entity_type", "a", "b"])
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for t, x, y, ka, a, ha, kb, b, hb in zip(p.entity_type, p.a, p.b, p.kind_a, p.parts_a, p.held_a, p.kind_b, p.parts_b, p.held_b, strict=True):
+            for t, x, y, ka, a, kb, b in zip(p.entity_type, p.a, p.b, p.kind_a, p.parts_a, p.kind_b, p.parts_b, strict=True):
                 a, b, is_firm = list(a), list(b), t == "project"
-                # a slip is made once: two spellings that several entries have each are rarely two slips apart
-                if alike(ka, a, kb, b, is_firm, SLIPS - 1 if ha > 1 and hb > 1 else SLIPS):
+                if alike(ka, a, kb, b, is_firm):
                     short_a, short_b = (abbreviates(a, b), abbreviates(b, a)) if is_firm and ka == kb == "full" else (None, None)
                     rows.append((t, x, y, ka, kb, x if short_a else y if short_b else None, short_a or short_b))
             yield pd.DataFrame(rows, columns=["entity_type", "a", "b", "kind_a", "kind_b", "short", "stands_for"])
@@ -422,14 +438,13 @@ def groups(entries: DataFrame) -> DataFrame:
     )
 
 
-def _letters(entity_type: str, kind: str, parts: list[str], word: str) -> list[str]:
-    """First letters of the other part, as it and its long forms may begin; an initial is its own letter."""
+def _letters(entity_type: str, kind: str, parts: list[str], i: int) -> list[str]:
+    """What else a reading's word meets others by: an initial, or those the other parts of a full name may have."""
     if entity_type == "project" or kind == "core":
         return ["*"]
     if kind == "initial":
         return [parts[1]]
-    others = [p for p in parts if p != word] or [word]
-    return sorted({c for p in others for g in fulls(p) for c in g[:2]})
+    return sorted({g[0] for k, p in enumerate(parts) if k != i for g in fulls(p)})
 
 
 def pairs(grouped: DataFrame) -> DataFrame:

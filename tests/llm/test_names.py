@@ -51,6 +51,20 @@ def test_short_forms_of_names_in_no_table(spark):
     assert got == [[0, 1], [2, 3]]
 
 
+def test_common_words_link(spark):
+    given = [f"{a}{b}{c}" for a in ("qua", "zor", "wex", "jyf", "vub") for b in ("lti", "ngo", "rpu") for c in ("mda", "sko", "xev", "hnu")]
+    people = [("person", f"{g} Orvolkeshaw", []) for g in given] + [("person", f"Hubert {g[::-1]}stone", []) for g in given] + [("person", "Hubert Orvolkeshaw", []), ("person", "Hubertt Orvolkeshaw", []), ("person", "Hubie Orvolkeshaw", []), ("person", "H. Orvolkeshaw", [])]
+    firms = [("project", f"{g} Logistics", []) for g in given] + [("project", "Zephyr Logistics", []), ("project", "Zphr Logistics", [])]
+    groups = clusters(spark, *people, *firms)
+    n = len(people)
+    assert [n - 4, n - 3, n - 2, n - 1] in groups and [n + len(firms) - 2, n + len(firms) - 1] in groups
+
+
+def test_slips_of_spellings_many_have(spark):
+    got = clusters(spark, *[("person", x, []) for x in ("Hubert Orvolkeshaw", "Hubert Orvolkeshaw", "Hubertt Orvolkehsaw", "Hubertt Orvolkehsaw")], *[("project", x, []) for x in ("Zephyr Orbit Coastal Logistics", "Zephyr Orbit Coastal Logistcs", "Zephyr Orbit Coastal Insurance")])
+    assert got == [[0, 1, 2, 3], [4, 5], [6]]
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([("b", "person", "a"), ("a", "person", "a"), ("c", "person", "a"), ("d", "project", "d")], "entity_id string, entity_type string, cluster_id string")
     assert rows(N.pairs(df)) == [("a", "b"), ("a", "c"), ("b", "c")]
