@@ -5,7 +5,8 @@
    mails of its thread that share a long stretch with it) marks lines of the rest that lie inside a long inherited
    match, however they are wrapped. Which earlier mails those are comes from a join on winnowed fingerprints, each
    of which keeps its first mail only, so a thread of any length stays an equi-join of small rows.
-3. Endings that recur (lines that stand almost only at the end of mails, and in several of them) are stripped.
+3. Endings that recur (lines that stand almost only at the end of a sender's mails, and in a good part of them) are
+   stripped.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from .. import runtime
 
 #: Least length of an inherited match, in letters and digits; a Chinese character counts as three.
 MATCH = 90
-#: Fingerprints: length of the hashed stretch, and of the window of which the least hash is kept.
+#: Fingerprints: weight of the hashed stretch, and of the window of which the least hash is kept; together at most MATCH.
 GRAM, WINDOW = 40, 24
-#: An ending recurs if so many mails of LONG lines or more have it, so large a part of them in their last half LONG.
-ENDINGS, ENDING_SHARE, LONG = 8, 0.95, 6
+#: A sender's ending recurs if so many mails of LONG lines or more have it, so large a part of the sender's, so large a
+#: part of them in their last half LONG.
+ENDINGS, ENDING_PART, ENDING_SHARE, LONG = 3, 0.5, 0.95, 6
 
 #: Mail header fields of the six languages.
 FIELDS = (
@@ -71,6 +73,7 @@ _NOTICE = re.compile(
     r"confidentiel.*destinataire|reçu (?:ce message|cet e-?mail|ce courriel) par erreur|es confidencial|recib\w+ por error|é confidencial|recebeu por engano|"
     r"保密信息|误收了?本邮件", re.I,
 )
+_HAN = re.compile("[㐀-鿿]")
 PARSED = "import_id bigint, sender string, thread string, sent string, line_no array<int>, line array<string>, old string, prints array<bigint>"
 
 
@@ -174,7 +177,8 @@ def inherited(lines: list[str], olds: list[str], least: int = MATCH) -> list[boo
 
 
 def prints(text: str) -> list[int]:
-    """Winnowed fingerprints: any two texts sharing GRAM + WINDOW - 1 characters share one."""
+    """Winnowed fingerprints: any two texts sharing a stretch of weight GRAM + WINDOW - 1 share one."""
+    text = _HAN.sub(r"\g<0>\g<0>\g<0>", text)
     if len(text) < GRAM:
         return []
     h = [xxhash.xxh3_64_intdigest(text[i : i + GRAM]) >> 1 for i in range(len(text) - GRAM + 1)]
@@ -323,17 +327,19 @@ def newly_written(imports: DataFrame) -> DataFrame:
         mails.join(sources, "import_id", "left").mapInPandas(mark, "import_id bigint, sender string, line_no int, line string, from_end int, n_lines int"), "p6-lines"
     )
     keyed = lines.withColumn("key", F.xxhash64(F.lower(F.trim("line"))))
+    long = keyed.where((F.col("n_lines") >= LONG) & (F.col("sender") != ""))
+    sent = long.where("from_end = 0").groupBy("sender").agg(F.count("*").alias("mails"))
     recurring = (
-        keyed.where(F.col("n_lines") >= LONG)
-        .groupBy("key")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("from_end") < LONG // 2).alias("last"))
-        .where((F.col("n") >= ENDINGS) & (F.col("last") >= ENDING_SHARE * F.col("n")))
-        .select("key", F.lit(True).alias("ending"))
+        long.groupBy("sender", "key")
+        .agg(F.countDistinct("import_id").alias("in_mails"), F.count("*").alias("n"), F.count_if(F.col("from_end") < LONG // 2).alias("last"))
+        .join(sent, "sender")
+        .where((F.col("in_mails") >= ENDINGS) & (F.col("in_mails") >= ENDING_PART * F.col("mails")) & (F.col("last") >= ENDING_SHARE * F.col("n")))
+        .select("sender", "key", F.lit(True).alias("ending"))
     )
     # the end that recurs begins where no other line follows
     below = Window.partitionBy("import_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(recurring, "key", "left")
+        keyed.join(recurring, ["sender", "key"], "left")
         .withColumn("body", F.sum(F.when(F.col("ending"), 0).otherwise(1)).over(below))
         .where("body > 0")
         .select("import_id", "line_no", "line")

@@ -1,6 +1,7 @@
 """Problems 4, 5 and 6."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,19 @@ def test_newly_written(spark):
     body = "\n".join(f"line {{i}} {k}" for k in range(6))
     many = spark.range(12).select(F.col("id").alias("import_id"), F.concat(F.lit(HEAD), *[F.concat(F.lit(f"line {k} "), F.col("id").cast("string"), F.lit("\n")) for k in range(6)], F.lit(f"\n{notice}\n")).alias("content"), F.lit(None).cast("timestamp").alias("received_at"))
     assert body and M.newly_written(many).where(F.col("line") == notice).count() == 0 and M.newly_written(many).count() == 72
+
+
+def test_short_chinese_stretches_and_endings_of_a_sender(spark):
+    rng = random.Random(6)
+    for _ in range(50):
+        han = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30))
+        a, b = ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(40)) for _ in range(2))
+        assert M.weight(han) == M.MATCH and set(M.prints(a + han + b)) & set(M.prints(b + han + a))
+    head = "From: {0} <{0}@x.test>\nTo: b <b@x.test>\nSubject: {1}\nDate: 2025-01-0{2}\n\n"
+    words = lambda n: [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(4)) for _ in range(n)]
+    end = "Zweigstelle Nord der Firma"
+    own = [(i, head.format("anna", f"s{i}", i % 7 + 1) + "\n".join([*words(6), end])) for i in range(7)]
+    others = [(100 + i, head.format(f"p{i}", f"t{i}", 1) + "\n".join([*words(6), "Please call me back tomorrow"])) for i in range(9)]
+    df = spark.createDataFrame([(*r, None) for r in own + others], "import_id bigint, content string, received_at timestamp")
+    got = M.newly_written(df)
+    assert got.where(F.col("line") == end).count() == 0 and got.where("line like 'Please call%'").count() == 9 and got.count() == 7 * 6 + 9 * 7
