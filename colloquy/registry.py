@@ -416,6 +416,12 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
     return m.select("meeting_id", F.array_join(T.keywords(F.col("title")), " ").alias("words"))
 
 
+@query()
+def keywords_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all titles; those SQL splits otherwise are tested by brute force."""
+    return meetings(spark, d).select("meeting_id", F.array_join(T.keywords(F.col("title")), " ").alias("words"))
+
+
 @query(f"""WITH {MEET}, r AS (SELECT substr(date, 1, 7) AS month, meeting_id, row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY date DESC, created DESC, meeting_id DESC) AS k, length(md_text) AS n FROM m JOIN transcripts USING (meeting_id) WHERE length(md_text) > 0)
 SELECT month, meeting_id, CAST(sum(n + 1) OVER (PARTITION BY month ORDER BY k) AS BIGINT) AS used FROM r QUALIFY sum(n + 1) OVER (PARTITION BY month ORDER BY k) - 1 <= 12000""")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:

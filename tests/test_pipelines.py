@@ -29,3 +29,26 @@ def test_models_answers_are_checked(spark):
     assert pipelines.extracted_glossary("old", s, m, connectors.echo) == "old"
     t = spark.createDataFrame([("1", "Anne said so today"), ("2", "too short"), ("3", None)], "id string, content string")
     assert rows(pipelines.fixed_names(t, lambda p, k: p.replace("Anne", "Ann") if "Anne" in p else "x")) == [("1", "Ann said so today", True), ("2", "too short", False), ("3", None, False)]
+
+
+def test_keywords_of_all_titles(spark):
+    import os
+    import re
+
+    import pytest
+
+    from colloquy import registry
+    from colloquy.functions import text as T
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+
+    def brute(title):
+        words = [w for w in re.split(r"""[\s,，。、;；:：?？!！/()（）"“”'‘’\[\]]+""", title) if len(w) >= 2 and w.lower() not in T.STOP_WORDS]
+        return " ".join([*words, *(w[i : i + 2] for w in words if re.fullmatch("[㐀-鿿]{4,}", w) for i in range(len(w) - 1))])
+
+    titles = {r.meeting_id: r.title for r in registry.meetings(spark, d).select("meeting_id", "title").collect()}
+    got = {r.meeting_id: r.words for r in registry.queries()["keywords_all"](spark, d).collect()}
+    assert got == {k: v if v is None else brute(v) for k, v in titles.items()}
+    assert any(re.search("[^A-Za-z ]", x) for x in titles.values() if x)
