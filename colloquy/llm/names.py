@@ -2,9 +2,10 @@
 
 1. Every name and alias is reduced to its telling parts, in no order: a person's two names (or an initial and a family
    name), a firm's own word and its trade. Equal reductions are one node; copies of an entry cost nothing after that.
-2. Trie join of the telling words: words go to shards by the segments they are cut into (of two words within the
-   bound at least one segment is equal), each shard holds its words in a trie, and every word runs through it with the
-   rows of a Levenshtein automaton (with transposition), which gives all neighbours within the bound.
+2. Trie join of the telling words: words go to shards by their first letters with as many left out as slips are
+   allowed (neighbours always share a shard), each shard holds its words in a trie, and every word's Levenshtein
+   automaton (with transposition) is run along it, which gives all neighbours within the bound. Shards stay small as
+   words become many; those of words with a common beginning are cut finer by more letters.
 3. Nodes of which two words (of a weak reading, its word and initial) are neighbours, short forms or abbreviations of
    one another are compared part by part in every order, and all slips together stay within the bound. The join is on
    both words, so a common one makes no more pairs than are alike in the other, and none is left out.
@@ -15,11 +16,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -29,10 +32,10 @@ from .personal import fold
 
 #: Most slips between two spellings; words under LONG_WORD letters may differ by one, under SHORT_WORD by none.
 SLIPS, LONG_WORD, SHORT_WORD = 2, 8, 5
-#: Shards of the trie join per core.
-SHARDS = 4
-#: And so many words to a shard, so that more words are more shards.
-SHARD_WORDS = 5_000
+#: Letters at the head of a word by which shards of the trie join are keyed; those of words in crowded shards.
+HEAD, LONG_HEAD = 7, 24
+#: Words from which on a shard is crowded, and words to a partition of shards.
+CROWDED, SHARD_WORDS = 200, 5_000
 
 #: Titles, and marks of legal form.
 TITLES = frozenset("dr prof mr mrs ms mx miss sir dame herr frau mme mlle sr sra srta dona don eng ing".split())
@@ -47,6 +50,8 @@ HAN_TRADES = (
 ).split()
 #: The commonest family names.
 FAMILIES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+#: Family names of two characters.
+COMPOUND = frozenset("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐 司徒 夏侯 端木 独孤 南宫 长孙 宇文 轩辕".split())
 #: How characters common in given names are read; characters of one line sound alike.
 READINGS = """
 bin 斌彬宾 bo 博勃波伯 chao 超钞 chen 晨辰臣 cheng 成诚程 chun 春椿纯 dan 丹单旦 dong 东冬栋 fan 帆凡繁 fang 芳方坊 feng 峰锋丰风枫 guang 广犷光 guo 国帼果
@@ -110,9 +115,12 @@ def person(name: str) -> list[tuple[str, str, list[str]]]:
     if re.search("[一-鿿]", x):
         x = re.sub(r"\s", "", x)
         x = re.sub(f"(?:{HAN_TITLES})$", "", x) if len(x) > 3 else x
-        if not re.fullmatch("[一-鿿]{2,4}", x) or x[0] in "老小阿" or re.search(f"(?:{HAN_TITLES})$", x) or x[0] not in FAMILIES:
-            return []
-        read = [_READ.get(c, c) for c in x[1:]]
+        if not re.fullmatch("[一-鿿]{2,4}", x) or x[0] in "老小阿" or re.search(f"(?:{HAN_TITLES})$", x) or len(x) == 2 and x[0] not in FAMILIES:
+            return []  # two characters that begin with no common family name are a given name
+        cut = 2 if len(x) > 2 and x[:2] in COMPOUND else 1
+        read = [_READ.get(c, c) for c in x[cut:]]
+        if cut == 2:
+            return [("exact", f"{x[:2]} {' '.join(read)}", [x[:2], "".join(read)])]
         out = [("exact", f"{x[0]} {' '.join(read)}", [x[0], "".join(read)])]
         if x[0] in _FAMILY_READ and all(c in _READ for c in x[1:]):
             parts = sorted([_FAMILY_READ[x[0]], "".join(read)])
@@ -227,32 +235,54 @@ def abbreviates(a: list[str], b: list[str]) -> str | None:
 # --- the trie join -----------------------------------------------------------------------------------------------
 
 
-def cuts(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the segments a word of n letters is cut into: one more than slips, a transposition being two."""
-    k = min(4, max(1, n // 2)) if n >= LONG_WORD else 3 if n >= SHORT_WORD else 1
-    base, more = divmod(n, k)
-    out, at = [], 0
-    for i in range(k):
-        size = base + (i >= k - more)
-        out.append((at, size))
-        at += size
-    return out
+def reach(word: str) -> int:
+    """Most slips a word has in common with any neighbour."""
+    return bound(word, word)
 
 
-def kept_under(word: str) -> list[str]:
-    """Keys under which a word lies in the shards: its length, a segment's number and letters."""
-    return [f"{len(word)}.{i}.{word[a : a + s]}" for i, (a, s) in enumerate(cuts(len(word)))]
+def keys_of(word: str, head: int = HEAD) -> list[str]:
+    """Shards a word lies in: its first letters with up to ``reach`` of them left out.
 
+    Words within d slips share a shard: of the letters the slips leave in place, keep those that stand in both heads.
+    The longer head then lacks only letters that a slip put there, at most d (a swap puts one), the other no more.
+    """
+    out = level = {word[:head]}
+    for _ in range(reach(word)):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out = out | level
+    return sorted(out) if reach(word) else []
+
+
+class Automaton:
+    """Levenshtein automaton of one word, with transpositions, for at most two slips.
+
+    A state has a row of bits for each number of slips (bit j: j letters of the word are used up), and a row for the
+    swaps of which the first letter is read.
+    """
 
-def sought_under(word: str) -> list[str]:
-    """Keys under which shorter or equally long neighbours of a word lie."""
-    n, reach = len(word), SLIPS + 1
-    out = set()
-    for m in range(max(1, n - SLIPS), n + 1):
-        for i, (a, s) in enumerate(cuts(m)):
-            for p in range(max(0, a - reach), min(n - s, a + reach) + 1):
-                out.add(f"{m}.{i}.{word[p : p + s]}")
-    return sorted(out)
+    def __init__(self, word: str, most: int) -> None:
+        self.most, self.all, self.end = most, (2 << len(word)) - 1, 1 << len(word)
+        self.letters: dict[str, int] = {}
+        for j, c in enumerate(word):
+            self.letters[c] = self.letters.get(c, 0) | 2 << j
+        self.start = (1, 3 & self.all if most else 0, 7 & self.all if most > 1 else 0, 0, 0)
+
+    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...] | None:
+        """The state after one more letter, None if nothing can be accepted from there."""
+        r0, r1, r2, p1, p2 = state
+        b = self.letters.get(c, 0)
+        n0, n1, n2, q1, q2 = r0 << 1 & b, 0, 0, 0, 0
+        if self.most:
+            n1 = (r1 << 1 & b | r0 | r0 << 1 | n0 << 1 | p1 & b << 1) & self.all
+            q1 = r0 << 2 & b
+        if self.most > 1:
+            n2 = (r2 << 1 & b | r1 | r1 << 1 | n1 << 1 | p2 & b << 1) & self.all
+            q2 = r1 << 2 & b
+        return (n0, n1, n2, q1, q2) if n0 | n1 | n2 | q1 | q2 else None
+
+    def slips(self, state: tuple[int, ...]) -> int | None:
+        """Slips of a word that ends in this state, None if it is not accepted."""
+        return next((k for k in range(self.most + 1) if state[k] & self.end), None)
 
 
 class Trie:
@@ -266,59 +296,67 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def near(self, word: str, most: int) -> list[tuple[str, int]]:
-        """All words within so many slips, by the automaton's rows along the trie."""
-        found: list[tuple[str, int]] = []
-        n = len(word)
-
-        def walk(node: dict, row: list[int], before: list[int] | None, last: str) -> None:
+    def near(self, automaton: Automaton) -> Iterator[tuple[str, int]]:
+        """All words the automaton accepts, with their slips."""
+        todo = [(self.root, automaton.start)]
+        while todo:
+            node, state = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= most:
-                        found.append((child, row[n]))
-                    continue
-                new = [row[0] + 1] + [0] * n
-                for j in range(1, n + 1):
-                    v = row[j - 1] + (word[j - 1] != c)
-                    if row[j] + 1 < v:
-                        v = row[j] + 1
-                    if new[j - 1] + 1 < v:
-                        v = new[j - 1] + 1
-                    if before is not None and j > 1 and word[j - 2] == c and word[j - 1] == last and before[j - 2] + 1 < v:
-                        v = before[j - 2] + 1
-                    new[j] = v
-                if min(new) <= most or min(row) < most:
-                    walk(child, new, row, c)
-
-        walk(self.root, list(range(n + 1)), None, "")
-        return found
-
-
-def trie_join(words: DataFrame) -> DataFrame:
-    """(word, other, slips): every pair of different words within the bound, both ways. ``words`` are distinct."""
-    spark = words.sparkSession
-    @F.pandas_udf("array<struct<key string, kept boolean>>")
-    def keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: [{"key": k, "kept": True} for k in kept_under(w)] + [{"key": k, "kept": False} for k in sought_under(w)])
-
-    placed = words.select("word", F.explode(keys("word")).alias("k")).select("word", "k.key", "k.kept")
-    shards = max(SHARDS * spark.sparkContext.defaultParallelism, words.count() // SHARD_WORDS + 1)
-
-    def join(p: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple[str, str], int] = {}
-        for _, g in p.groupby("key", sort=False):
-            kept, sought = g.word[g.kept].tolist(), g.word[~g.kept].tolist()
-            if not kept or (len(sought) == 1 and len(kept) == 1 and kept[0] == sought[0]):
-                continue
-            trie = Trie(kept)
-            for w in sought:
-                for other, n in trie.near(w, SLIPS):
-                    if other != w and n <= bound(w, other):
-                        out[w, other] = n
-        return pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["word", "other", "slips"])
-
-    found = placed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(join, "word string, other string, slips int").distinct()
-    return found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "slips")).distinct()
+                    if (n := automaton.slips(state)) is not None:
+                        yield child, n
+                elif (after := automaton.step(state, c)) is not None:
+                    todo.append((child, after))
+
+
+def shard_join(crowded: int | None) -> Callable:
+    """Neighbours within the shards of a partition sorted by key; the words of a crowded shard come out with no other."""
+
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata: dict[str, Automaton] = {}
+        rows: list[tuple[str, str | None, int | None]] = []
+        flush = lambda: pd.DataFrame(rows, columns=["word", "other", "slips"]).astype({"slips": "Int32"})
+        for _, run in groupby(((k, w) for p in parts for k, w in zip(p.key, p.word, strict=True)), key=itemgetter(0)):
+            words = [w for _, w in islice(run, crowded + 1 if crowded else None)]
+            if crowded and len(words) > crowded:
+                for w in chain(words, (w for _, w in run)):
+                    rows.append((w, None, None))
+                    if len(rows) > 20_000:
+                        yield flush()
+                        rows = []
+            elif len(words) > 1:
+                trie = Trie(words)
+                for w in words:
+                    if w not in automata:
+                        if len(automata) > 50_000:
+                            automata.clear()
+                        automata[w] = Automaton(w, reach(w))
+                    rows += [(w, other, n) for other, n in trie.near(automata[w]) if other != w and n <= bound(w, other)]
+            if len(rows) > 20_000:
+                yield flush()
+                rows = []
+        yield flush()
+
+    return join
+
+
+def trie_join(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(word, other, slips): every pair of different words within the bound, both ways. ``words`` are distinct.
+
+    Words of crowded shards are joined again in shards by LONG_HEAD letters, whatever their size.
+    """
+    runtime.ship(words.sparkSession)
+
+    def placed(df: DataFrame, head: int) -> DataFrame:
+        keys = F.pandas_udf(lambda s: s.map(lambda w: keys_of(w, head)), "array<string>")
+        shards = max(2 * df.sparkSession.sparkContext.defaultParallelism, df.count() // SHARD_WORDS + 1)
+        return df.select("word", F.explode(keys("word")).alias("key")).repartition(shards, "key").sortWithinPartitions("key")
+
+    found = runtime.stored(placed(words, HEAD).mapInPandas(shard_join(crowded), "word string, other string, slips int"), "p1-shards")
+    again = found.where("other is null").select("word").distinct()
+    if not again.isEmpty():
+        found = found.unionByName(placed(runtime.stored(again, "p1-crowded"), LONG_HEAD).mapInPandas(shard_join(None), "word string, other string, slips int"))
+    return found.where("other is not null").distinct()
 
 
 def short_keys(entity_type: str, word: str) -> list[dict]:
@@ -429,13 +467,9 @@ def groups(entries: DataFrame) -> DataFrame:
     placed = homeless.groupBy("entity_id").agg(
         F.countDistinct(F.when(F.col("n") == 1, F.col("root"))).alias("homes"), F.min(F.when(F.col("n") == 1, F.col("root"))).alias("home"), F.min(F.when(F.col("n").isNull(), F.col("weak"))).alias("own")
     ).select("entity_id", F.when(F.col("homes") == 1, F.col("home")).when(F.col("homes") == 0, F.col("own")).alias("root")).where("root is not null")
-    home = of_entry.unionByName(placed)
-    return (
-        everything.join(home, "entity_id", "left")
-        .withColumn("root", F.coalesce("root", F.concat(F.lit("\u0003"), "entity_id")))
-        .withColumn("cluster_id", F.min("entity_id").over(Window.partitionBy("entity_type", "root")))
-        .select("entity_id", "entity_type", "cluster_id")
-    )
+    home = runtime.stored(everything.join(of_entry.unionByName(placed), "entity_id", "left").withColumn("root", F.coalesce("root", F.concat(F.lit("\u0003"), "entity_id"))), "p1-homes")
+    least = home.groupBy("entity_type", "root").agg(F.min("entity_id").alias("cluster_id"))
+    return home.join(least, ["entity_type", "root"]).select("entity_id", "entity_type", "cluster_id")
 
 
 def _letters(entity_type: str, kind: str, parts: list[str], i: int) -> list[str]:
