@@ -63,8 +63,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    lines = languages.sample_lines(table(spark, d, "documents"))  # one bounded sample for both models
-    clean = encodings.Plausibility.of([x for x, _ in lines])
+    lines = languages.sample_lines(table(spark, d, "documents"))
+    clean = encodings.model_of(table(spark, d, "documents"))
     return languages.languages(imported(spark, d).unionByName(transcribed(spark, d)), languages.train(lines), clean)
 
 

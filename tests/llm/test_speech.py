@@ -125,7 +125,7 @@ def test_labels(spark, profiles):
     assert languages.code("pt-BR") == "pt" and languages.code("French") == "fr" and languages.code(None) is None
 
 
-def test_held_out_accuracy():
+def test_held_out_accuracy(spark):
     """On labelled documents the prototypes were not fitted on."""
     import os
 
@@ -139,5 +139,5 @@ def test_held_out_accuracy():
     held = d.iloc[1::2].head(250)
     right = [max(languages.runs(r.text, p), key=lambda x: x[1] - x[0], default=(0, 0, "?"))[2] == r.lang for r in held.itertuples()]
     assert sum(right) / len(right) > 0.97
-    m = encodings.Plausibility.of([x for t in d.text.iloc[::2] for x in t[:4000].split("\n")])
+    m = encodings.model_of(spark.createDataFrame(d.iloc[::2][["text"]]))
     assert not any(encodings.affected(x, m) for t in held.text for x in t.split("\n"))

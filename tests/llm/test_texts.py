@@ -87,14 +87,23 @@ def test_given_names_one_person_bears(spark):
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables")
-    import pandas as pd
+    return N.model_of(spark.read.parquet(path))
 
-    d = pd.read_parquet(path)
-    return N.Plausibility.of([x for t in d.text for x in t[:4000].split("\n")])
+
+def test_pairs_of_all_documents(spark):
+    texts = ["ab\nbé 中文", None, "", "文ab"]
+    got = N.model_of(spark.createDataFrame([(t, 1) for t in texts], "text string, n int"))
+    want = {}
+    for t in texts:
+        for p in zip(" " + t.replace("\n", " "), t.replace("\n", " ") + " ", strict=True) if t else ():
+            want["".join(p)] = want.get("".join(p), 0) + 1
+    got.pairs.pop("  ", None)
+    assert got.pairs == {p: n for p, n in want.items() if n > 1} and got.single["文"] == 2
+    assert N.model_of(spark.createDataFrame([], "text string")).pairs == {}
 
 
 CLEAN = ["Le client accepte la prévision mais veut revoir les détails déjà donnés.", "我们说好周五之前订好会议室，后面就轻松多了。", "Die Prüfliste kommt zuerst, alles Übrige kann warten.", "the “new” plan — it’s blocked (≈ €300)", "ATENÇÃO: A REVISÃO NÃO ESTÁ PRONTA", "Não mudou nada desde a última ligação.", "À: Zoé Désirée <z@x.test>", "plain ascii?", "☎ +44 7700", "👍"]
@@ -119,6 +128,55 @@ def test_round_trips(model):
     assert lost is not None and lost[2] is False and N.affected("????? asked us", model)
 
 
+#: Sentences of no test table, by the encodings they can be written in.
+LATIN = [
+    "Après l'été, le café où nous étions déjà allés a rouvert ; on y mange très bien.", "Über den Dächern der Altstadt hörte man spät abends noch Geigenklänge.",
+    "Mañana saldrá el señor Núñez hacia Cádiz con su pequeña hija.", "A manhã estava fria e a avó não quis sair à rua com os irmãos.", "La dÉcision est prise : le château sera rénové dès février.".replace("dÉ", "dé"),
+]
+HANZI = ["春天来了，河边的柳树发芽了，孩子们在草地上放风筝。", "图书馆明天上午九点开门，请大家带好借书证。", "这条路通向山顶，下雨以后很滑，要小心。"]
+
+
+def misread(text, right, wrong):
+    """text as a lenient reader shows it."""
+    out = b""
+    raw, shown = text.encode(right), ""
+    for x in raw if wrong in N.SINGLE else ():
+        try:
+            shown += bytes([x]).decode(wrong)
+        except UnicodeDecodeError:
+            shown += chr(x)
+    return shown if wrong in N.SINGLE else (out + raw).decode(wrong, "replace")
+
+
+RECIPES = [("utf-8", w, LATIN) for w in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "gb18030", "cp932")] + [("utf-8", w, HANZI) for w in ("cp1252", "mac_roman", "cp437", "cp1251")]
+RECIPES += [("gb18030", w, HANZI) for w in ("cp1252", "latin-1", "big5hkscs", "cp949")] + [("cp1252", "mac_roman", LATIN), ("cp1252", "cp850", LATIN), ("mac_roman", "cp1252", LATIN)]
+
+
+def test_recipes(model):
+    found = restored = n = 0
+    missed = []
+    for right, wrong, lines in RECIPES:
+        for text in lines:
+            bad = misread(text, right, wrong)
+            got = N.affected(bad, model)
+            n += bad != text
+            found += got is not None
+            if got is None and bad != text:
+                missed.append((right, wrong, bad))
+            restored += got is not None and got[0] == text
+    assert found >= 0.95 * n and restored >= 0.7 * n, (n, found, restored, missed)
+
+
+def test_legitimate_text_is_left_alone(model):
+    for text in (
+        "Привет", "Привет, как дела? Встреча завтра в десять часов.", "Ελληνικά γράμματα, καλημέρα σας", "שלום לכולם", "مرحبا بالعالم", "こんにちは、会議は明日です。", "안녕하세요 여러분", "Żółta łódź płynie", "Příliš žluťoučký kůň",
+        "Are you serious???", "Tu viens ? on y va demain.", "Quoi ??? Non.", "really?", "???", "https://x.test/?q=a?b&c=d?e", "Zoë Brûlé-Ångström", "À: Jürgen", "½ cup, 20 °C ± 2", "ΔT = 5 µs", "¿Qué? ¡Ánimo!", *LATIN, *HANZI,
+    ):
+        assert N.affected(text, model) is None, (text, N.affected(text, model))
+    for text in ("???? asked us", "La d?cision est report?e", "n�chste Woche", "????????，??????"):
+        assert N.affected(text, model)[2] is False, text
+
+
 def test_repairs(spark, model):
     bad = CLEAN[2].encode().decode("cp1252", "replace")
     df = spark.createDataFrame([("imports", "1", f"fine\n{bad}\n\n{bad}", 1), ("imports", "2", None, 1), ("imports", "3", "", 1)], "origin string, record_id string, text string, line_no int")
