@@ -53,9 +53,11 @@ _HAN_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9])(?:{_DW})(?:[ ,;\-]+(?:{_DW})){{4,}}(?![A-Za-zÀ-ÿ0-9])|[零〇幺一二三四五六七八九两][零〇幺一二三四五六七八九两 -]{{5,}}[零〇幺一二三四五六七八九两]", re.I)
 _HAN_SPELLED = re.compile("[零〇幺一二三四五六七八九两]{5}")
+#: Ends of host names before which the other words for a dot are taken for one.
+TLD = "com|net|org|info|eu|de|at|ch|fr|es|pt|br|mx|cn|uk|us|io|co|test|example|invalid"
 _DISGUISE = re.compile(
     r"(?P<at>\s*[\[({<]\s*(?:at|arroba|arobase|ät|艾特)\s*[\])}>]\s*|(?<=\w)\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9\-]++(?:(?:\s+(?:dot|punto|point|ponto|punkt)\s+|\s*[\[({]\s*(?:dot|punto|point|ponto|punkt)\s*[\])}]\s*|\.)[A-Za-z0-9\-]++)++(?!\s+(?:at|plus|arroba|arobase)\s+\w|\s*[@\[(+_%]))|\s*艾特\s*)"
-    r"|(?P<dot>\s*[\[({]\s*(?:dot|punto|point|ponto|punkt|点)\s*[\])}]\s*|(?<=\w)\s+dot\s+(?=\w))"
+    r"|(?P<dot>\s*[\[({]\s*(?:dot|punto|point|ponto|punkt|点)\s*[\])}]\s*|(?<=\w)\s+dot\s+(?=\w)|(?<=\w)\s+(?:punto|point|ponto|punkt)\s+(?=(?:" + TLD + r")(?!\w)))"
     r"|(?P<plus>(?<=\w)\s+plus\s+(?=\w+(?:\s+at\s|\s*[\[(@])))"
     r"|(?P<under>(?<=\w)\s+underscore\s+(?=\w))"
     r"|(?P<none>[​‌‍⁠­﻿])",
@@ -120,7 +122,7 @@ EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Z
 #: The shapes of identity numbers (several countries' identity, insurance, tax and passport numbers).
 ID = re.compile(
     r"(?<![\w.+\-])(?:"
-    r"9\d\d(?P<s>[ \-]?)\d\d(?P=s)\d{4}"
+    r"9\d\d(?P<s>[ \-]?)\d\d(?P=s)\d{4}|(?!000|666)\d{3}(?P<t>[ \-])(?!00)\d\d(?P=t)(?!0000)\d{4}"
     r"|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{2}\d{7}|[A-Z]{2}\d{6}[A-Z]|[A-Z]\d{3}[A-Z]\d{4}|[A-Z]\d{2}[A-Z]{2}\d{4}|\d{2}[A-Z]{2}\d{5}"
     r"|\d{2} ?\d{6} ?[A-Z] ?\d{3}"
     r"|[12] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}"
@@ -134,7 +136,7 @@ ID = re.compile(
 PHONE = re.compile(
     r"(?<![\w+\-/(])(?<!\d[.])(?:"
     r"(?:\+|00(?=[1-9]))\d{1,3}(?:[ .\-/]?\(\d{1,4}\)|[ .\-/]?\d{1,4})(?:[ .\-/]?\d{2,8}){1,5}"
-    r"|\(\d{2,5}\)[ \-]?\d{3,4}-?\d{3,5}"
+    r"|\(\d{2,5}\)[ \-]?\d{3,5}[ \-]?\d{3,5}|1-\d{3}-\d{3}-\d{4}|0\d{2} \d{4} \d{4}|0\d{3} \d{3} \d{4}|[679]\d{2} \d{3} \d{3}"
     r"|\d{3}(?P<d>[.\-])\d{3}(?P=d)\d{4}|\d{3}-\d{4}|\d{3} \d{3} \d{4}|555 ?\d{4}"
     r"|0\d{4} \d{6}|0\d(?P<f>[ .]?)\d{2}(?:(?P=f)\d{2}){3}|0\d{2,4}[ /\-]\d{5}(?:[ \-]?\d{2,3})|\d{3}(?: \d{2}){3}"
     r"|1\d{10}|1\d{2} \d{4} \d{4}|1\d{2}-\d{4}-\d{4}|0\d{2,3}-\d{7,8}"
@@ -180,7 +182,7 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
 #: The words of _DISGUISE, for the hints.
 _AT, _DOT = ("at", "arroba", "arobase", "ät", "艾特"), ("dot", "punto", "point", "ponto", "punkt", "点")
 _BEHIND_AT = re.compile(rf" *(?:{'|'.join(_AT)})(?: *[\])}}>]| +[A-Za-z0-9\-]+(?: +(?:{'|'.join(_DOT)}) | *[\[({{]|\.[A-Za-z0-9\-]))", re.I)
-_BEHIND_DOT = re.compile(rf" *(?:dot +\w|(?:{'|'.join(_DOT)}) *[\])}}])", re.I)
+_BEHIND_DOT = re.compile(rf" *(?:dot +\w|(?:{'|'.join(_DOT)})(?: *[\])}}]| +(?:{TLD})(?!\w)))", re.I)
 _BEHIND_PLUS = re.compile(r" *plus +\w+(?: +at | *[\[(@])", re.I)
 _PAUSE = " ,;-"
 #: A hint that counts at the beginning of a word.
@@ -293,15 +295,19 @@ _WRAP = re.compile(r"\n(?:(?:[>|]|[A-Z]{2,4}>|[一-鿿]{2,3}>)[ \t]?|[ \t])*(?=\
 
 
 def wrapped(text: str) -> list[tuple[int, int, str]]:
-    """Values broken over two lines."""
+    """Values broken over two lines; the first of them says something besides."""
     out = []
     for m in _WRAP.finditer(text):
         cut = m.start()
-        if cut < 20 or text[cut - 1] in ".!?:>。！？：\n\r" or not _JOINT.search(text, cut - 40, min(len(text), m.end() + 40)):
+        if not cut or text[cut - 1] in ".!?:>。！？：\n\r":
             continue
         a, b = max(text.rfind("\n", 0, cut) + 1, cut - 60), text.find("\n", m.end())
         b = min(len(text) if b < 0 else b, m.end() + 60)
-        if cut - a < 20:
+        if text[cut - 1] == "@" or text[m.end()] == "@":
+            joined, cut = text[a:cut] + text[m.end() : b], cut - a
+            out += [(a + x.start(), m.end() + x.end() - cut, "email") for x in EMAIL.finditer(joined) if x.start() < cut < x.end()]
+            continue
+        if not _JOINT.search(text, cut - 40, min(len(text), m.end() + 40)) or not _SAYS.search(text, a, cut):
             continue
         joined, cut = f"{text[a:cut]} {text[m.end() : b]}", cut - a
         found = [*numbers(joined), *((x.start(), x.end(), "address") for rx in ADDRESS for x in rx.finditer(joined))]
@@ -309,6 +315,7 @@ def wrapped(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_SAYS = re.compile(r"[^\W\d_]")
 _JOINT = re.compile(r"\d")
 
 
@@ -338,10 +345,12 @@ _WORD = re.compile("[A-Za-zÀ-ɏ]{2,40}")
 _GIVEN = r"[A-Za-zÀ-ɏ]{2,40}(?:['’\-][A-Za-zÀ-ɏ]{2,40}){0,2}"
 #: A given name behind a family name, a family name behind a given one, and what is between a given and a family name.
 _AFTER = re.compile(rf"{_GAP}({_GIVEN})(?![A-Za-zÀ-ɏ])")
-_NEXT = re.compile("(?:  ?|_)([A-ZÀ-ɏ][A-Za-zÀ-ɏ]{3,39})")
+_NEXT = re.compile("(?:  ?|_)((?:[A-ZÀ-ɏ]['’])?[A-ZÀ-ɏ][A-Za-zÀ-ɏ]{3,39}(?:-[A-ZÀ-ɏ][A-Za-zÀ-ɏ]{2,39})?)")
 _BETWEEN = re.compile(rf"{_GAP}(?:[A-Za-zÀ-ÿ]\.?{_GAP})?")
-_JOINED = re.compile("(?<![A-Za-zÀ-ɏ])[A-Za-zÀ-ɏ]{2,40}['’\\-]$")
+_JOINED = re.compile("(?<![A-Za-zÀ-ɏ])[A-Za-zÀ-ɏ]{1,40}['’\\-]$")
+_GIVEN_BEFORE = re.compile(rf"(?<![A-Za-zÀ-ɏ@'’\-])({_GIVEN}){_BETWEEN.pattern}$")
 _INITIAL = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9_.@+\-])([A-ZÀ-Þ])(\.[ \t_]?|[ \t_])(?:[A-Z]\.[ \t_]?)?([A-ZÀ-Þ][A-Za-zÀ-ɏ]{{2,40}})(?![A-Za-zÀ-ɏ0-9_@])")
+_INITIAL_BEFORE = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_.@+\-])([A-ZÀ-Þ])(?:\.[ \t_]?|[ \t_])$")
 _TRAIL = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_.@+\-])([A-ZÀ-Þ][A-Za-zÀ-ɏ]{2,40})(,?[ \t_]{1,2})([A-ZÀ-Þ])\.(?![\w@])")
 
 
@@ -355,8 +364,19 @@ def around(text: str, words: list[tuple[int, int, int, int, int]]) -> Iterator[t
         if k & 2 and text[a].isupper() and not (a and (text[a - 1] < "ɐ" and text[a - 1].isalpha() or text[a - 1] == "@")):
             if (m := _NEXT.match(text, b)) and m[1][0].isupper():
                 yield a, m.end(), None, [fold(text[a:b])], [], None
-        if not k & 1 or b - a < 3:
+        if not k & 1 or b - a < 3 and not text[a].isupper():
             continue
+        if a and text[a - 1] in "'’-" and (m := _JOINED.search(text, max(0, a - 42), a)):  # a family name of two parts
+            begin = m.start()
+            family = fold(text[begin:b]).replace("’", "'")
+            if m := _AFTER.match(text, b, min(n, b + 140)):
+                yield begin, m.end(1), family, list(fulls(g := fold(m[1]))), beginnings(g), None
+            if m := _GIVEN_BEFORE.search(text, max(0, begin - 140), begin):
+                yield m.start(1), b, family, list(fulls(g := fold(m[1]))), beginnings(g), None
+            if m := _INITIAL_BEFORE.search(text, max(0, begin - 8), begin):
+                yield m.start(1), b, family, [], [], fold(m[1])
+        if b + 1 < n and text[b] == "-" and text[b + 1].isupper():
+            continue  # half of a family name
         family = fold(text[a:b])
         if m := _AFTER.match(text, b, min(n, b + 140)):
             for end in {m.end(1), *(m.start(1) + i for i, c in enumerate(m[1]) if c in "'’-")}:
@@ -400,11 +420,11 @@ def people_of(participants: DataFrame, knowledge: DataFrame) -> DataFrame:
         .distinct()
     )
     fold_udf = F.pandas_udf(lambda s: s.map(fold), "string")
-    latin = names.where(F.col("n").rlike(r"^(?U)[\p{L}'’\-]{2,}( \p{Lu}\.)? [\p{L}'’\-]{3,}$") & ~F.col("n").rlike("[一-鿿]")).select(
+    latin = names.where(F.col("n").rlike(r"^(?U)[\p{L}'’\-]{2,}( \p{Lu}\.)? [\p{L}'’\-]{2,}$") & ~F.col("n").rlike("[一-鿿]")).select(
         F.element_at(F.split("n", " "), -1).alias("family"), F.element_at(F.split("n", " "), 1).alias("given")
     )
     han = names.select(F.regexp_replace("n", " ", "").alias("n")).where(F.col("n").rlike("^[一-鿿]{2,4}$") & ~F.col("n").rlike(TITLED)).select(F.col("n").alias("family"), F.lit("").alias("given"))
-    return latin.select(fold_udf("family").alias("family"), fold_udf("given").alias("given")).unionByName(han).distinct()
+    return latin.select(F.translate(fold_udf("family"), "’", "'").alias("family"), fold_udf("given").alias("given")).unionByName(han).distinct()
 
 
 def bitmap(words: DataFrame) -> bytes:
@@ -424,7 +444,9 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
     """
     people = runtime.stored(people.distinct(), "p4-people")
     borne = people.where("given != ''").groupBy("given").agg(F.count("*").alias("n")).where("n > 1").select("given")
-    maps = (bitmap(people.where("given != ''").select("family")), bitmap(borne))
+    families = people.where("given != ''").select("family")
+    last = families.select(F.regexp_extract("family", r"[^'\-]*$", 0))  # by which a family name of two parts is met
+    maps = (bitmap(families.union(last)), bitmap(borne))
     han = {r.c for r in people.where("given = ''").select(F.substring("family", 1, 1).alias("c")).distinct().collect()}
     families = re.compile(f"[{re.escape(''.join(sorted(han)))}](?=[ 　]?[一-鿿])") if han else None
 
@@ -458,18 +480,24 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
 def longest(names: DataFrame) -> DataFrame:
     """Names without overlaps: from the left, of those that begin at one place the longest.
 
-    The fold runs over the places of one text's names.
+    A task holds the places of one text's names at a time.
     """
     place = ["origin", "record_id", "fact_no"]
+
+    @F.pandas_udf("array<struct<start_pos int, end_pos int>>")
+    def kept(s: pd.Series) -> pd.Series:
+        def fold_left(spans) -> list[dict]:
+            out, reach = [], 0
+            for x in spans:
+                if x["start_pos"] >= reach:
+                    reach = -x["neg_end"]
+                    out.append({"start_pos": x["start_pos"], "end_pos": reach})
+            return out
+
+        return s.map(fold_left)
+
     spans = names.groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("start_pos", (-F.col("end_pos")).alias("neg_end")))).alias("spans"))
-    kept = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("reach"), F.expr("cast(array() as array<struct<start_pos:int,end_pos:int>>)").alias("kept")),
-        lambda acc, x: F.when(x["start_pos"] < acc["reach"], acc).otherwise(
-            F.struct((-x["neg_end"]).alias("reach"), F.array_append(acc["kept"], F.struct(x["start_pos"].alias("start_pos"), (-x["neg_end"]).alias("end_pos"))).alias("kept"))
-        ),
-    )
-    return spans.select(*place, F.explode(kept["kept"]).alias("k")).select(*place, "k.start_pos", "k.end_pos", F.lit("name").alias("kind"))
+    return spans.select(*place, F.explode(kept("spans")).alias("k")).select(*place, "k.start_pos", "k.end_pos", F.lit("name").alias("kind"))
 
 
 class Free:
@@ -485,24 +513,21 @@ class Free:
 
 def redacted(records: DataFrame, found: DataFrame) -> DataFrame:
     """origin, record_id, fact_no, text with every mention replaced by [KIND], and the number of mentions."""
+    runtime.ship(records.sparkSession)
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, spots: pd.Series) -> pd.Series:
+        def one(t: str, places) -> str:
+            out, at = [], 0
+            for x in places:
+                out += [t[at : x["start_pos"]], f"[{x['kind'].upper()}]"]
+                at = x["end_pos"]
+            return "".join([*out, t[at:]])
+
+        return pd.Series([one(*x) for x in zip(text, spots, strict=True)], dtype=object)
+
     spots = found.groupBy("origin", "record_id", "fact_no").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("spots"))
-    steps = F.aggregate(
-        "spots",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start_pos"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            s["end_pos"].alias("at"),
-        ),
-    )
-    return (
-        records.select("origin", "record_id", "fact_no", "text")
-        .join(spots, ["origin", "record_id", "fact_no"], "left")
-        .withColumn("r", steps)
-        .select(
-            "origin",
-            "record_id",
-            "fact_no",
-            F.when(F.col("spots").isNull(), F.col("text")).otherwise(F.concat("r.out", F.expr("substring(text, r.at + 1)"))).alias("text"),
-            F.coalesce(F.size("spots"), F.lit(0)).alias("mentions"),
-        )
-    )
+    joined = records.select("origin", "record_id", "fact_no", "text").join(spots, ["origin", "record_id", "fact_no"], "left")
+    none = F.col("spots").isNull() | F.col("text").isNull()
+    changed = joined.where(~none).select("origin", "record_id", "fact_no", put("text", "spots").alias("text"), F.size("spots").alias("mentions"))
+    return joined.where(none).select("origin", "record_id", "fact_no", "text", F.lit(0).alias("mentions")).unionByName(changed)

@@ -86,6 +86,27 @@ def test_given_names_one_person_bears(spark):
     assert [text[r.start_pos : r.end_pos] for r in found.orderBy("start_pos").collect()] == want
 
 
+def test_shapes_of_no_table():
+    for v, kind in (
+        ("123-45-6789", "id"), ("078 05 1120", "id"), ("020 7946 0958", "phone"), ("(020) 7946 0958", "phone"), ("0161 496 0123", "phone"), ("1-800-555-0199", "phone"), ("600 123 456", "phone"), ("(11) 91234-5678", "phone"),
+        ("anna at firma punkt de", "email"), ("anna arroba firma punto es", "email"), ("anna@\nfirm.test", "email"), ("anna\n@firm.test", "email"), ("07700\n900186", "phone"),
+    ):
+        assert hits(f"write {v} please") == [(v, kind)], v
+    for x in ("000-12-3456", "666-12-3456", "123-00-4567", "the point de vue", "12\n34567890", "à ce point de la route", "order 123-45-6789"):
+        assert hits(x) == [], x
+
+
+def test_family_names_of_two_parts_and_short_ones(spark):
+    who = "Liam O'Brien; Sean Smith; Sean Smith-Jones; Anna Li, Ed Smith"
+    people = P.people_of(spark.createDataFrame([(who,)], "participants string"), spark.createDataFrame([], "entity_type string, name string"))
+    want = ["Liam O'Brien", "Liam O’Brien", "O'BRIEN Liam", "L. O'Brien", "Sean Smith-Jones", "Sean Smith", "Anna Li", "LI, Anna"]
+    text = "Ask " + "; ask ".join(want) + "; not Brien, Smith, Li, li anna alone."
+    found = P.mentions(spark.createDataFrame([("imports", "1", -1, text)], "origin string, record_id string, fact_no int, text string"), people)
+    assert [text[r.start_pos : r.end_pos] for r in found.orderBy("start_pos").collect()] == want
+    long = spark.createDataFrame([("imports", "1", -1, "Anna Li, " * 20_000)], "origin string, record_id string, fact_no int, text string")
+    assert P.redacted(long, P.mentions(long, people)).select("mentions", F.length("text").alias("n")).first() == (20_000, 20_000 * 8)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
