@@ -301,16 +301,19 @@ def wrapped(text: str) -> list[tuple[int, int, str]]:
         cut = m.start()
         if not cut or text[cut - 1] in ".!?:>。！？：\n\r":
             continue
-        a, b = max(text.rfind("\n", 0, cut) + 1, cut - 60), text.find("\n", m.end())
-        b = min(len(text) if b < 0 else b, m.end() + 60)
-        if text[cut - 1] == "@" or text[m.end()] == "@":
+        mail = text[cut - 1] == "@" or text[m.end()] == "@"
+        if not mail and not _JOINT.search(text, max(0, cut - 40), m.end() + 40):
+            continue
+        a, b = max(text.rfind("\n", 0, cut) + 1, cut - 60), text.find("\n", m.end(), m.end() + 60)
+        b = min(len(text), m.end() + 60) if b < 0 else b
+        if mail:
             joined, cut = text[a:cut] + text[m.end() : b], cut - a
             out += [(a + x.start(), m.end() + x.end() - cut, "email") for x in EMAIL.finditer(joined) if x.start() < cut < x.end()]
             continue
-        if not _JOINT.search(text, cut - 40, min(len(text), m.end() + 40)) or not _SAYS.search(text, a, cut):
+        if not _SAYS.search(text, a, cut):
             continue
         joined, cut = f"{text[a:cut]} {text[m.end() : b]}", cut - a
-        found = [*numbers(joined), *((x.start(), x.end(), "address") for rx in ADDRESS for x in rx.finditer(joined))]
+        found = [*numbers(joined), *((x.start(), x.end(), "address") for rx in (ADDRESS if "," in joined else ()) for x in rx.finditer(joined))]
         out += [(a + s, m.end() + e - cut - 1, k) for s, e, k in found if s < cut and e > cut + 1 and (k != "address" or "," in joined[s:e])]
     return out
 
