@@ -5,6 +5,7 @@
    mails of its thread that share a long stretch with it) marks lines of the rest that lie inside a long inherited
    match, however they are wrapped. Which earlier mails those are comes from a join on winnowed fingerprints, each
    of which keeps its first mail only, so a thread of any length stays an equi-join of small rows.
+   A signature begins at a separator, a closing formula, the sender's name or a device line with no text right below.
 3. Endings that recur (lines that stand almost only at the end of a sender's mails, and in a good part of them) are
    stripped.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 import xxhash
@@ -214,18 +216,85 @@ def closing(line: str) -> bool:
 
 
 def names_of(sender: str) -> set[str]:
-    """Ways in which the sender may sign: the whole name, its parts, a Chinese given name."""
-    s = " ".join(sender.replace(",", " ").split())
-    out = {s.lower(), *(p.lower() for p in s.split() if len(p) > 1)}
+    """Ways in which the sender may sign: the whole name, its parts, an initial and the rest, a Chinese given name."""
+    s = " ".join(re.sub(r"^([^,]+),\s*(.+)$", r"\2 \1", sender).replace(",", " ").split())
+    parts = s.lower().split()
+    out = {s.lower(), *(p for p in parts if len(p) > 1)}
+    if len(parts) > 1:
+        first, last = parts[0], parts[-1]
+        out |= {f"{first[0]}. {last}", f"{first[0]} {last}", f"{first} {last[0]}", f"{last} {first}", f"{first[0]}{last[0]}", f"{first} {last}"}
     if re.fullmatch("[一-鿿]{2,4}", s):
         out |= {s[1:], s[2:]} if len(s) > 3 else {s[1:]}
     return {x for x in out if x}
 
 
+def sentence(line: str) -> bool:
+    """Whether a line goes on with text, as no line of a signature does."""
+    x = line.strip()
+    return len(x) > 70 or x[-1:] in ".!?。！？" and (len(x.split()) > 4 or len(_HAN.findall(x)) > 9)
+
+
+def signs(line: str, names: set[str]) -> bool:
+    return line.strip().strip(" ,.，。").lower() in names or line.strip().rstrip(".,").lower() in names
+
+
+def ends_mail(lines: list[str], k: int, names: set[str], begun: bool) -> bool:
+    """Whether the signature begins at line k: a separator, a device line, a closing formula or the sender's name.
+
+    A formula over text and a name right above text are none, and a name is none before the first line. What is no known
+    formula is one if it stands alone over the sender's name, short and without a full stop.
+    """
+    line = lines[k]
+    bare = line.strip()
+    if _RULE.match(line) or _DEVICE.match(bare):
+        return True
+    below = next((x for x in lines[k + 1 : k + 4] if x.strip()), "")
+    if closing(line):
+        return not (sentence(below) and not _NOTICE.search(below)) and (begun or signs(below, names) or not below)
+    if not begun:
+        return False
+    if signs(line, names):
+        return not sentence(next(iter(lines[k + 1 : k + 2]), "")) or _NOTICE.search(below) is not None or attribution(lines, k + 1) > 0
+    alone = k == 0 or not lines[k - 1].strip()
+    return alone and len(bare) <= 40 and len(bare.split()) <= 6 and bare[-1] not in ".!?:。！？：" and not re.search(r"\d", bare) and signs(below, names)
+
+
+#: Beginnings of the months' names in the five Latin-written languages, by month.
+MONTHS = "jan ene / feb fév fev / mar mär / apr avr abr / may mai / jun juin / jul juil / aug aoû ago / sep set / oct okt out / nov / dec dez déc dic".split(" / ")
+_MONTH = {x: i for i, row in enumerate(MONTHS, 1) for x in row.split()}
+_CLOCK = re.compile(r"(\d{1,2})[:h](\d{2})(?::(\d{2}))?(?:\s*([ap])\.?m)?(?:\s*([+-])(\d{2}):?(\d{2}))?", re.I)
+
+
+def instant(date: str) -> str:
+    """A header's date so that later ones compare greater: ISO, in UTC where a zone is given; '~' if it cannot be read."""
+    clock = _CLOCK.search(date)
+    rest = date[: clock.start()] + " " + date[clock.end() :] if clock else date
+    if m := re.search(r"(\d{4})\D{1,2}(\d{1,2})\D{1,2}(\d{1,2})", rest):
+        y, mo, d = map(int, m.groups())
+    elif m := re.search(r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})", rest):
+        d, mo, y = map(int, m.groups())
+        d, mo = (mo, d) if mo > 12 else (d, mo)
+    else:
+        y = re.search(r"\b(?:19|20)\d{2}\b", rest)
+        d = re.search(r"(?<!\d)\d{1,2}(?!\d)", rest)
+        named = next((n for w in re.findall(r"[^\W\d_]+", rest.lower()) for k in (4, 3) if (n := _MONTH.get(w[:k])) and len(w) > 2), None)
+        if not (y and d and named):
+            return "~"
+        y, mo, d = int(y[0]), named, int(d[0])
+    h, mi, sec, half, sign, zh, zm = clock.groups() if clock else (0, 0, 0, None, None, 0, 0)
+    hour = int(h) % 12 + (12 if half.lower() == "p" else 0) if half else int(h)
+    try:
+        at = datetime(y, mo, d) + timedelta(hours=hour, minutes=int(mi), seconds=int(sec or 0))
+    except (ValueError, OverflowError):
+        return "~"
+    zone = timedelta(hours=int(zh or 0), minutes=int(zm or 0))
+    return (at - zone if sign == "+" else at + zone if sign else at).isoformat()
+
+
 def parse(text: str) -> tuple[str, str, str, list[tuple[int, str]], str]:
     """(sender, thread, date, candidate lines with numbers, older text) of one mail."""
     lines = [x.rstrip("\r") for x in text.split("\n")]
-    k, sender, mailbox, subject, sent, people = 0, "", "", "", "", set()
+    k, sender, mailbox, subject, sent, people = 0, "", "", "", "~", set()
     while k < len(lines) and not lines[k].strip():
         k += 1
     while k < len(lines) and (_FIELD.match(lines[k]) or lines[k][:1] in " \t" and lines[k].strip()):
@@ -234,10 +303,10 @@ def parse(text: str) -> tuple[str, str, str, list[tuple[int, str]], str]:
         if m := _SUBJECT.match(lines[k]):
             subject = _REPLY.sub("", m[1].strip()).strip().lower()
         if m := _DATE.match(lines[k]):
-            sent = m[1].strip()
+            sent = instant(m[1].strip())
         people |= {x.lower() for x in re.findall(r"<([^>@\s]+)@", lines[k])}
         k += 1
-    signs = names_of(sender)
+    names = names_of(sender)
     fresh, old, signed = [], [], False
     while k < len(lines):
         line = lines[k]
@@ -271,7 +340,7 @@ def parse(text: str) -> tuple[str, str, str, list[tuple[int, str]], str]:
                 old.append(lines[k])
                 k += 1
             continue
-        if bare and (_RULE.match(line) or closing(line) or _DEVICE.match(bare) or bare.strip(" ,.，。").lower() in signs and fresh):
+        if bare and not signed and ends_mail(lines, k, names, bool(fresh)):
             signed = True
         if bare and not signed and not _NOTICE.search(bare):
             fresh.append((k + 1, line))

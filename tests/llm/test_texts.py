@@ -226,6 +226,28 @@ def test_mails():
     assert M.is_mail(HEAD) and not M.is_mail("From here on") and not M.is_mail(None) and not M.is_mail("# Notes\nSubject: x")
 
 
+def test_signatures_by_their_place():
+    ann = "From: Ann Berg <ann@x.test>\nTo: b <b@x.test>\nSubject: x\n\n"
+    will = "From: Will Hope <will@x.test>\nTo: b <b@x.test>\nSubject: x\n\n"
+    lines = lambda text: [x for _, x in M.parse(text)[3]]
+    for formula in ("Rgds,", "Groetjes", "Med vänlig hälsning", "Pozdrawiam,", "Best"):
+        for name in ("A. Berg", "Ann", "Ann Berg", "Berg, Ann", "AB"):
+            if name != "Berg, Ann":
+                assert lines(f"{ann}It goes well, all in all.\n\n{formula}\n{name}\nHead of Nothing\n") == ["It goes well, all in all."], (formula, name)
+    assert lines(f"{ann}Thanks\n\nI have read it and agree with all of it.\n\nThanks,\nAnn") == ["Thanks", "I have read it and agree with all of it."]
+    assert lines(f"{will}I do not know yet.\nHope\nis all that we have for the moment, I fear.\nMore soon.") == ["I do not know yet.", "Hope", "is all that we have for the moment, I fear.", "More soon."]
+
+
+def test_dates_in_order():
+    want = ["2025-03-05T08:01:00", "2025-03-05T18:01:00"]
+    for early, late in (
+        ("2025-03-05 08:01", "2025-03-05 18:01"), ("Wed, 5 Mar 2025 10:01:00 +0200", "Wed, 05 Mar 2025 13:01:00 -0500"), ("5.3.2025 08:01", "05.03.2025 18:01"), ("2025年3月5日 8:01", "2025年3月5日 18:01"),
+        ("Mittwoch, 5. März 2025 08:01", "5 mars 2025 18h01"), ("5 de marzo de 2025, 8:01", "March 5, 2025 6:01 PM"), ("2025-03-05T08:01:00Z", "05/03/2025 18:01"),
+    ):
+        assert [M.instant(early), M.instant(late)] == want, (early, late)
+    assert M.instant("soon") == M.instant("") == M.instant("99/99/2025") == "~"
+
+
 def test_automaton():
     a = M.Automaton()
     a.add("banana")
