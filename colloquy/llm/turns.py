@@ -50,54 +50,54 @@ _TOKEN = re.compile(
 )
 #: Annotated lines: {t stamp} {s speaker} {c separator} {a annotation} {f filler}, all else speech.
 SEED = """
-{t [00:03]} {s Anna Berg}{c :} The plan is still blocked, and nobody knows why.
-{t [00:09]} {s Anna Berg}{c :} {f Um,} we agreed to send the revised quote by Friday. {a [music]}
-{t (00:07)} {s Berg, Anna} {c -} There is a gap of 12 percent in the plan.
-{t (00:12)} {s A. Berg} {c -} {a (phone rings)}
-{t (00:15)} {s Anna B.} {c -} {f Uh,} honestly, the plan looks better than it did.
-{s Anna Berg}{c :} Let me repeat that: the forecast comes first, everything else can wait.
-Let me repeat that: the forecast comes first, everything else can wait.
-Die Entscheidung lautet: zuerst den Raum buchen.
-ACHTUNG: DIE PRÜFUNG IST NICHT FERTIG, DIE ENTSCHEIDUNG FOLGT.
-{s ANNA BERG}{c :} {a [inaudible]} The test failed twice, it is a mess.
-{s anna berg} {c :} we would rather move the date than wait for another round.
-{s anna berg}{c :} It took 40 days to close the tickets.
-{s anna berg} {c :} {f äh,} der Vertrag hängt noch fest.
-{t [00:21]} {s carl dorn}{c :} Se conseguirmos ligar de volta para o cliente, fica mais fácil.
-{t (00:27)} {s carl dorn} {c -} {f Pues,} la previsión sigue bloqueada.
+{t [00:03]} {s Nora Vale}{c :} Birds come back in April, mostly at dawn.
+{t [00:09]} {s Nora Vale}{c :} {f Um,} someone left the garden gate open again. {a [music]}
+{t (00:07)} {s Vale, Nora} {c -} We counted 12 swans on the river today.
+{t (00:12)} {s N. Vale} {c -} {a (phone rings)}
+{t (00:15)} {s Nora V.} {c -} {f Uh,} frankly, soup was better last winter.
+{s Nora Vale}{c :} I said it before: water the roses first, then sweep.
+I said it before: water the roses first, then sweep.
+Das Rezept verlangt: zuerst Mehl, danach Butter.
+VORSICHT: DER BODEN IST NASS, DIE TREPPE EBENSO.
+{s NORA VALE}{c :} {a [inaudible]} My bicycle broke twice, what a day.
+{s nora vale} {c :} they prefer walking along the shore to any museum.
+{s nora vale}{c :} It rained for 40 nights without a break.
+{s nora vale} {c :} {f äh,} der Apfelbaum blüht schon wieder.
+{t [00:21]} {s carl dorn}{c :} Se chover amanhã ficamos em casa, é mais seguro.
+{t (00:27)} {s carl dorn} {c -} {f Pues,} la luna sale detrás del monte.
 {s carl dorn} {t 00:00:24}
-{s Anna}{c :} {f Er... uh.}
-{s Anna Berg [Host]}{c :} It took 40 days to close the tickets, which is far too long.
-{s Anna Berg (guest)}{c :} {a <noise>} The client wants to see the details again.
-{s Anna_Berg}{c :} {f Euh,} le budget reste bloqué et personne ne sait pourquoi.
-{s Anna Berg} {t 00:00:03}
-{s BERG Anna} {t 00:10}
-{s Anna Berg (guest)} {t 00:00:41}
+{s Nora}{c :} {f Er... uh.}
+{s Nora Vale [Host]}{c :} Nobody has painted that fence since 1998, it shows.
+{s Nora Vale (guest)}{c :} {a <noise>} Children feed ducks behind our school.
+{s Nora_Vale}{c :} {f Euh,} la rivière monte et les prés sont sous l'eau.
+{s Nora Vale} {t 00:00:03}
+{s VALE Nora} {t 00:10}
+{s Nora Vale (guest)} {t 00:00:41}
 {s 王明} {t 00:00:24}
-{s 王明}{c ：}{f 呃，}这个预算现在还卡着，原因没人说得清。
-{s 王 明}{c ：}我们说好周五之前订好会议室。 {a ♪}
+{s 王明}{c ：}{f 呃，}河边的柳树又长高了，孩子们都在放风筝。
+{s 王 明}{c ：}奶奶早上在院子里晒被子。 {a ♪}
 {s 王明(外部)}{c ：}{a 【掌声】}
-{s 王明（主持）}{t （00:20）}{c ：}双方都想更新路线图。
+{s 王明（主持）}{t （00:20）}{c ：}大家都喜欢吃新摘的桃子。
 {s 王明} {t （00:04）}{c ：}{f 呃，嗯……}
 {t [00:38]} {f 呃，嗯……}
-{t [00:42]} 我们答应了客户要更新路线图。
-{t (00:53)} 关于退货流程有三个方案，只有一个便宜。 {a ♪}
-{s Speaker_1} {c -} Bolo Foods ya nos ha preguntado dos veces por esto.
-{s Speaker 2}{c :} Bolo Foods S.A. asked us twice about the plan.
-{t (00:12)} {s Speaker 1} {c -} {a [risas]} Bolo Foods has three options.
-{s Anna Berg}{c :} Bolo Foods asked us twice, Carl Dorn will take over.
-{t [01:02]} {s Speaker 2}{c :} Nothing about the plan has changed since the last call.
-{t [01:02]} {s Speaker_3}{c :} {f Hum,} rien n'a bougé depuis le dernier appel.
-{s SPEAKER_01}{c :} {a (applause)} Could somebody call the client back?
-{s 发言人1}{c ：}所以结论是先订好会议室。
+{t [00:42]} 昨天晚上山里下了一场雪。
+{t (00:53)} 火车站旁边有三家面馆，哪家都好吃。 {a ♪}
+{s Speaker_1} {c -} Lima Sur tiene tranvías desde hace un siglo.
+{s Speaker 2}{c :} Harbour Bakery S.A. sells bread before sunrise.
+{t (00:12)} {s Speaker 1} {c -} {a [risas]} Mi abuela guarda tres relojes viejos.
+{s Nora Vale}{c :} Harbour Bakery burned down, Carl Dorn saw smoke.
+{t [01:02]} {s Speaker 2}{c :} Snow covered every roof by noon on Sunday.
+{t [01:02]} {s Speaker_3}{c :} {f Hum,} personne ne chante plus au village.
+{s SPEAKER_01}{c :} {a (applause)} Did anyone bring matches for candles?
+{s 发言人1}{c ：}春天一到，桥下的水就涨起来。
 {s Speaker 1} {t 00:00:07}
 {t 00:00:01,070} {t -->} {t 00:00:06,790}
 {t 00:01.070} {t -->} {t 00:06.790}
-{s <v Anna Berg>}The plan depends on people who are already overloaded.{c </v>}
-{s <v anna b.>}{a [laughter]} Ayer revisé el plan y encontré 40 puntos abiertos.{c </v>}
-{s <v 王明>}{f 啊，}上周大家在这个上花了57个小时。{c </v>}
-The client accepted the plan, {f er,} which surprised all of us at 16:30.
-{f You know,} it depends on people, {f I mean,} on the team of Anna Berg.
+{s <v Nora Vale>}Old maps show a mill where cows graze now.{c </v>}
+{s <v nora v.>}{a [laughter]} Ayer nadé hasta la boya y conté 40 peces.{c </v>}
+{s <v 王明>}{f 啊，}弟弟骑车走了57里路。{c </v>}
+Cats sleep all afternoon, {f er,} on warm stones near 16:30.
+{f You know,} wind decides, {f I mean,} ask any sailor or Nora Vale.
 {f Um.}
 {f 嗯嗯}
 {f euh, hum.}
@@ -105,13 +105,13 @@ The client accepted the plan, {f er,} which surprised all of us at 16:30.
 {a ♪♪}
 {a [BLANK_AUDIO]}
 {a [music]} {f Uh, um...}
-{a *coughs*} Both sides want to prepare a short demo, they just disagree.
+{a *coughs*} Lanterns hang over both streets, some still burn.
 {a （笑声）}{f 嗯。}
-{f Äh,} das Team hat 32 Stunden daran gearbeitet. {a (Gelächter)}
-Anna Berg will take over the follow-up, nobody told Carl Dorn.
-Send the file to anna.berg (at) firm dot example please.
-Der Vertrag hängt noch fest und niemand weiß warum.
-这样算下来会比原计划多出48万。
+{f Äh,} mein Bruder hat 32 Tauben gezüchtet. {a (Gelächter)}
+Nora Vale planted beans, nobody told Carl Dorn.
+Post it to nora.vale (at) farm dot example tonight.
+Der Brunnen ist leer und keiner holt Regen.
+今年的雨水比去年少了48毫米。
 """
 _MARKUP = re.compile(r"\{([tscaf]) ([^}]*)\}")
 LINES = "origin string, record_id string, pos bigint, at double, label string, generic int, spoken boolean"
