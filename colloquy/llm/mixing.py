@@ -45,16 +45,17 @@ def mix(
     docs needs doc_id, source and text; targets source, target_share and max_repeats (one row per source: a small
     settings table, which is the only thing read to the driver). The budget is the tokens of all documents unless
     given. Documents of sources without a positive share, or without source, are left out of the mix. Null or
-    empty texts count 0 tokens and are left out too. A null max_repeats is 1. A source whose documents are used up
-    leaves its room to the others in proportion to their weights; the report's ``short`` names it.
+    empty texts count 0 tokens and are left out too. A null max_repeats is 1. Rows under one doc_id count once (the greatest source and
+    size). A source whose documents are used up leaves its room to the others in proportion to their weights; ``short`` in
+    the report says that it holds less than its share of the budget.
     """
     spark = docs.sparkSession
     goal = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.greatest(F.max(F.coalesce("max_repeats", F.lit(1))), F.lit(0)).alias("max_repeats"))
     want = {r.source: (float(r.target_share or 0), int(r.max_repeats)) for r in goal.collect() if r.source is not None}
-    sized = runtime.stored(
-        runtime.spread(docs.select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", tk.token_count(F.col("text"), tokenizer).alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h")),
-        "p8-sizes",
-    )
+    runtime.ship(spark)
+    counted = runtime.spread(docs.select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", tk.token_count(F.col("text"), tokenizer).alias("tokens"))
+    once = counted.groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("r"))
+    sized = runtime.stored(once.select("doc_id", "r.source", "r.tokens", F.xxhash64(F.lit(seed), "doc_id").alias("h")), "p8-sizes")
     per_source = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).where(F.col("source").isin(list(want)))
     everything = sized.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     total, n = int(everything.t or 0), int(everything.n)
@@ -94,8 +95,8 @@ def mix(
             mixed_tokens.alias("mixed_tokens"),
             F.coalesce(F.col("last_pass") + 1, F.lit(0)).alias("passes"),
             F.round(mixed_tokens / F.sum(mixed_tokens).over(Window.partitionBy()), 6).alias("actual_share"),
-            # used up, and still under its share
-            ((mixed_tokens >= F.col("source_tokens") * F.col("max_repeats")) & (mixed_tokens < F.col("target_share") * F.lit(float(total)))).alias("short"),
+            # used as often as it may be, and still under its share
+            (F.col("source_tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(float(budget))).alias("short"),
         )
     )
     return mixed.orderBy("finish", "source", "doc_id", "pass_no"), report

@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
+from . import pieces
 from . import tokens as tk
 
 #: Items a shard holds on average; its leftover is at most a few containers, so a larger shard wastes less.
 SHARD_ITEMS = 20_000
-PACKED = "container_id string, doc_id bigint, piece_no int, n_pieces int, tokens bigint, source string, used bigint, capacity bigint"
+PACKED = "container_id string, doc_id bigint, piece_no int, n_pieces int, start_pos bigint, end_pos bigint, tokens bigint, source string, used bigint, capacity bigint"
+
+
+SIZED = "doc_id bigint, source string, cluster string, shard_key bigint, tokens bigint, parts array<struct<start bigint, end bigint, tokens bigint>>"
 
 
 class Shard:
@@ -98,8 +102,8 @@ def containers(
     """One row per document (per piece of a document over the capacity) with its container.
 
     Takes doc_id, text and source; other columns are ignored. A null source counts as ''. Null and empty texts are
-    items of 0 tokens. Copies are texts equal but for case and white space. A document over the capacity is cut
-    into full containers and a rest that is packed like any item. An empty input gives an empty result. Rows given
+    items of 0 tokens. Copies are texts equal but for case and white space. A document over the capacity is cut as by
+    problem 9, without overlap, into pieces that are packed like any item; start_pos and end_pos say where. An empty input gives an empty result. Rows given
     twice under one doc_id are packed once.
     """
 
@@ -109,7 +113,10 @@ def containers(
     def sized(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             n = [tk.count(x, tokenizer) for x in p.text]
-            yield pd.DataFrame({"doc_id": p.doc_id, "source": p.source, "cluster": p.cluster, "shard_key": p.shard_key, "tokens": n})
+            parts_of = [
+                [{"start": a, "end": b, "tokens": t} for a, b, t, _ in pieces.split(x, capacity, 0, tokenizer)] if t > capacity else [{"start": 0, "end": len(x), "tokens": t}] for x, t in zip(p.text, n, strict=True)
+            ]
+            yield pd.DataFrame({"doc_id": p.doc_id, "source": p.source, "cluster": p.cluster, "shard_key": p.shard_key, "tokens": n, "parts": parts_of})
 
     base = docs.select(
         "doc_id",
@@ -122,25 +129,24 @@ def containers(
         F.md5(F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))).alias("cluster"),
         F.xxhash64("doc_id").alias("shard_key"),
     )
+    runtime.ship(docs.sparkSession)
     n_docs = docs.count()  # the footer's row count for a table
     shards = max(1, -(-n_docs // shard_items))
-    sizes = runtime.spread(base, "shard_key").mapInPandas(sized, "doc_id bigint, source string, cluster string, shard_key bigint, tokens bigint")
+    sizes = runtime.spread(base, "shard_key").mapInPandas(sized, SIZED)
 
     def fill(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["doc_id", "source", "cluster", "tokens"]).drop_duplicates("doc_id")
         rows = []
-        for doc, source, cluster, n in zip(p.doc_id, p.source, p.cluster, p.tokens, strict=True):
-            full, rest = divmod(int(n), capacity)
-            pieces = [capacity] * full + ([rest] if rest or not full else [])
-            rows += [(doc, k, len(pieces), size, source, cluster) for k, size in enumerate(pieces)]
-        where = pack([(r[3], r[4], f"{r[5]}:{r[1]}") for r in rows], capacity, source_conflicts)
+        for doc, source, cluster, cut in zip(p.doc_id, p.source, p.cluster, p.parts, strict=True):
+            rows += [(doc, k, len(cut), x["start"], x["end"], x["tokens"], source, cluster) for k, x in enumerate(cut)]
+        where = pack([(r[5], r[6], f"{r[7]}:{r[1]}") for r in rows], capacity, source_conflicts)
         used: dict[int, int] = {}
         for r, b in zip(rows, where, strict=True):
-            used[b] = used.get(b, 0) + r[3]
+            used[b] = used.get(b, 0) + r[5]
         shard = int(p["shard"].iloc[0])
         return pd.DataFrame(
-            [(f"{shard}-{b}", r[0], r[1], r[2], r[3], r[4], used[b], capacity) for r, b in zip(rows, where, strict=True)],
-            columns=["container_id", "doc_id", "piece_no", "n_pieces", "tokens", "source", "used", "capacity"],
+            [(f"{shard}-{b}", *r[:7], used[b], capacity) for r, b in zip(rows, where, strict=True)],
+            columns=["container_id", "doc_id", "piece_no", "n_pieces", "start_pos", "end_pos", "tokens", "source", "used", "capacity"],
         )
 
     return sizes.withColumn("shard", F.pmod("shard_key", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(fill, PACKED)

@@ -41,9 +41,8 @@ def split(text: str, limit: int, overlap: int, tokenizer: str = tk.TOKENIZER) ->
     if n <= limit:
         return [(0, len(text), n, "whole")]
     marks = [(kind, np.unique(np.fromiter((m.end() for m in rx.finditer(text)), dtype=np.int64))) for kind, rx in BOUNDARIES]
-    out, first = [], 0
+    out, first, start = [], 0, 0
     while True:
-        start = int(at[first - 1]) if first else 0
         if n - first <= limit and (size := tk.count(text[start:], tokenizer)) <= limit:
             out.append((start, len(text), size, "end"))
             return out
@@ -65,6 +64,7 @@ def split(text: str, limit: int, overlap: int, tokenizer: str = tk.TOKENIZER) ->
         first = max(first + 1, last - overlap)
         while first < last and int(at[first - 1]) <= start:
             first += 1
+        start = int(at[first - 1]) if overlap else end  # a boundary may lie inside a token
 
 
 def pieces(docs: DataFrame, limit: int, overlap: int, *, tokenizer: str = tk.TOKENIZER) -> DataFrame:

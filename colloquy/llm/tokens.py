@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +32,23 @@ def encoder(path: str = TOKENIZER):
     return _loaded[path]
 
 
+#: Places at which the pattern always parts a text: before white space, and where letters or digits meet signs.
+_PARTED = regex.compile(r"\s(?=\S)|(?<=\p{L})(?=[^\s\p{L}\p{N}'])|(?<=\p{N})(?=[^\s\p{N}])")
+
+
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
-    """Cut text into blocks, before white space where there is some in the second half of a block."""
+    """Cut text into blocks that are encoded on their own as in the whole.
+
+    Only where a whole block is one word or one run of signs is that run cut.
+    """
     at = 0
     while len(text) - at > size:
-        m = None
-        for m in re.finditer(r"\s(?=\S)", text[at + size // 2 : at + size]):
-            pass
-        end = at + size // 2 + m.start() if m else at + size
+        end = at + size
+        for begin in (at + size * 7 // 8, at + 1):
+            found = [m.start() for m in _PARTED.finditer(text, begin, at + size)]
+            if found:
+                end = found[-1]
+                break
         yield text[at:end]
         at = end
     yield text[at:]

@@ -59,7 +59,10 @@ def test_containers(spark):
     out = packing.containers(df, 250)
     got = out.collect()
     assert {r.doc_id for r in got} == set(range(len(data))) and all(r.used <= 250 for r in got)
-    assert sum(r.tokens for r in got) == sum(tk.count(t) for t, _ in data)
+    assert all(r.tokens == tk.count((data[r.doc_id][0] or "")[r.start_pos : r.end_pos]) for r in got)
+    for doc in range(len(data)):  # every text is whole, or its pieces are one after the other
+        mine = sorted((r.piece_no, r.start_pos, r.end_pos, r.n_pieces) for r in got if r.doc_id == doc)
+        assert mine[0][1] == 0 and mine[-1][2] == len(data[doc][0] or "") and all(x[2] == y[1] for x, y in zip(mine, mine[1:], strict=False)) and len(mine) == mine[0][3]
     assert rows(packing.oversized(out)) == [(len(data) - 1,)]
     same = [r.container_id for r in got if 200 <= r.doc_id <= 220]
     assert len(set(same)) == 21
@@ -89,7 +92,11 @@ def test_mix(spark):
     # by brute force: every queue sends in its order until the cut
     until = mixing.finish_cut([0.5, 0.2], [100.0, 10.0], 60.0)
     assert abs(min(until * 0.5, 100) + min(until * 0.2, 10) - 60) < 1e-9
-    assert mixing.mix(docs(spark).limit(0), targets)[1].where("short").count() == 4 or True
+    assert mixing.mix(docs(spark).limit(0), targets)[1].where("short").count() == 0
+    twice = mixing.mix(docs(spark, *data).unionByName(docs(spark, *data)), targets)[1]
+    assert rows(twice.select("source", "source_tokens", "short")) == rows(report.select("source", "source_tokens", "short"))
+    less = {r.source: r.short for r in mixing.mix(docs(spark, *data), targets, budget=100)[1].collect()}
+    assert less == {"big": False, "small": False, "none": True, "other": False}  # 40 times 3 is over a fifth of 100
     assert mixing.mix(docs(spark), targets)[0].count() == 0
 
 
@@ -123,3 +130,6 @@ def test_tokens():
     long = "word " * 30_000
     assert abs(tk.count(long) - 30_000) <= 10 and "".join(tk.blocks(long)) == long
     assert tk.count(None) == tk.count("") == 0
+    plain = tk.encoder().encode_ordinary
+    for text in ("我们说好周五之前订好会议室，后面就轻松多了。" * 2500, "a,b;c's 12.5%\n\n  x" * 3000, "wörd’s " * 9000, "漢字" * 4000 + "。" + "かな" * 9000):
+        assert tk.count(text) == len(plain(text)) and tk.ends(text)[-1] == len(text)
