@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,42 +43,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share. The cluster names it; only a session without one (tests) gets its own."""
+    """Folder all executors share: spark.checkpoint.dir. Only a session in one local process may go without a setting."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), f"colloquy-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", where)
+    if where:
+        return where
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    where = os.path.join(tempfile.gettempdir(), f"colloquy-{spark.sparkContext.applicationId}")
+    spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor never costs the result."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
+_folders: set[str] = set()
 
 
-_folders: set[str] = set()
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; deleted when its driver ends."""
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    """Delete an application's written tables when its driver ends, if the session still runs."""
+    """Delete an application's written tables and checkpoints, unless its session is gone before."""
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped: whoever owns the folder cleans it
+        return
     try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone; whoever owns the folder cleans it
-        pass
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except (OSError, Py4JError) as e:
+        print(f"colloquy: {folder} is left: {e}", file=sys.stderr)
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so a lost executor never costs the result."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(own_dir(df.sparkSession))
+    return df.checkpoint(eager)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a cut whose columns stay prunable."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    ship(df.sparkSession)
+    path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -103,6 +116,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     keys into as many partitions as its files' size asks for: what comes out of a shuffle would be coalesced by bytes,
     which says nothing of the work per row.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     text = plan.toString()
