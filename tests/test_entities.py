@@ -35,14 +35,18 @@ MD = """# memory
 
 
 def test_markdown_to_entries(spark):
-    a, b, c = markdown.parse(MD, "2026-05-01T00:00:00")
-    assert a["name"] == "林炜" and a["aliases"] == ["LW", "林伟"] and a["summary"] == "产品负责人"
-    assert a["facts"] == [{"text": "8/20 排期下周给 还有预算", "date": "2026-08-20", "source": "2026-01-02-周会"}]
-    assert b["name"] == "Nora Berg" and b["aliases"] == [] and b["summary"].startswith("（Acme, sales lead")
-    assert (c["type"], c["name"], c["status"], c["owner"]) == ("commitment", "张三 承诺（8/20 周会）", "done", "张三")
-    assert markdown.status_of("reopened yesterday") == "open"
-    again = markdown.parse("## People\n- **A**: one\n- **a.**: a longer one [2026-02-02-x]\n", "2026")
-    assert len(again) == 1 and again[0]["summary"] == "a longer one" and again[0]["facts"][0]["text"] == "one"
+    read = lambda *texts: markdown.from_markdown(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "doc_id string, content string"), "2026-05-01T00:00:00").orderBy("doc_id", "ord").collect()
+    a, b, c = read(MD)
+    assert a.name == "林炜" and a.aliases == ["LW", "林伟"] and a.summary == "产品负责人"
+    assert [tuple(f) for f in a.facts] == [("8/20 排期下周给 还有预算", "2026-08-20", "2026-01-02-周会")]
+    assert b.name == "Nora Berg" and b.aliases == [] and b.summary.startswith("（Acme, sales lead")
+    assert (c.type, c.name, c.status, c.owner) == ("commitment", "张三 承诺（8/20 周会）", "done", "张三")
+    again = read("## People\n- **A**: one\n- **a.**: a longer one [2026-02-02-x]\n", "## Nothing\n- **A**: x\n## Terms\n\nlost\n<!-- - no -->\n* KPI: figure\n  [2026-03-01-y]\n  goes on\n  - 1/2 told [brief-z]\n")
+    assert [(r.doc_id, r.name) for r in again] == [("0", "A"), ("1", "KPI")]
+    assert again[0].summary == "a longer one" and [tuple(f) for f in again[0].facts] == [("one", "2026-02-02", "2026-02-02-x")]
+    assert again[1].sources == ["2026-03-01-y", "brief-z"] and [tuple(f) for f in again[1].facts] == [("goes on", "2026-03-01", "2026-03-01-y"), ("1/2 told", "2026-01-02", "brief-z")]
+    twins = read("## Terms\n- **A b**\n- **A_b c**\n- **A-b**: x\n- **a**\n- **B（also c、d）**\n")
+    assert [(r.id, r.name, r.aliases) for r in twins] == [("t-a-b", "A b", []), ("t-a_b-c", "A_b c", []), ("t-a", "a", []), ("t-b", "B", ["c", "d"])]
     df = spark.createDataFrame([("d", MD), ("e", None), ("f", "")], "doc_id string, content string")
     assert markdown.from_markdown(df, "2026").count() == 3
     heads = spark.createDataFrame([(["## 人物", "## x"],), (["## People"],), ([],)], "h array<string>")
@@ -148,8 +152,10 @@ def test_rendering(spark):
     s = spark.createDataFrame([("m", 0, 1.0, None, "hello", "Ann"), ("m", 1, 3661.5, 3662.0, "Ann: again", "ann"), ("m", 2, None, None, "", None)], "meeting_id string, seg_idx int, start_sec double, end_sec double, text string, speaker string")
     assert [r.line for r in export.transcript_lines(s).orderBy("seg_idx").collect()] == ["[00:01] Ann: hello", "[1:01:01] Ann: again"]
     assert [r.cue for r in export.cues(s).orderBy("seg_idx").collect()] == ["1\n00:00:01,000 --> 01:01:01,500\nAnn: hello", "2\n01:01:01,500 --> 01:01:02,000\nAnn: again"]
-    md = export.with_participants("# T\n\n- Date: x\n\n## Transcript\nhi", "Ann,  Bob")
-    assert "- Date: x\n- Participants: Ann, Bob\n" in md and export.with_participants(md, "").count("- Participants: (not recorded)") == 1
+    put = lambda md, who: spark.createDataFrame([(md, who)], "md string, who string").select(export.with_participants(F.col("md"), F.col("who"))).first()[0]
+    md = put("# T\n\n- Date: x\n\n## Transcript\nhi", "Ann,  Bob")
+    assert md == "# T\n\n- Date: x\n- Participants: Ann, Bob\n\n## Transcript\nhi\n" and put(md, "").count("- Participants: (not recorded)") == 1
+    assert put("# T\n\n## Transcript\n- no head", "A") == "# T\n\n- Participants: A\n\n## Transcript\n- no head\n" and put("x", "A") == "- Participants: A\nx\n" and put(None, "A") is None
     df = spark.createDataFrame([(md,), ("none",), ("- 参与人员：（未记录）",)], "md string")
     assert [r[0] for r in df.select(export.participants_of(F.col("md"))).collect()] == ["Ann, Bob", None, ""]
     names = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "a-2.md"), (4, "a.md"), (5, "b")], "k int, name string")
