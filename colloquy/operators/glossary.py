@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import text as T
 from ..schemas import LOCALES
+from . import matching
 from .markdown import canonical
 
 #: Labels of misheard forms in a glossary line.
@@ -75,9 +76,9 @@ def prompt_cut(terms: Column, most: int = 160) -> Column:
 
 def hits(g: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, section, ord, term): entries whose term or misheard form occurs in a text, whatever the case."""
-    small = runtime.small(g.select("section", "ord", "term", F.transform(F.concat(F.array("term"), "wrong"), F.lower).alias("variants")))
-    low = texts.select("doc_id", F.lower("content").alias("low"))
-    return low.join(small, F.exists("variants", lambda v: (v != "") & F.contains(F.col("low"), v))).select("doc_id", "section", "ord", "term")
+    v = g.select("section", "ord", "term", F.explode(F.transform(F.concat(F.array("term"), "wrong"), F.lower)).alias("k")).where("k != ''").distinct()
+    found = matching.occurrences(texts.select("doc_id", F.lower("content").alias("low")), v.select("k", F.lit(False).alias("whole")))
+    return found.join(runtime.small(v), "k").select("doc_id", "section", "ord", "term").distinct()
 
 
 def safe_replacements(g: DataFrame) -> DataFrame:

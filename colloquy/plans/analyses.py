@@ -6,9 +6,13 @@ the model. Which meetings are read in full is decided over (id, length) alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..connectors import Model
 from ..functions import text as T
 from ..operators import budget, entities, glossary, library, markdown, ranking
@@ -178,24 +182,29 @@ class Analyses:
         return apply_output(self.store, self.spark.createDataFrame([(meeting_id, row.date, self.model(p, "merge"))], "source string, date string, answer string"), stamp)
 
     def tidy(self, stamp: str, batch: int = 8) -> DataFrame:
-        """The store with overlong entries shortened by the model, batch by batch, where the answer passes the guard."""
-        todo = [r.asDict(recursive=True) for r in entities.tidy_targets(self.store).orderBy("ord").select("id", "name", "summary", "facts").collect()]  # few by definition
-        import json
-
-        fixed = []
-        for k in range(0, len(todo), batch):
-            try:
-                answer = json.loads(self.model(json.dumps(todo[k : k + batch], ensure_ascii=False), "tidy"))
-            except ValueError:
-                continue
-            old = {e["id"]: e for e in todo[k : k + batch]}
-            for e in answer.get("entities") or []:
-                facts = e.get("facts") or []
-                was = old.get(e.get("id"))
-                if was and not (len(was["facts"]) >= 6 and len(facts) < 0.3 * len(was["facts"])):
-                    fixed.append((e["id"], e.get("summary") or was["summary"], [(f.get("text"), f.get("date") or "", f.get("source") or "") for f in facts]))
-        changes = self.spark.createDataFrame(fixed, "id string, summary string, facts array<struct<text:string,date:string,source:string>>")
-        return entities.updated(self.store, changes, stamp)
+        """The store with overlong entries shortened by the model, batch by batch, where the answer passes the guard.
+
+        The model is asked from the partitions, so it must be able to go there; an answer that cannot be read, or
+        names an entry of another batch, changes nothing.
+        """
+        model, fact = self.model, lambda f: (f.get("text"), f.get("date") or "", f.get("source") or "")
+
+        def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import json
+
+            for rows in (p.iloc[k : k + batch] for p in parts for k in range(0, len(p), batch)):
+                asked = dict(zip(rows.id, rows.asked, strict=True))
+                try:
+                    told = json.loads(model(f"[{', '.join(asked.values())}]", "tidy")).get("entities") or []
+                except (ValueError, AttributeError):
+                    told = []
+                fixed = [(e["id"], e.get("summary"), [fact(f) for f in e.get("facts") or []]) for e in told if e.get("id") in asked]
+                yield pd.DataFrame(fixed, columns=["id", "summary", "facts"])
+
+        todo = entities.tidy_targets(self.store).select("id", F.to_json(F.struct("id", "name", "summary", "facts")).alias("asked"))
+        answers = runtime.stored(todo.mapInPandas(ask, "id string, summary string, facts array<struct<text:string,date:string,source:string>>"), "tidied")
+        changes = answers.join(self.store.select("id", F.col("facts").alias("was")), "id").where(entities.tidied(F.col("was"), F.col("facts"))).drop("was")
+        return entities.updated(self.store, changes.withColumn("summary", F.nullif("summary", F.lit(""))).dropDuplicates(["id"]), stamp)
 
 
 MODEL_ITEM = "array<struct<type:string,name:string,aliases:array<string>,summary:string,facts:array<struct<text:string,date:string,source:string>>,status:string,owner:string,due:string>>"
@@ -209,8 +218,6 @@ def apply_output(store: DataFrame, answers: DataFrame, stamp: str) -> DataFrame:
     facts = F.transform(F.coalesce("i.facts", F.expr("cast(array() as array<struct<text:string,date:string,source:string>>)")), fact)
     n = F.monotonically_increasing_id()
     batch = rows.orderBy("date", "source", "k").select("i.type", "i.name", F.coalesce("i.aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("i.summary", F.lit("")).alias("summary"), facts.alias("facts"), *[F.coalesce(f"i.{x}", F.lit("")).alias(x) for x in ("status", "owner", "due")], n.alias("n"))
-    from .. import runtime
-
     return entities.upserted(store, runtime.cut(batch), stamp)
 
 

@@ -12,6 +12,10 @@ from ..operators.ordered import Ordered
 from ..schemas import SEGMENTS
 
 
+#: What goes into the glossary's prompt: characters of the store's names, latest meetings, and of each.
+NAMES_CHARS, RECENT_MEETINGS, RECENT_CHARS = 30_000, 6, 8_000
+
+
 def transcribed(chunks: DataFrame, engine: connectors.Transcriber, known: DataFrame | None = None, replacements: list[tuple[str, str]] = (), parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """(segments, recordings) of chunks (recording_id, idx, duration, payload).
 
@@ -59,9 +63,10 @@ def extracted_glossary(old: str, store: DataFrame, recent: DataFrame, model: con
 
     The answer must have both parts, and of a long glossary not lose more than four tenths.
     """
-    names = [r.line for r in store.orderBy("ord").limit(2000).select(markdown.entry_line().alias("line")).collect()]
-    texts = [r.content for r in recent.orderBy(F.desc("date")).limit(6).select("content").collect()]
-    answer = model("\n\n".join(["<glossary>", old, "</glossary>", *names, *texts]), "glossary")
+    lines = markdown.to_lines(store.where("type in ('person', 'project', 'term')"), facts=False).orderBy("kind_no", "ord", "line_no").limit(NAMES_CHARS)  # a line is a character at least
+    names = "\n".join(r.line for r in lines.select("line").collect())[:NAMES_CHARS]
+    texts = [r.content for r in recent.where(F.length("content") > 0).orderBy(F.desc("date")).limit(RECENT_MEETINGS).select(F.substring("content", 1, RECENT_CHARS).alias("content")).collect()]
+    answer = model("\n\n".join(["<glossary>", old, "</glossary>", names, *texts]), "glossary")
     spark = store.sparkSession
     row = spark.createDataFrame([(old, answer)], "old string, new string").withColumn("new", T.strip_fence(F.col("new")))
     got = row.select("new", glossary.rewrite_allowed(F.col("old"), F.col("new")).alias("ok")).first()

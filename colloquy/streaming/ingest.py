@@ -48,18 +48,23 @@ def guarded(chunks: DataFrame) -> DataFrame:
 def guarded_batch(chunks: DataFrame) -> DataFrame:
     """The same for chunks already there, in the order they came (n): (rec_id, n, seq, status).
 
-    What becomes of a chunk depends on all before it, so a recording is one fold; it runs over (n, seq) only, one row
-    for every few seconds of sound.
+    What becomes of a chunk depends on all before it: recordings are streams over sorted partitions, of which only the
+    next number is kept. A recording, one row for every few seconds of sound, lies in one partition.
     """
 
-    def fold(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        nxt, out = 0, []
-        for n, seq in p.sort_values("n")[["n", "seq"]].itertuples(index=False):
-            out.append((key[0], n, seq, "dup" if seq < nxt else "gap" if seq > nxt else "ok"))
-            nxt += seq == nxt
-        return pd.DataFrame(out, columns=["rec_id", "n", "seq", "status"])
-
-    return chunks.select("rec_id", "n", "seq").groupBy("rec_id").applyInPandas(fold, "rec_id string, n bigint, seq bigint, status string")
+    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, nxt = None, 0
+        for p in parts:
+            states = []
+            for rec, seq in zip(p.rec_id, p.seq, strict=True):
+                if rec != now:
+                    now, nxt = rec, 0
+                states.append("dup" if seq < nxt else "gap" if seq > nxt else "ok")
+                nxt += seq == nxt
+            yield p.assign(status=states)
+
+    rows = chunks.select("rec_id", "n", "seq").repartition("rec_id").sortWithinPartitions("rec_id", "n")
+    return rows.mapInPandas(check, "rec_id string, n bigint, seq bigint, status string")
 
 
 def without_duplicates(chunks: DataFrame, late: str = "10 minutes") -> DataFrame:

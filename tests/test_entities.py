@@ -78,6 +78,33 @@ def test_search_and_relevance(spark):
     assert E.mentions(s.limit(0), docs).count() == 0 and E.search(s.limit(0), "x").count() == 0
 
 
+def test_mentions_by_automata_and_by_pieces(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["ann", "anna", "ann b", "ai", "王明", "明", "c3", "nora-berg", "ann.b", "o'neil", "é", "über"]
+    s = store(spark, *[{"id": f"n{i}", "name": w.upper(), "aliases": [rng.choice(words)]} for i, w in enumerate(words)])
+    texts = [(i, "".join(rng.choice([*words, " ", "-", "x", "，"]) for _ in range(rng.randrange(0, 40)))) for i in range(200)]
+    df = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id int, content string")
+    assert rows(E.mentions(s, df)) == rows(E.mentions(s, df, most_passes=0)) != []
+
+
+def test_tidying_asks_from_the_partitions(spark):
+    from colloquy.plans import analyses
+
+    import json
+
+    many = [(f"fact {k}", "", "") for k in range(12)]
+    s = store(spark, {"id": "a", "name": "A", "facts": many}, {"id": "b", "name": "B", "facts": many}, {"id": "c", "name": "C"})
+
+    def model(prompt, task):
+        return json.dumps({"entities": [{"id": e["id"], "summary": "", "facts": e["facts"][: 6 if e["id"] == "a" else 1]} for e in json.loads(prompt)] + [{"id": "c", "facts": []}]})
+
+    meetings = spark.createDataFrame([], "meeting_id string, content string")
+    got = {r.id: len(r.facts) for r in analyses.Analyses(spark, meetings, s, None, model).tidy("now").collect()}
+    assert got == {"a": 6, "b": 12, "c": 0}
+
+
 def test_upsert_sees_what_came_before(spark):
     s = store(spark, {"id": "p-lin", "name": "林炜", "aliases": ["林伟"], "facts": [("排期下周给", "", "")]}, {"id": "c-quote", "type": "commitment", "name": "send the revised quote", "status": "open"})
     batch = [
