@@ -59,9 +59,9 @@ def safe_name(c: Column) -> Column:
 
 
 def stamp(seconds: Column) -> Column:
-    """mm:ss, or h:mm:ss from an hour on; fractions are cut off."""
+    """mm:ss, or h:mm:ss from an hour on; fractions are cut off. Null of null."""
     s = F.floor(seconds).cast("bigint")
-    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(
+    return F.when(s.isNull(), None).when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(
         F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
     )
 

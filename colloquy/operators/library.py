@@ -162,3 +162,54 @@ def run_stats(meetings: DataFrame, transcripts: DataFrame, reports: DataFrame) -
         tagged = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
         rows = tagged if rows is None else rows.unionByName(tagged)
     return rows.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in kinds])
+
+
+def with_transcript(meetings: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Meetings that have a transcript with text."""
+    return meetings.join(transcripts.where(F.length("md_text") > 0).select("meeting_id"), "meeting_id", "leftsemi")
+
+
+def dashboard(meetings: DataFrame, entities: DataFrame, glossary: DataFrame, most: int = 400) -> DataFrame:
+    """One row: meetings (with a transcript), entries by type, open commitments, glossary entries, and people's names.
+
+    Of the names the first ``most`` of the store come, as on a screen.
+    """
+    of = lambda t: F.count_if(F.col("type") == t)
+    e = entities.agg(of("person").alias("persons"), of("project").alias("projects"), of("commitment").alias("promises"), F.count_if((F.col("type") == "commitment") & (F.col("status") == "open")).alias("open"), of("term").alias("terms"))
+    people = entities.where("type = 'person'").select("ord", "name").orderBy("ord").limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("person_names"))
+    # counts of one row each, side by side by a common key
+    rows = [meetings.agg(F.count("*").alias("meetings")), e, glossary.agg(F.count("*").alias("glossary")), people]
+    one, *rest = [r.withColumn("g", F.lit(1)) for r in rows]
+    for r in rest:
+        one = one.join(F.broadcast(r), "g")
+    return one.drop("g")
+
+
+#: Kinds of documents of which a new one replaces that of the same name.
+REPLACED = ("brief", "weekly")
+
+
+def filed(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """The documents (kind, name, content) after new ones come in.
+
+    Of briefs and weekly reports a new one takes the place of that of its name; any other gets a name of its own, with
+    '-2' and so on behind it.
+    """
+    both = existing.select("kind", "name", "content", F.lit(0).alias("late")).unionByName(new.select("kind", "name", "content", F.lit(1).alias("late")))
+    replaced = F.col("kind").isin(*REPLACED)
+    kept = both.where(replaced).groupBy("kind", "name").agg(F.max_by("content", F.struct("late", "content")).alias("content"))
+    others = both.where(~replaced).withColumn("__path", F.concat_ws("/", "kind", "name")).withColumn("__key", F.concat_ws("\u0001", "late", F.xxhash64("content"), "__path"))
+    names = numbered_names(others.select("__key", "__path").distinct(), "__key", "__path")
+    renamed = others.drop("__path").dropDuplicates(["__key"]).join(names, "__key").select("kind", F.regexp_replace("unique_name", "^[^/]*/", "").alias("name"), "content")
+    return kept.unionByName(renamed)
+
+
+def edited(meetings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Meetings with a new title, date or participants (null leaves one): blank titles and dates that are none change nothing."""
+    c = changes.select(
+        "meeting_id",
+        F.nullif(T.squeeze(F.col("title")), F.lit("")).alias("title"),
+        F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull(), F.col("date")).alias("date"),
+        T.squeeze(F.col("participants")).alias("participants"),
+    )
+    return overlay(meetings, c.join(meetings.select("meeting_id"), "meeting_id", "leftsemi"))

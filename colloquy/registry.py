@@ -282,22 +282,26 @@ def names_to_entries(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def commitment_match(spark: SparkSession, d: str) -> DataFrame:
     e = store(spark, d)
-    wanted = e.where("type = 'commitment' and ord % 10 = 0").select(F.concat(F.lit("Please: "), "name").alias("name"))
+    wanted = e.where("type = 'commitment'").select(F.concat(F.lit("Please: "), "name").alias("name"))
     return entities.closest_commitment(e, wanted).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"""WITH {ENT}, n AS (SELECT DISTINCT id, lower(n) AS k FROM (SELECT id, unnest(list_concat([name], aliases)) AS n FROM ent) WHERE regexp_full_match(lower(n), '[a-z0-9]{{3,}}|ai')),
-t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM documents)
-SELECT doc_id, id, CAST(count(*) AS BIGINT) AS n FROM t JOIN n USING (k) GROUP BY doc_id, id""")
+_NAMES = """n AS (SELECT id, lower(trim(n)) AS k FROM (SELECT id, unnest(list_concat([name], aliases)) AS n FROM ent) WHERE length(trim(n)) >= 2),
+p AS (SELECT *, regexp_matches(k, '[a-z0-9]') AND NOT regexp_matches(k, '[㐀-鿿]') AS whole FROM n)"""
+_TIMES = r"""CASE WHEN whole THEN len(regexp_extract_all(wide, '[^a-z0-9]' || regexp_escape(regexp_replace(k, '([^a-z0-9])', '\1\1', 'g')) || '[^a-z0-9]')) ELSE (length(low) - length(replace(low, k, ''))) // length(k) END"""
+
+
+def _mentions_sql(texts: str) -> str:
+    return rf"""WITH {ENT}, {_NAMES}, t AS (SELECT doc_id, lower(x) AS low, ' ' || regexp_replace(lower(x), '([^a-z0-9])', '\1\1', 'g') || ' ' AS wide FROM ({texts}) WHERE length(x) > 0),
+c AS (SELECT doc_id, id, {_TIMES} AS n FROM t JOIN (SELECT DISTINCT * FROM p) ON contains(low, k) WHERE NOT whole OR length(k) >= 3 OR k = 'ai') SELECT doc_id, id, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2 HAVING sum(n) > 0"""
+
+
+@query(_mentions_sql("SELECT doc_id, text AS x FROM documents"))
 def mention_count(spark: SparkSession, d: str) -> DataFrame:
-    """Names of one Latin word only, which SQL can count too; the operator counts all kinds."""
-    e = store(spark, d)
-    one = F.filter(F.concat(F.array("name"), "aliases"), lambda x: F.lower(x).rlike("^(?:[a-z0-9]{3,}|ai)$"))
-    e = e.withColumn("o", one).where(F.size("o") > 0).withColumn("name", F.get("o", F.lit(0))).withColumn("aliases", F.slice("o", 2, 100))
-    return entities.mentions(e, texts(spark, d))
+    return entities.mentions(store(spark, d), texts(spark, d))
 
 
-@query()
+@query(_mentions_sql("SELECT meeting_id AS doc_id, md_text AS x FROM transcripts"))
 def mentions_all(spark: SparkSession, d: str) -> DataFrame:
     return entities.mentions(store(spark, d), table(spark, d, "transcripts").select(F.col("meeting_id").alias("doc_id"), F.col("md_text").alias("content")))
 
@@ -305,7 +309,15 @@ def mentions_all(spark: SparkSession, d: str) -> DataFrame:
 QUESTION = "What did Dorothea Zelavodorf and Nimeshiglo Ceramics say about the backlog, the budget and the KPI?"
 
 
-@query()
+_ASKED = f"'{QUESTION.lower()}'"
+
+
+@query(rf"""WITH {ENT}, {_NAMES}, q AS (SELECT {_ASKED} AS low, ' ' || regexp_replace({_ASKED}, '([^a-z0-9])', '\1\1', 'g') || ' ' AS wide),
+c AS (SELECT id, sum(CASE WHEN whole AND length(k) < 3 AND k <> 'ai' THEN 0 ELSE {_TIMES} END) AS score FROM p, q GROUP BY id),
+h AS (SELECT e.*, c.score FROM ent e JOIN c USING (id) WHERE score > 0),
+o AS (SELECT DISTINCT {_KEY.format('x')} AS k FROM (SELECT unnest(list_concat([name], aliases)) AS x FROM h WHERE type = 'person') WHERE x <> ''),
+a AS (SELECT id, type, name, CAST(score AS INT) AS score, updated, ord FROM h UNION ALL SELECT id, type, name, 1, updated, ord FROM ent WHERE id NOT IN (SELECT id FROM h) AND type = 'commitment' AND status IN ('open', 'unknown') AND {_KEY.format('owner')} IN (SELECT k FROM o))
+SELECT id, type, name, score, updated FROM a ORDER BY score DESC, updated, ord LIMIT 40""")
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.relevant(store(spark, d), QUESTION).select("id", "type", "name", "score", "updated")
 
@@ -364,7 +376,11 @@ def delete_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.removed(e, e.where("type = 'term'")).select("id")
 
 
-@query()
+@query(f"""WITH {ENT}, w AS (SELECT *, row_number() OVER v AS n, first(id) OVER v AS into_id FROM (SELECT *, {_KEY.format('name')} AS k FROM ent) WINDOW v AS (PARTITION BY type, k ORDER BY ord)),
+d AS (SELECT * FROM w WHERE n = 2)
+SELECT e.id, array_to_string(CASE WHEN d.id IS NULL THEN e.aliases ELSE list_concat(e.aliases, list_filter(list_concat([d.name], d.aliases), lambda x: x <> '' AND NOT list_contains(list_transform(list_concat([e.name], e.aliases), lambda y: {_KEY.format('y')}), {_KEY.format('x')}))) END, '|') AS aliases,
+ CAST(CASE WHEN d.id IS NULL THEN len(e.facts) ELSE len(e.facts) + len(d.facts) + CASE WHEN d.summary <> '' AND e.summary <> '' AND NOT contains(e.summary, d.summary) THEN 1 ELSE 0 END END AS INT) AS n_facts,
+ CASE WHEN d.id IS NULL THEN e.updated ELSE 'now' END AS updated FROM ent e LEFT JOIN d ON d.into_id = e.id WHERE e.id NOT IN (SELECT id FROM d)""")
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     e = store(spark, d)
     w = Window.partitionBy("type", T.norm_name(F.col("name"))).orderBy("ord")
@@ -384,7 +400,15 @@ def markdown_store(spark: SparkSession, d: str) -> DataFrame:
     return markdown.to_lines(store(spark, d)).groupBy("kind_no").agg(F.count("*").alias("lines"))
 
 
-@query()
+_LINE = """'- **' || name || '**' || CASE WHEN len(aliases) > 0 THEN '（' || array_to_string(aliases, '、') || '）' ELSE '' END
+ || CASE WHEN type = 'commitment' THEN ' · ' || CASE WHEN status = '' THEN 'unknown' ELSE status END || CASE WHEN owner <> '' THEN ' · ' || owner ELSE '' END || CASE WHEN due <> '' THEN ' · ' || due ELSE '' END ELSE '' END
+ || CASE WHEN summary <> '' THEN '：' || regexp_replace(summary, '：+$', '') ELSE '' END"""
+_SAYS = """CASE WHEN regexp_matches(p, '已取消|已放弃|作废|cancelled|canceled|dropped|annulé') THEN 'cancelled' WHEN regexp_matches(p, '已兑现|已完成|已生效|已部署|已定|已执行|done|fulfilled|completed|réalisé') THEN 'done'
+ WHEN regexp_matches(p, '进行中|待办|待执行|待测试|待定|未兑现|推进中|in progress|open|pending|en cours') THEN 'open' ELSE 'unknown' END"""
+
+
+@query(f"""WITH {ENT}, l AS (SELECT id, type, name, facts, lower(right({_LINE}, 60)) AS p FROM ent WHERE type IN ('term', 'commitment'))
+SELECT id AS doc_id, type, name, CASE WHEN type = 'term' THEN '' ELSE {_SAYS} END AS status, CAST(len(facts) AS INT) AS n_facts FROM l""")
 def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Commitments' and terms' lines read back, one small text for each entry."""
     e = store(spark, d).where("type in ('term', 'commitment')")
@@ -404,21 +428,20 @@ def relevance_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranked(ranking.relevance(readable(spark, d), "budget, roadmap and the budget?")).select("meeting_id", "score")
 
 
-@query()
+@query(f"""WITH {MEET}, r AS (SELECT m.*, lower(md_text) AS body, lower(title || ' ' || digest) AS head FROM m JOIN transcripts t USING (meeting_id) WHERE length(md_text) > 0), k AS (SELECT unnest(['dorothea', 'budget', 'roadmap']) AS k),
+s AS (SELECT meeting_id, date, created, body, head, CAST(sum({_COUNT.format('head', 'k')} * 5 + least({_COUNT.format('body', 'k')}, 20)) AS INT) AS score FROM r, k GROUP BY ALL), b AS (SELECT * FROM s ORDER BY score DESC, date DESC, created DESC, meeting_id DESC LIMIT 6),
+h AS (SELECT meeting_id, score, 'relevance' AS how FROM b WHERE regexp_matches(body || head, 'dorothea|budget|roadmap')), l AS (SELECT meeting_id, 0 AS score, 'recent' AS how FROM r ORDER BY date DESC, created DESC, meeting_id DESC LIMIT 3)
+SELECT * FROM h UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM h)""")
 def related_meetings(spark: SparkSession, d: str) -> DataFrame:
     return ranking.related(readable(spark, d), "Dorothea", "budget roadmap")
 
 
-@query(f"""WITH {MEET} SELECT meeting_id, array_to_string(list_filter(string_split(title, ' '), lambda w: length(w) >= 2 AND lower(w) NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})), ' ') AS words FROM m WHERE regexp_full_match(title, '[A-Za-z]+( [A-Za-z]+)*')""")
-def keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Of titles in plain Latin words, which SQL splits alike."""
-    m = meetings(spark, d).where(F.col("title").rlike("^[A-Za-z]+( [A-Za-z]+)*$"))
-    return m.select("meeting_id", F.array_join(T.keywords(F.col("title")), " ").alias("words"))
+_WORDS = f"""list_filter(regexp_split_to_array(title, '[\\s,，。、;；:：?？!！/()（）"“”‘’''\\[\\]]+'), lambda w: length(w) >= 2 AND lower(w) NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))"""
 
 
-@query()
-def keywords_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all titles; those SQL splits otherwise are tested by brute force."""
+@query(f"""WITH {MEET}, w AS (SELECT meeting_id, {_WORDS} AS w FROM m)
+SELECT meeting_id, array_to_string(list_concat(w, flatten(list_transform(list_filter(w, lambda x: regexp_full_match(x, '[㐀-鿿]{{4,}}')), lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2))))), ' ') AS words FROM w""")
+def keywords(spark: SparkSession, d: str) -> DataFrame:
     return meetings(spark, d).select("meeting_id", F.array_join(T.keywords(F.col("title")), " ").alias("words"))
 
 
@@ -492,6 +515,34 @@ def removed_by_reason(spark: SparkSession, d: str) -> DataFrame:
     return sequence.removed_by_reason(sequence.cleaned(segments(spark, d)))
 
 
+#: Segments as a speech engine leaves them on silence and music: invented, empty and repeated texts, by the segment's number.
+_NOISY = _CLEAN.replace(SEG, "seg AS (SELECT * REPLACE (CASE WHEN seg_idx % 11 = 0 THEN '…' WHEN seg_idx % 13 = 0 THEN 'Thanks for watching!' WHEN seg_idx % 17 = 0 THEN 'Thank you.' WHEN seg_idx % 5 IN (1, 2, 3) THEN 'word ' || seg_idx // 5 ELSE text END AS text, CASE WHEN seg_idx % 17 = 0 THEN 0.7 WHEN seg_idx % 19 = 0 THEN 0.65 ELSE no_speech_prob END AS no_speech_prob, CASE WHEN seg_idx % 19 = 0 THEN -1.5 ELSE avg_logprob END AS avg_logprob) FROM segments QUALIFY row_number() OVER (PARTITION BY meeting_id, seg_idx ORDER BY received_at DESC, row_id DESC) = 1)")
+
+
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("seg_idx")
+    said = F.when(k % 11 == 0, "…").when(k % 13 == 0, "Thanks for watching!").when(k % 17 == 0, "Thank you.").when((k % 5).isin(1, 2, 3), F.concat(F.lit("word "), F.floor(k / 5).cast("string"))).otherwise(F.col("text"))
+    silent = F.when(k % 17 == 0, 0.7).when(k % 19 == 0, 0.65).otherwise(F.col("no_speech_prob"))
+    return segments(spark, d).withColumns({"text": said, "no_speech_prob": silent, "avg_logprob": F.when(k % 19 == 0, -1.5).otherwise(F.col("avg_logprob"))})
+
+
+@query(_NOISY)
+def noise_removed(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.cleaned(_noisy(spark, d)).select("meeting_id", "seg_idx", "reason")
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({_NOISY}) WHERE reason <> '' GROUP BY reason")
+def noise_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.removed_by_reason(sequence.cleaned(_noisy(spark, d)))
+
+
+@query(f"SELECT meeting_id AS doc_id, count(*) AS lines, count(*) FILTER (reason = '') AS kept FROM ({_NOISY}) GROUP BY meeting_id")
+def clean_preview(spark: SparkSession, d: str) -> DataFrame:
+    """What cleaning would leave of each transcript; confidences are unknown to its lines, so they are known here by text."""
+    s = sequence.cleaned(_noisy(spark, d))
+    return s.groupBy(F.col("meeting_id").alias("doc_id")).agg(F.count("*").alias("lines"), F.count_if(F.col("reason") == "").alias("kept"))
+
+
 @query(f"""WITH {SEG}, t AS (SELECT meeting_id, seg_idx, start_sec, CASE WHEN isnan(end_sec) THEN NULL ELSE end_sec END AS e FROM seg WHERE start_sec IS NOT NULL)
 SELECT meeting_id, seg_idx, start_sec, coalesce(e, lead(start_sec) OVER (PARTITION BY meeting_id ORDER BY seg_idx), start_sec + 5) AS end_sec FROM t""")
 def fill_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -526,22 +577,47 @@ def prefix_offsets(spark: SparkSession, d: str) -> DataFrame:
     return sequence.offsets(c).select("recording_id", "idx", "offset")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, b AS (SELECT meeting_id, seg_idx, start_sec, coalesce(CASE WHEN isnan(end_sec) THEN NULL ELSE end_sec END, start_sec) AS e, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS t, coalesce(is_gap, false) OR coalesce(speaker, '') <> '' AS lone
+ FROM seg WHERE trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND start_sec IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS k, lag(lone) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS plone, lag(e) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS pe FROM b),
+f AS (SELECT meeting_id, k, seg_idx AS first_idx, start_sec, e AS end_sec, t AS text, 1 AS pieces, 1 AS grp FROM r WHERE k = 1
+ UNION ALL SELECT r.meeting_id, r.k, CASE WHEN j THEN first_idx ELSE r.seg_idx END, CASE WHEN j THEN o.start_sec ELSE r.start_sec END, r.e,
+  CASE WHEN j THEN o.text || CASE WHEN regexp_matches(o.text, '[㐀-鿿]$') AND regexp_matches(r.t, '^[㐀-鿿]') THEN '，' WHEN regexp_matches(o.text, '[　-〿＀-￯]$') THEN '' ELSE ' ' END || r.t ELSE r.t END,
+  CASE WHEN j THEN o.pieces + 1 ELSE 1 END, CASE WHEN j THEN o.grp ELSE o.grp + 1 END
+  FROM (SELECT f.*, r.k AS k2, NOT r.lone AND NOT r.plone AND r.start_sec - r.pe <= 1.2 AND length(f.text) + length(r.t) <= (CASE WHEN regexp_matches(r.t, '[㐀-鿿]') THEN 110 ELSE 320 END)
+   AND NOT (length(f.text) >= 0.45 * (CASE WHEN regexp_matches(r.t, '[㐀-鿿]') THEN 110 ELSE 320 END) AND regexp_matches(f.text, '[。！？!?.]$')) AS j FROM f JOIN r ON r.meeting_id = f.meeting_id AND r.k = f.k + 1) o JOIN r ON r.meeting_id = o.meeting_id AND r.k = o.k2)
+SELECT meeting_id, first_idx, start_sec, end_sec, text, CAST(pieces AS INT) AS pieces FROM f QUALIFY row_number() OVER (PARTITION BY meeting_id, grp ORDER BY k DESC) = 1""")
 def merge_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return sequence.merged(segments(spark, d))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT meeting_id, length(md_text) AS chars_before, unnest(range(1, len(string_split(md_text, chr(10))) + 1)) AS k, len(string_split(md_text, chr(10))) AS n, unnest(string_split(md_text, chr(10))) AS line FROM transcripts WHERE md_text IS NOT NULL),
+p AS (SELECT *, regexp_matches(line, '^\[\d+:\d{2}(:\d{2})?\]\s*') AS st, trim(regexp_replace(line, '^\[\d+:\d{2}(:\d{2})?\]\s*', ''), chr(32) || chr(9) || chr(13)) AS said, length(regexp_extract(line, '^\[\d+:\d{2}(:\d{2})?\]')) + 1 AS head FROM l WHERE NOT (k = n AND line = '')),
+f AS (SELECT meeting_id, k, CASE WHEN st THEN said END AS held, CASE WHEN st THEN head + length(said) ELSE length(line) END AS chars FROM p WHERE k = 1
+ UNION ALL SELECT p.meeting_id, p.k, CASE WHEN p.st THEN CASE WHEN j THEN o.held || sep || p.said ELSE p.said END END, o.chars + CASE WHEN j THEN length(sep || p.said) WHEN p.st THEN 1 + p.head + length(p.said) ELSE 1 + length(p.line) END
+ FROM (SELECT f.*, coalesce(x.st AND f.held IS NOT NULL AND length(f.held) + length(x.said) <= 160 AND NOT regexp_matches(x.said, '^[^:：]{1,24}[:：]'), false) AS j,
+  CASE WHEN regexp_matches(f.held, '[㐀-鿿]$') AND regexp_matches(x.said, '^[㐀-鿿]') THEN '，' WHEN regexp_matches(f.held, '[　-〿＀-￯]$') THEN '' ELSE ' ' END AS sep FROM f JOIN p x ON x.meeting_id = f.meeting_id AND x.k = f.k + 1) o JOIN p ON p.meeting_id = o.meeting_id AND p.k = o.k + 1)
+SELECT t.meeting_id, CAST(length(md_text) AS INT) AS chars_before, CAST(coalesce(m.chars, 0) AS INT) AS chars_after FROM transcripts t LEFT JOIN (SELECT meeting_id, max_by(chars, k) AS chars FROM f GROUP BY 1) m USING (meeting_id) WHERE md_text IS NOT NULL""")
 def compact_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return sequence.compact_transcripts(table(spark, d, "transcripts"), "meeting_id", "md_text").select("meeting_id", "chars_before", F.length("text").alias("chars_after"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT meeting_id, unnest(range(1, len(string_split(md_text, chr(10))) + 1)) AS k, trim(unnest(string_split(md_text, chr(10))), chr(32) || chr(9) || chr(13)) AS line FROM transcripts WHERE md_text IS NOT NULL),
+t AS (SELECT *, regexp_matches(line, '^\[\d{1,2}:\d{2}(:\d{2})?\]') AS stamped, regexp_extract(line, '^\[(\d{1,2}):(\d{2})(?::(\d{2}))?\]', ['a', 'b', 'c']) AS p FROM l WHERE line <> ''),
+g AS (SELECT *, sum(CASE WHEN stamped THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY k) AS grp, CASE WHEN stamped THEN trim(regexp_replace(line, '^\[\d{1,2}:\d{2}(:\d{2})?\]', '')) ELSE line END AS said FROM t),
+c AS (SELECT *, lag(said) OVER (PARTITION BY meeting_id, grp ORDER BY k) AS before FROM g WHERE said <> ''),
+s AS (SELECT meeting_id, grp, sum(length(said) + CASE WHEN before IS NULL OR regexp_matches(before, '[　-鿿＀-￯]$') THEN 0 ELSE 1 END) AS chars FROM c GROUP BY 1, 2),
+h AS (SELECT meeting_id, grp, max(CASE WHEN stamped THEN CASE WHEN p.c <> '' THEN CAST(p.a AS INT) * 3600 + CAST(p.b AS INT) * 60 + CAST(p.c AS INT) ELSE CAST(p.a AS INT) * 60 + CAST(p.b AS INT) END ELSE 0 END) AS sec FROM g GROUP BY 1, 2)
+SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY grp) - 1 AS INT) AS n, sec, CAST(chars AS INT) AS chars FROM s JOIN h USING (meeting_id, grp)""")
 def transcript_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return sequence.paragraphs(table(spark, d, "transcripts").where("md_text is not null"), "meeting_id", "md_text").select("meeting_id", "n", "sec", F.length("text").alias("chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, t AS (SELECT meeting_id, seg_idx, start_sec, end_sec, lag(end_sec) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS p FROM seg WHERE start_sec IS NOT NULL AND end_sec IS NOT NULL AND NOT isnan(end_sec)),
+q AS (SELECT meeting_id, round((start_sec + p) / 2, 2) AS s FROM t WHERE start_sec - p >= 1), w AS (SELECT meeting_id, max(end_sec) AS total FROM t GROUP BY 1),
+c AS (SELECT meeting_id, total, -1 AS n, 0.0::DOUBLE AS cut FROM w
+ UNION ALL SELECT meeting_id, total, n + 1, coalesce((SELECT arg_min(s, (abs(s - (c.cut + 1200)), s)) FROM q WHERE q.meeting_id = c.meeting_id AND s BETWEEN c.cut + 1110 AND c.cut + 1230), c.cut + 1200) FROM c WHERE c.cut + 1200 < total - 240)
+SELECT meeting_id AS recording_id, CAST(n AS INT) AS n, round(cut, 2) AS cut FROM c WHERE n >= 0""")
 def cut_points(spark: SparkSession, d: str) -> DataFrame:
     """Cuts of recordings at the pauses of three seconds and more between their segments."""
     s = segments(spark, d).where("start_sec is not null and not isnan(end_sec) and end_sec is not null")
@@ -577,17 +653,20 @@ def language_mix(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("doc_id", T.language_mix(F.col("content")).alias("mix"))
 
 
-@query("""WITH s AS (SELECT meeting_id, lang, sum(n_chars / 1000.0) AS w FROM documents WHERE meeting_id IS NOT NULL GROUP BY 1, 2)
-SELECT meeting_id, lang, round(w, 6)::DOUBLE AS weight FROM s QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY round(w, 6) DESC, lang DESC) = 1""")
+@query("""WITH s AS (SELECT meeting_id, CASE WHEN source = 'chat' THEN 'la' ELSE lang END AS lang, sum(n_chars / 1000.0) AS w FROM documents WHERE meeting_id IS NOT NULL GROUP BY 1, 2)
+SELECT meeting_id, lang, round(w, 6)::DOUBLE AS weight FROM s QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY lang <> 'la' DESC, round(w, 6) DESC, lang DESC) = 1""")
 def language_vote(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").where("meeting_id is not null").select("meeting_id", "lang", (F.col("n_chars") / 1000.0).alias("prob"))
+    lang = F.when(F.col("source") == "chat", "la").otherwise(F.col("lang"))  # a language no meeting is in
+    w = table(spark, d, "documents").where("meeting_id is not null").select("meeting_id", lang.alias("lang"), (F.col("n_chars") / 1000.0).alias("prob"))
     return sequence.language_vote(w, ["meeting_id"])
 
 
-@query("""SELECT meeting_id, regexp_matches(trim(md_text), '^\\[\\d{1,2}:\\d{2}') AS valid FROM transcripts WHERE md_text IS NOT NULL""")
+@query(rf"""WITH b AS (SELECT meeting_id, trim(regexp_replace(md_text, '(?s)^.*?\n\[', '['), chr(32) || chr(10)) AS t, length(md_text) * 1.0 AS duration FROM transcripts WHERE md_text IS NOT NULL)
+SELECT meeting_id, regexp_matches(t, '^\[\d{{1,2}}:\d{{2}}(:\d{{2}})?\]') AND (len(regexp_extract_all(t, '(?m)^\[\d{{1,2}}:\d{{2}}(:\d{{2}})?\]')) >= duration / 180 OR regexp_matches(t, '{sequence.QUIET}')) AS valid FROM b""")
 def valid_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts from their first stamp on, as if every character were a second."""
     t = table(spark, d, "transcripts").where("md_text is not null")
-    return t.select("meeting_id", sequence.valid_piece(F.col("md_text"), F.lit(60.0)).alias("valid"))
+    return t.select("meeting_id", sequence.valid_piece(F.regexp_replace("md_text", r"(?s)^.*?\n\[", "["), F.length("md_text").cast("double")).alias("valid"))
 
 
 # --- glossary ----------------------------------------------------------------------------------------------------
@@ -645,6 +724,70 @@ def render_cues(spark: SparkSession, d: str) -> DataFrame:
     return export.cues(segments(spark, d))
 
 
+@query(f"""WITH {SEG}, t AS (SELECT meeting_id, seg_idx, CASE WHEN coalesce(speaker, '') <> '' AND NOT starts_with(lower(text), lower(speaker)) THEN speaker || ': ' || text ELSE text END AS line FROM seg WHERE coalesce(text, '') <> '')
+SELECT meeting_id, 1 AS part, seg_idx AS n, line FROM t""")
+def render_txt(spark: SparkSession, d: str) -> DataFrame:
+    return export.rendered(meetings(spark, d), segments(spark, d), "txt")
+
+
+@query(f"""WITH {SEG}, t AS (SELECT meeting_id, seg_idx, start_sec, CASE WHEN isnan(end_sec) THEN NULL ELSE end_sec END AS e, CASE WHEN coalesce(speaker, '') <> '' AND NOT starts_with(lower(text), lower(speaker)) THEN speaker || ': ' || text ELSE text END AS x FROM seg WHERE coalesce(text, '') <> '' AND start_sec IS NOT NULL),
+f AS (SELECT meeting_id, seg_idx, CAST(round(start_sec * 1000) AS BIGINT) AS a, CAST(round(coalesce(e, lead(start_sec) OVER w, start_sec + 5) * 1000) AS BIGINT) AS b, x FROM t WINDOW w AS (PARTITION BY meeting_id ORDER BY seg_idx))
+SELECT meeting_id, 1 AS part, seg_idx AS n, replace({_CUE.format('a')} || ' --> ' || {_CUE.format('b')}, ',', '.') || chr(10) || x || chr(10) AS line FROM f
+UNION ALL SELECT DISTINCT meeting_id, 0, 0, 'WEBVTT' || chr(10) FROM f""")
+def render_vtt(spark: SparkSession, d: str) -> DataFrame:
+    return export.rendered(meetings(spark, d), segments(spark, d), "vtt")
+
+
+@query(f"""WITH {SEG}, t AS (SELECT meeting_id, CAST(count(*) FILTER (coalesce(text, '') <> '') AS BIGINT) AS said, CAST(floor(max(CASE WHEN isnan(end_sec) THEN NULL ELSE end_sec END)) AS BIGINT) AS x FROM seg GROUP BY 1)
+SELECT meeting_id, 'done' AS status, CASE WHEN x IS NULL THEN '' WHEN x >= 3600 THEN (x // 3600) || ':' || lpad(CAST(x // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60 AS VARCHAR), 2, '0') ELSE lpad(CAST(x // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60 AS VARCHAR), 2, '0') END AS duration,
+ said AS md_lines, said + 2 AS json_lines FROM t WHERE said > 0""")
+def write_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """What the writing of transcripts gives: body lines, lines of the json twin, and the changed meta."""
+    s = segments(spark, d)
+    md, twin, meta = export.written(meetings(spark, d), s)
+    count = lambda df, name: df.groupBy("meeting_id").agg(F.count("*").alias(name))
+    return meta.join(count(md.where("part = 1"), "md_lines"), "meeting_id").join(count(twin, "json_lines"), "meeting_id")
+
+
+@query(f"""WITH {MEET}, {ENT} SELECT (SELECT count(*) FROM m WHERE meeting_id IN (SELECT meeting_id FROM transcripts WHERE length(md_text) > 0)) AS meetings, (SELECT count(*) FROM ent WHERE type = 'person') AS persons, (SELECT count(*) FROM ent WHERE type = 'project') AS projects,
+ (SELECT count(*) FROM ent WHERE type = 'commitment') AS promises, (SELECT count(*) FROM ent WHERE type = 'commitment' AND status = 'open') AS open, (SELECT count(*) FROM ent WHERE type = 'term') AS terms, (SELECT count(*) FROM glossary) AS glossary,
+ (SELECT string_agg(name, ', ' ORDER BY ord) FROM (SELECT name, ord FROM ent WHERE type = 'person' ORDER BY ord LIMIT 400)) AS person_names""")
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return library.dashboard(library.with_transcript(meetings(spark, d), table(spark, d, "transcripts")), store(spark, d), terms(spark, d))
+
+
+@query(f"""WITH {MEET} SELECT meeting_id FROM m WHERE meeting_id IN (SELECT meeting_id FROM transcripts WHERE length(md_text) > 0)""")
+def has_transcript(spark: SparkSession, d: str) -> DataFrame:
+    return library.with_transcript(meetings(spark, d), table(spark, d, "transcripts")).select("meeting_id")
+
+
+@query(f"""WITH {ENT}, {MEET}, f AS (SELECT id, unnest(facts) AS f FROM ent), s AS (SELECT id, unnest(sources) AS s FROM ent)
+SELECT e.id, CAST(len(e.facts) AS INT) AS n_facts, CAST((SELECT count(*) FROM f JOIN m ON m.meeting_id = f.f.source WHERE f.id = e.id) AS BIGINT) AS titled, CAST(len(e.sources) AS INT) AS n_sources, CAST((SELECT count(*) FROM s JOIN m ON m.meeting_id = s.s WHERE s.id = e.id) AS BIGINT) AS known FROM ent e""")
+def entity_detail(spark: SparkSession, d: str) -> DataFrame:
+    e = entities.detail(store(spark, d), meetings(spark, d))
+    count = lambda c, test: F.size(F.filter(c, test)).cast("bigint")
+    return e.select("id", F.size("facts").alias("n_facts"), count("facts", lambda f: f["source_title"] != "").alias("titled"), F.size("sources").alias("n_sources"), count("sources", lambda x: x["exists_flag"]).alias("known"))
+
+
+@query("""WITH o AS (SELECT source AS kind, strftime(created, '%Y-%m-%d') AS name, text AS content, 0 AS late FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, strftime(created, '%Y-%m-%d'), text, 1 FROM documents WHERE doc_id % 2 = 1),
+r AS (SELECT kind, name, arg_max(content, (late, content)) AS content FROM o WHERE kind IN ('brief', 'weekly') GROUP BY 1, 2),
+x AS (SELECT DISTINCT kind, name, content, late FROM o WHERE kind NOT IN ('brief', 'weekly'))
+SELECT kind, count(*) AS docs, count(DISTINCT name) AS names FROM r GROUP BY 1 UNION ALL SELECT kind, count(*), count(*) FROM x GROUP BY 1""")
+def filed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an odd number put to those with an even one, by day."""
+    x = table(spark, d, "documents").select("doc_id", F.col("source").alias("kind"), F.date_format("created", "yyyy-MM-dd").alias("name"), F.col("text").alias("content"))
+    return library.filed(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1")).groupBy("kind").agg(F.count("*").alias("docs"), F.countDistinct("name").alias("names"))
+
+
+@query(f"""WITH {MEET} SELECT DISTINCT meeting_id, CASE WHEN length(title) % 2 = 0 THEN 'New: ' || meeting_id ELSE title END AS title, CASE WHEN length(title) % 3 = 0 THEN '2026-02-28' ELSE date END AS date, participants FROM m""")
+def edited_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Every second title changed, every third date; blank titles and dates that are none change nothing."""
+    m = meetings(spark, d).select("meeting_id", "title", "date", "participants").distinct()
+    n = F.length("title")
+    c = m.select("meeting_id", F.when(n % 2 == 0, F.concat(F.lit(" New:  "), "meeting_id")).otherwise(" ").alias("title"), F.when(n % 3 == 0, "2026-02-28").otherwise("2026-02-30").alias("date"), F.lit(None).cast("string").alias("participants"))
+    return library.edited(m, c)
+
+
 @query(f"""WITH {SEG} SELECT meeting_id, round(max(CASE WHEN isnan(end_sec) THEN NULL ELSE end_sec END), 2) AS seconds FROM seg GROUP BY meeting_id""")
 def durations(spark: SparkSession, d: str) -> DataFrame:
     return export.durations(segments(spark, d)).select("meeting_id", "seconds")
@@ -721,6 +864,17 @@ def to_resume(spark: SparkSession, d: str) -> DataFrame:
     return ingest.to_resume(meetings(spark, d), table(spark, d, "transcripts"), a)
 
 
+@query(f"""WITH {SEG}, a AS (SELECT meeting_id, sum(length(text)) AS bytes FROM seg GROUP BY meeting_id), {MEET}, x AS (SELECT meeting_id, CASE WHEN length(title) % 3 = 0 THEN 'recording' WHEN length(title) % 3 = 1 THEN 'transcribing' ELSE status END AS status FROM m)
+SELECT x.meeting_id, CASE WHEN status = 'recording' THEN 'new' ELSE status END AS status FROM x JOIN a USING (meeting_id)
+WHERE meeting_id NOT IN (SELECT meeting_id FROM transcripts WHERE length(text) > 2000) AND (status IN ('new', 'transcribing') OR (status = 'recording' AND bytes >= 1024))""")
+def resumed(spark: SparkSession, d: str) -> DataFrame:
+    """to_resume with meetings cut off in every state, and short transcripts not counting as finished."""
+    a = segments(spark, d).groupBy("meeting_id").agg(F.sum(F.length("text")).alias("bytes"))
+    k = F.length("title") % 3
+    m = meetings(spark, d).withColumn("status", F.when(k == 0, "recording").when(k == 1, "transcribing").otherwise(F.col("status")))
+    return ingest.to_resume(m, table(spark, d, "transcripts").where(F.length("text") > 2000), a)
+
+
 # --- text primitives ---------------------------------------------------------------------------------------------
 
 

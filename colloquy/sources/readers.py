@@ -58,6 +58,26 @@ def parse(raw: DataFrame) -> DataFrame:
     return raw.where("content is not null").mapInPandas(run, PARSED)
 
 
+def archived(files: DataFrame) -> DataFrame:
+    """(path, archive_name): under which name a file that is read in stays beside what was made of it."""
+    return files.select("path", F.concat(F.lit("source"), F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).alias("archive_name"))
+
+
+def store_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries with doc_id, damaged files as they are) of stores kept as json (doc_id, content).
+
+    A store that is no json, or has no list of entries, is set aside whole, so that nothing of it is overwritten.
+    """
+    item = ", ".join(f.replace(" ", ":", 1) for f in ENTRY_FIELDS)
+    read = files.withColumn("entries", F.from_json(F.get_json_object("content", "$.entities"), f"array<struct<{item}>>"))
+    good = read.where("entries is not null").select("doc_id", F.explode("entries").alias("x")).select("doc_id", "x.*")
+    return good, read.where("entries is null").select("doc_id", "content")
+
+
+#: Fields of an entry in a store's file.
+ENTRY_FIELDS = tuple(schemas.ENTITY.split(", "))
+
+
 def segments_of(parsed: DataFrame) -> DataFrame:
     """One row per segment: path, seg_idx, start_sec, end_sec, text, speaker. Texts without segments give none."""
     s = parsed.select("path", F.posexplode("segments").alias("seg_idx", "s"))

@@ -49,6 +49,6 @@ def test_keywords_of_all_titles(spark):
         return " ".join([*words, *(w[i : i + 2] for w in words if re.fullmatch("[㐀-鿿]{4,}", w) for i in range(len(w) - 1))])
 
     titles = {r.meeting_id: r.title for r in registry.meetings(spark, d).select("meeting_id", "title").collect()}
-    got = {r.meeting_id: r.words for r in registry.queries()["keywords_all"](spark, d).collect()}
+    got = {r.meeting_id: r.words for r in registry.queries()["keywords"](spark, d).collect()}
     assert got == {k: v if v is None else brute(v) for k, v in titles.items()}
     assert any(re.search("[^A-Za-z ]", x) for x in titles.values() if x)
