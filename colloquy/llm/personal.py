@@ -422,6 +422,7 @@ def people_of(participants: DataFrame, knowledge: DataFrame) -> DataFrame:
         .select(F.trim(F.regexp_replace("n", r"(?U)\s+", " ")).alias("n"))
         .distinct()
     )
+    runtime.ship(participants.sparkSession)
     fold_udf = F.pandas_udf(lambda s: s.map(fold), "string")
     latin = names.where(F.col("n").rlike(r"^(?U)[\p{L}'’\-]{2,}( \p{Lu}\.)? [\p{L}'’\-]{2,}$") & ~F.col("n").rlike("[一-鿿]")).select(
         F.element_at(F.split("n", " "), -1).alias("family"), F.element_at(F.split("n", " "), 1).alias("given")
