@@ -12,6 +12,8 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import runtime
+
 
 class Model(Protocol):
     def __call__(self, prompt: str, task: str) -> str: ...
@@ -52,6 +54,7 @@ def answer_all(prompts: DataFrame, model: Model, parallel: int = 4) -> DataFrame
                     rows.append((i, task, None, str(e)[:300]))
             yield pd.DataFrame(rows, columns=["id", "task", "answer", "error"])
 
+    runtime.ship(prompts.sparkSession)
     return prompts.select("id", "task", "prompt").repartition(parallel, "id").mapInPandas(ask, "id string, task string, answer string, error string")
 
 
@@ -76,6 +79,7 @@ def transcribe_all(chunks: DataFrame, engine: Transcriber, known: DataFrame | No
                 rows.append((r, i, text if text is not None else "[00:00] (missing)", text is None))
             yield pd.DataFrame(rows, columns=["recording_id", "idx", "text", "gap"])
 
+    runtime.ship(chunks.sparkSession)
     out = todo.select("recording_id", "idx", "payload").repartition(parallel).mapInPandas(hear, "recording_id string, idx int, text string, gap boolean")
     return out.unionByName(known.select("recording_id", "idx", "text", "gap")) if known is not None else out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -26,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="colloquy-"), "colloquy.zip")
+    own = tempfile.mkdtemp(prefix="colloquy-")
+    atexit.register(shutil.rmtree, own, True)
+    path = os.path.join(own, "colloquy.zip")
     with zipfile.ZipFile(path, "w") as z:  # the driver's own file; Spark serves it to the executors
         for folder, _, files in os.walk(here):
             for f in files:
@@ -49,9 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
         return where
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    where = os.path.join(tempfile.gettempdir(), f"colloquy-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return os.path.join(tempfile.gettempdir(), f"colloquy-{spark.sparkContext.applicationId}")
 
 
 _folders: set[str] = set()

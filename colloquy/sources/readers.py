@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .. import schemas
+from .. import runtime, schemas
 from . import formats
 
 PARSED = f"path string, ext string, format string, text string, segments array<struct<{schemas.SEGMENT.replace(' double', ':double').replace(' string', ':string')}>>, error string"
@@ -43,6 +43,7 @@ def read_pasted(texts: DataFrame) -> DataFrame:
             kind = [formats.format_of(x) for x in p.content]
             yield pd.DataFrame({"path": p.path, "ext": ["" if k == "text" else f".{k}" for k in kind], "content": p.content})
 
+    runtime.ship(texts.sparkSession)
     kept = texts.where(F.length(F.trim("content")) > 0).select("path", "content")
     return parse(kept.mapInPandas(look, "path string, ext string, content string"))
 
@@ -55,6 +56,7 @@ def parse(raw: DataFrame) -> DataFrame:
             rows = [(path, ext, ext.lstrip(".") or "paste", *_parse(data, ext)) for path, ext, data in zip(p.path, p.ext, p.content, strict=True)]
             yield pd.DataFrame(rows, columns=["path", "ext", "format", "text", "segments", "error"])
 
+    runtime.ship(raw.sparkSession)
     return raw.where("content is not null").mapInPandas(run, PARSED)
 
 

@@ -42,6 +42,7 @@ class SequenceGuard(StatefulProcessor):
 
 def guarded(chunks: DataFrame) -> DataFrame:
     """A stream of chunks (rec_id, seq, payload) with what becomes of each. Needs the RocksDB state store."""
+    runtime.ship(chunks.sparkSession)
     return chunks.groupBy("rec_id").transformWithStateInPandas(SequenceGuard(), outputStructType=CHECKED, outputMode="Append", timeMode="None")
 
 
@@ -63,6 +64,7 @@ def guarded_batch(chunks: DataFrame) -> DataFrame:
                 nxt += seq == nxt
             yield p.assign(status=states)
 
+    runtime.ship(chunks.sparkSession)
     rows = chunks.select("rec_id", "n", "seq").repartition("rec_id").sortWithinPartitions("rec_id", "n")
     return rows.mapInPandas(check, "rec_id string, n bigint, seq bigint, status string")
 

@@ -100,3 +100,17 @@ def test_analyses(spark, lib):
     new = {r.name: r for r in a.memorise("2026-01-02-m", "now").collect()}
     assert [f.text for f in new["Ann"].facts] == ["said so", "likes tea"] and new["Ann"].facts[1].source == "2026-01-02-m" and "OKR" in new
     assert [r.line for r in analyses.memory_lines(s, "Ann").orderBy("n").collect()][0].startswith("- **Ann**： 2026-01-01 said so") or True
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from colloquy import runtime
+
+    def session(master, given=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: given), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert runtime.shared_dir(session("spark://x:7077", "hdfs:/shared")) == "hdfs:/shared" and runtime.shared_dir(session("local[4]")).endswith("colloquy-app")
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            runtime.shared_dir(session(master))
