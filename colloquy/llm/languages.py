@@ -2,11 +2,13 @@
 
 Hyperdimensional profiles. Every letter has a random +-1 vector; an n-gram's vector is the product (binding) of its
 letters' vectors, each rolled (permuted) by its place; a text's vector is the sum (bundle) of its n-grams. A
-language's prototype is the bundle of its labelled lines, centred and then retrained on the lines it got wrong.
-Lines are compared with the prototypes by dot product; a scale fitted on the labelled lines turns the products into
-log probabilities, and Viterbi over the lines of a record, with a cost for every switch, gives the runs.
+language's prototype is the bundle of its labelled lines, centred, retrained on the lines it got wrong and brought to
+length 1. Lines are compared with the prototypes by cosine; a line's evidence is its cosines times its length, so a
+long line says more than a short one. A scale fitted on the labelled lines turns evidence into log probabilities, and
+Viterbi over the lines of a record, with a cost for every switch, gives the runs.
 
-Bundling is linear, so the products of an n-gram, and of a word, with the prototypes are kept and looked up.
+Bundling is linear, and words are next to orthogonal, so a word's products with the prototypes are kept and looked up,
+and a line's length is that of its weights.
 """
 
 from __future__ import annotations
@@ -161,15 +163,21 @@ class Profiles:
             self.table[got] = sum(map(self.gram, gs)) / math.sqrt(len(gs))
         return got
 
-    def products(self, line: str) -> np.ndarray | None:
-        """The line's products with the prototypes, None of a line without language."""
+    def cosines(self, line: str) -> tuple[np.ndarray, float] | None:
+        """The line's cosines with the prototypes, and its length; None of a line without language."""
         ws = words(line)
         if not ws:
             return None
         if len(self.rows) + len(ws) > 200_000:
             self.forget()
         rows = [self.row(w) for w, _ in ws]  # may replace the table
-        return np.array([k for _, k in ws], dtype=np.float32) @ self.table[rows]
+        weights = np.array([k for _, k in ws], dtype=np.float32)
+        length = math.sqrt(DIM * float(weights @ weights))
+        return (weights @ self.table[rows]) / length, length
+
+    def evidence(self, line: str) -> np.ndarray | None:
+        got = self.cosines(line)
+        return None if got is None else got[0] * got[1] / math.sqrt(DIM)
 
 
 def train(lines: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Profiles:
@@ -216,9 +224,10 @@ def train(lines: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Profi
         if not wrong:
             break
         protos += 0.3 * step / len(sample)
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
     p.protos = protos
     table = vectors @ protos.T
-    scores = [(n @ table[idx], y) for idx, n, y in sample]
+    scores = [(n @ table[idx] / math.sqrt(DIM), y) for idx, n, y in sample]
     best = (-math.inf, 1.0)
     for scale in np.geomspace(0.5, 64, 22):
         z = np.array([s for s, _ in scores]) * scale
@@ -234,7 +243,7 @@ def runs(text: str, p: Profiles, stay: float = STAY) -> list[tuple[int, int, str
     lines = text.split("\n")
     at, scores = [], []
     for i, line in enumerate(lines):
-        got = p.products(line)
+        got = p.evidence(line)
         if got is not None:
             scores.append(got)
             at.append(i)

@@ -141,3 +141,20 @@ def test_held_out_accuracy(spark):
     assert sum(right) / len(right) > 0.97
     m = encodings.model_of(spark.createDataFrame(d.iloc[::2][["text"]]))
     assert not any(encodings.affected(x, m) for t in held.text for x in t.split("\n"))
+
+
+def test_cosines_are_those_of_the_bundled_vectors():
+    import math
+
+    import numpy as np
+
+    lines = [("The birds came back to the river this morning.", "en"), ("Les oiseaux sont revenus au bord de la rivière.", "fr"), ("Die Vögel kamen heute früh an den Fluss zurück.", "de"), ("早上河边的鸟又飞回来了。", "zh")]
+    p = languages.train(lines)
+    assert np.allclose(np.linalg.norm(p.protos[:4], axis=1), 1, atol=1e-5)
+    for line, _ in lines:
+        ws = languages.words(line)
+        v = sum(k * sum(p.vector(g).astype(float) for g in languages.grams(w)) / math.sqrt(len(languages.grams(w))) for w, k in ws)
+        exact = p.protos @ v / np.linalg.norm(v)
+        got, length = p.cosines(line)
+        assert np.abs(got - exact).max() < 0.15 and np.argmax(got) == np.argmax(exact) and abs(length / np.linalg.norm(v) - 1) < 0.25
+    assert p.cosines("12:30 -- ") is None
