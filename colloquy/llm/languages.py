@@ -7,8 +7,8 @@ length 1. Lines are compared with the prototypes by cosine; a line's evidence is
 long line says more than a short one. A scale fitted on the labelled lines turns evidence into log probabilities, and
 Viterbi over the lines of a record, with a cost for every switch, gives the runs.
 
-Bundling is linear, and words are next to orthogonal, so a word's products with the prototypes are kept and looked up,
-and a line's length is that of its weights.
+Bundling is linear, so a word's products with the prototypes are kept and looked up; n-grams are next to orthogonal,
+so a line's length is that of its words' weights (n-grams that words share, but for the script's, are not counted).
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ class Profiles:
             self.forget()
         rows = [self.row(w) for w, _ in ws]  # may replace the table
         weights = np.array([k for _, k in ws], dtype=np.float32)
-        length = math.sqrt(DIM * float(weights @ weights))
+        han = [k for w, k in ws if "㐀" <= w <= "鿿"]  # these share an n-gram, their script's
+        length = math.sqrt(DIM * (float(weights @ weights) - sum(k * k for k in han) / 2 + sum(han) ** 2 / 2))
         return (weights @ self.table[rows]) / length, length
 
     def evidence(self, line: str) -> np.ndarray | None:
