@@ -5,7 +5,8 @@ Every analysis before and after them is deterministic; with the stubs here the w
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -110,4 +111,34 @@ class ThinkFilter:
         return out
 
 
+def streamed(tokens: Iterator[str | None], clock: Callable[[], float] = time.monotonic, quiet: float = 15.0) -> Iterator[tuple[str, str]]:
+    """What a reader of a model's answer sees: ('delta', text) as it comes, then ('done', all of it) or ('error', why).
+
+    A null token is a moment without one; after ``quiet`` seconds of them ('alive', '') keeps the line open. Thoughts
+    are left out.
+    """
+    hidden, whole, last = ThinkFilter(), "", clock()
+    try:
+        for token in tokens:
+            text = hidden.feed(token) if token is not None else ""
+            if text:
+                whole, last = whole + text, clock()
+                yield "delta", text
+            elif clock() - last >= quiet:
+                last = clock()
+                yield "alive", ""
+    except Exception as e:  # the provider's own
+        yield "error", str(e)[:300]
+        return
+    if rest := hidden.close():
+        yield "delta", rest
+    yield "done", whole + rest
+
+
+def listed(names: Iterable[str], first: Iterable[str] = ()) -> list[str]:
+    """Models or presets as they are offered: the preferred ones as given, the others by name, each once."""
+    head = list(dict.fromkeys(first))
+    return head + sorted(set(names) - set(head), key=lambda x: (x.lower(), x))
+
+
 Progress = Callable[[str], None]

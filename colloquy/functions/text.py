@@ -289,3 +289,8 @@ def without_thoughts(c: Column) -> Column:
 def tail(a: Column, n: int) -> Column:
     """The last n elements."""
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+
+
+def host_label(url: Column) -> Column:
+    """The host of an address, as it is shown: in lower case, without 'www.' and port; '' of what is no address."""
+    return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.|:\d+$", "")

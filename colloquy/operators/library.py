@@ -213,3 +213,8 @@ def edited(meetings: DataFrame, changes: DataFrame) -> DataFrame:
         T.squeeze(F.col("participants")).alias("participants"),
     )
     return overlay(meetings, c.join(meetings.select("meeting_id"), "meeting_id", "leftsemi"))
+
+
+def recent(meetings: DataFrame, n: int = 10) -> DataFrame:
+    """The latest meetings, as many as a screen lists."""
+    return newest(meetings).limit(n)

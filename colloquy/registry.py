@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .functions import text as T
 from .operators import budget, entities, export, glossary, library, markdown, ranking, sequence
+from .operators.ordered import Ordered
 from .plans import analyses
 from .runtime import table
 from .sources import readers
@@ -232,6 +233,24 @@ def export_names(spark: SparkSession, d: str) -> DataFrame:
     return library.numbered_names(i.select("import_id", F.concat(F.coalesce(F.nullif("title", F.lit("")), F.lit("untitled")), F.lit(".md")).alias("name")), "import_id", "name")
 
 
+@query(f"""WITH {MEET} SELECT meeting_id, title, date FROM m ORDER BY date DESC, created DESC, meeting_id DESC LIMIT 10""")
+def recent_meetings(spark: SparkSession, d: str) -> DataFrame:
+    return library.recent(meetings(spark, d)).select("meeting_id", "title", "date")
+
+
+@query("""SELECT meeting_id, status, 'event: ' || status || chr(10) || 'data: {"meeting_id":"' || meeting_id || '","title":"' || replace(coalesce(title, ''), '"', '\\"') || '"}' || chr(10) || chr(10) AS message FROM (SELECT DISTINCT meeting_id, title, status FROM meetings) WHERE status IS NOT NULL""")
+def pushed_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "meetings").where("status is not null").select("meeting_id", F.coalesce("title", F.lit("")).alias("title"), "status").distinct()
+    return m.select("meeting_id", "status", ingest.message(F.col("status"), F.struct("meeting_id", "title")).alias("message"))
+
+
+@query("""SELECT import_id, CASE WHEN h LIKE 'www.%' THEN substr(h, 5) ELSE h END AS host FROM (SELECT import_id, lower(regexp_extract(content, '<[^@>\\s]+@([A-Za-z0-9.-]+)>', 1)) AS h FROM (SELECT DISTINCT import_id, content FROM imports)) WHERE h <> ''""")
+def sender_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """The host of the first address in each import, as it would be shown for a link to it."""
+    i = table(spark, d, "imports").select("import_id", "content").distinct().select("import_id", F.regexp_extract("content", r"<[^@>\s]+@([A-Za-z0-9.-]+)>", 1).alias("h")).where("h != ''")
+    return i.select("import_id", T.host_label(F.concat(F.lit("https://"), "h", F.lit("/x?y=1"))).alias("host"))
+
+
 # --- entries -----------------------------------------------------------------------------------------------------
 
 
@@ -621,8 +640,6 @@ SELECT meeting_id AS recording_id, CAST(n AS INT) AS n, round(cut, 2) AS cut FRO
 def cut_points(spark: SparkSession, d: str) -> DataFrame:
     """Cuts of recordings at the pauses of three seconds and more between their segments."""
     s = segments(spark, d).where("start_sec is not null and not isnan(end_sec) and end_sec is not null")
-    from .operators.ordered import Ordered
-
     o = Ordered(s, ["meeting_id"], ["seg_idx"]).neighbour("p", F.col("end_sec"), -1)
     quiet = F.when(F.col("start_sec") - F.col("p.v") >= 1, F.round((F.col("start_sec") + F.col("p.v")) / 2, 2))
     r = o.df.groupBy(F.col("meeting_id").alias("recording_id")).agg(F.max("end_sec").alias("total"), F.array_sort(F.collect_list(quiet)).alias("silences"))
@@ -631,8 +648,8 @@ def cut_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT user_id, round(greatest(quantile_cont(value, 0.2) * 4, 0.004), 6) AS "limit" FROM events GROUP BY user_id""")
 def percentile_floor(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id").agg(F.round(F.greatest(F.expr("percentile(value, 0.2)") * 4, F.lit(0.004)), 6).alias("limit"))
-    return e
+    q = sequence.quantile(table(spark, d, "events"), ["user_id"], "value", "event_id", 0.2)
+    return q.select("user_id", F.round(F.greatest(F.col("q") * 4, F.lit(0.004)), 6).alias("limit"))
 
 
 @query("""WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value AS rms FROM events),
@@ -642,11 +659,15 @@ w AS (SELECT *, lag(loud) OVER o AS p, lead(loud) OVER o AS q, lead(loud, 2) OVE
 g AS (SELECT user_id, max(n) AS n, min(CASE WHEN loud AND q AND r THEN k END) AS onset, max(CASE WHEN loud AND p AND k > 1 THEN k END) AS last FROM w GROUP BY user_id)
 SELECT user_id, round(CASE WHEN onset IS NULL OR n < 10 THEN 0 ELSE greatest(0, onset * 0.1 - 0.5) END, 3)::DOUBLE AS start, round(CASE WHEN onset IS NULL OR n < 10 THEN n * 0.1 ELSE least(n * 0.1, (coalesce(last, n - 1) + 1) * 0.1 + 1.0) END, 3)::DOUBLE AS "end" FROM g""")
 def speech_bounds(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")  # the frames' numbers; recordings bring theirs
-    f = table(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).alias("frame"), F.col("value").alias("rms"))
+    f = _numbered(spark, d).select("user_id", (F.col("n") - 1).alias("frame"), F.col("value").alias("rms"))
     return sequence.speech_bounds(f, ["user_id"])
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their number (n, from 1) in the order of each user's."""
+    return Ordered(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).running_sum("n", F.lit(1)).df
+
+
 @query("""WITH t AS (SELECT doc_id, length(text) - length(regexp_replace(text, '[㐀-鿿]', '', 'g')) AS cjk, len(regexp_extract_all(text, '[A-Za-z]+')) AS latin FROM documents)
 SELECT doc_id, CASE WHEN cjk = 0 AND latin = 0 THEN 'auto' WHEN cjk / 2 >= latin THEN CASE WHEN latin >= 30 AND latin / (cjk / 2) > 0.4 THEN 'zh+en' ELSE 'zh' END ELSE CASE WHEN cjk >= 60 AND cjk / 2 / latin > 0.4 THEN 'zh+en' ELSE 'en' END END AS mix FROM t""")
 def language_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -836,10 +857,9 @@ g AS (SELECT rec_id, n, seq, CASE WHEN seq = 0 THEN 1 ELSE 0 END AS nxt, CASE WH
  UNION ALL SELECT s.rec_id, s.n, s.seq, CASE WHEN s.seq = g.nxt THEN g.nxt + 1 ELSE g.nxt END, CASE WHEN s.seq = g.nxt THEN 'ok' WHEN s.seq < g.nxt THEN 'dup' ELSE 'gap' END FROM g JOIN s ON s.rec_id = g.rec_id AND s.n = g.n + 1)
 SELECT rec_id, n, seq, status FROM g""")
 def dup_seq_guard(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     n = F.col("n")
     seq = F.when(n % 7 == 0, n - 3).when(n % 11 == 0, n + 4).otherwise(n - 1 - F.floor(n / 7) - F.floor(n / 11) + F.floor(n / 77))
-    c = table(spark, d, "events").select(F.col("user_id").cast("string").alias("rec_id"), F.row_number().over(w).cast("bigint").alias("n")).withColumn("seq", seq.cast("bigint"))
+    c = _numbered(spark, d).select(F.col("user_id").cast("string").alias("rec_id"), n.cast("bigint").alias("n")).withColumn("seq", seq.cast("bigint"))
     return ingest.guarded_batch(c)
 
 

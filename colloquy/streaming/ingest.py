@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,6 +135,42 @@ def stable(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(before.select("path", F.col("length").alias("was")), "path").where("length = was and length > 0").drop("was")
 
 
+def message(event: Column, data: Column) -> Column:
+    """A server-sent message: the event's name, its data as one line of json, and the blank line that ends it."""
+    return F.concat(F.lit("event: "), F.regexp_replace(event, r"\s", " "), F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
+def pushed(stream: DataFrame, event: str, send: Callable[[str], None], checkpoint: str):
+    """Send every row of a stream (of progress, not of data) as a message, batch by batch in the order of its columns."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        for r in df.select(message(F.col(event), F.struct(*df.columns)).alias("m")).orderBy("m").toLocalIterator():
+            send(r.m)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sent(chunks: Iterable[tuple[int, bytes]], post: Callable[[int, bytes], int], attempts: int = 6, wait: Callable[[float], None] = time.sleep) -> int:
+    """Send a recording's chunks in order; how many arrived.
+
+    A chunk is tried again after one second, then two and so on; a conflict (409, the receiver expects another number)
+    ends the sending, as does a chunk that fails every time.
+    """
+    done = 0
+    for seq, payload in chunks:
+        for k in range(1, attempts + 1):
+            code = post(seq, payload)
+            if code == 409:
+                return done
+            if 200 <= code < 300:
+                break
+            if k == attempts:
+                return done
+            wait(float(k))
+        done += 1
+    return done
+
+
 def to_resume(meetings: DataFrame, transcripts: DataFrame, audio: DataFrame, least: int = 1024) -> DataFrame:
     """(meeting_id, status) of transcriptions to take up again after a restart.
 

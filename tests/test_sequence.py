@@ -135,3 +135,15 @@ def test_budgets(spark):
     assert rows(budget.prefix(df.where("g < 3"), ["g"], ["k"], "n", 100, gap=1).select("g", "k")) == stop
     t = spark.createDataFrame([(1, 0, "a" * 50), (1, 1, "b" * 50), (1, 2, "c" * 50), (1, 3, None)], "g int, k int, t string")
     assert [r.t for r in budget.concatenated(t, ["g"], ["k"], "t", 70, 40).orderBy("k").collect()] == ["a" * 40, "b" * 30]
+
+
+def test_quantiles_of_a_key_with_most_rows(spark):
+    import statistics
+
+    rng = random.Random(8)
+    data = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(20)}", i, rng.choice([None, float("nan"), 0.5, round(rng.random(), 2)])) for i in range(3000)] + [("one", 9000, 0.25), ("none", 9001, None)]
+    got = {r.k: r.q for r in sequence.quantile(spark.createDataFrame(data, "k string, i int, v double"), ["k"], "v", "i", 0.2).collect()}
+    for k in {x[0] for x in data} - {"none"}:
+        v = [x for key, _, x in data if key == k and x is not None and x == x]
+        assert abs(got[k] - (statistics.quantiles(v, n=5, method="inclusive")[0] if len(v) > 1 else v[0])) < 1e-9
+    assert "none" not in got

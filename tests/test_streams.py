@@ -114,3 +114,24 @@ def test_shared_folder():
     for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             runtime.shared_dir(session(master))
+
+
+def test_sending_and_streamed_answers(spark, tmp_path):
+    codes, waits = iter([500, 503, 200, 200, 409]), []
+    assert ingest.sent([(0, b"a"), (1, b"b"), (2, b"c"), (3, b"d")], lambda seq, x: next(codes), wait=waits.append) == 2 and waits == [1.0, 2.0]
+    assert ingest.sent([(0, b"a")], lambda seq, x: 500, wait=lambda s: None) == 0 and ingest.sent([], None) == 0
+    now = iter(range(0, 200, 6))
+    got = list(connectors.streamed(iter(["Hi", None, None, None, "<thi", "nk>no</think> you", None]), clock=lambda: float(next(now))))
+    assert [k for k, _ in got] == ["delta", "alive", "delta", "done"] and got[-1] == ("done", "Hi you")
+
+    def broken():
+        yield "a"
+        raise RuntimeError("quota")
+
+    assert list(connectors.streamed(broken())) == [("delta", "a"), ("error", "quota")]
+    assert connectors.listed(["b", "A", "c", "a", "b"], ["c"]) == ["c", "A", "a", "b"]
+    spark.createDataFrame([("done", "m", 'say "x"'), ("a b", "n", None)], "kind string, id string, title string").write.json(str(tmp_path / "in"))
+    heard = []
+    stream = spark.readStream.schema("kind string, id string, title string").json(str(tmp_path / "in"))
+    ingest.pushed(stream, "kind", heard.append, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(heard) == ['event: a b\ndata: {"kind":"a b","id":"n"}\n\n', 'event: done\ndata: {"kind":"done","id":"m","title":"say \\"x\\""}\n\n']
