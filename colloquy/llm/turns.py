@@ -426,10 +426,15 @@ def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def turns(lines: DataFrame) -> DataFrame:
-    """One row per turn: origin, record_id, turn_no, first_pos, last_pos, start, speaker, lines, text.
+#: Lines of a turn whose text is one value; a turn of more comes in several parts.
+PART_LINES = 5_000
 
-    The text is what is spoken in the turn's lines, without labels, stamps, sound notes and fillers, joined by blanks.
+
+def turns(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """One row per turn: origin, record_id, turn_no, part, first_pos, last_pos, start, speaker, lines, text.
+
+    A turn of more than ``part_lines`` lines, as of a recording that never stops, has a row for each so many, numbered
+    by part from 0; so no row and no task holds more, however long somebody speaks. The text is what is spoken in the turn's lines, without labels, stamps, sound notes and fillers, joined by blanks.
 
     Lines are ordered by time, without time by position. Lines of fillers and notes only make no turn and end none,
     but in texts a label standing alone counts for the lines below it. A record's first lines without any label have
@@ -458,11 +463,17 @@ def turns(lines: DataFrame) -> DataFrame:
         .withColumn("prev", F.coalesce(F.lag(F.struct("speaker")).over(part), F.col("tail")))
         .withColumn("starts", F.when(F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker")), 1).otherwise(0))
     )
-    counts = marked.groupBy(*rec, "pid").agg(F.sum("starts").alias("n"))
-    offset = counts.select(*rec, "pid", (F.sum("n").over(along) - F.col("n")).alias("offset"))
-    numbered = marked.join(offset, [*rec, "pid"]).withColumn("turn_no", F.col("offset") + F.sum("starts").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("rn", F.row_number().over(part))
+    counts = marked.groupBy(*rec, "pid").agg(F.sum("starts").alias("n"), F.count("*").alias("c"), F.max(F.when(F.col("starts") == 1, F.col("rn"))).alias("begun"))
+    offset = counts.select(*rec, "pid", (F.sum("n").over(along) - F.col("n")).alias("offset"), (F.sum("c").over(along) - F.col("c")).alias("rows"), "begun")
+    # the row at which the turn going on began, of the partitions before
+    offset = offset.withColumn("open", F.last(F.col("rows") + F.col("begun"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))).drop("begun")
+    so_far = part.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.join(offset, [*rec, "pid"]).withColumn("turn_no", F.col("offset") + F.sum("starts").over(so_far))
+    began = F.coalesce(F.last(F.when(F.col("starts") == 1, F.col("rows") + F.col("rn")), ignorenulls=True).over(so_far), F.col("open"))
+    numbered = numbered.withColumn("part", F.floor((F.col("rows") + F.col("rn") - began) / part_lines))
     first = F.struct("o", "pos")
-    return numbered.groupBy(*rec, "turn_no").agg(
+    return numbered.groupBy(*rec, "turn_no", "part").agg(
         F.min_by("pos", first).alias("first_pos"),
         F.max_by("pos", first).alias("last_pos"),
         F.min("at").alias("start"),
@@ -473,4 +484,4 @@ def turns(lines: DataFrame) -> DataFrame:
 
 
 def turn_starts(lines: DataFrame) -> DataFrame:
-    return turns(lines).select("origin", "record_id", "first_pos", "speaker")
+    return turns(lines).where("part = 0").select("origin", "record_id", "first_pos", "speaker")

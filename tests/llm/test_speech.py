@@ -158,3 +158,17 @@ def test_cosines_are_those_of_the_bundled_vectors():
         got, length = p.cosines(line)
         assert np.abs(got - exact).max() < 0.15 and np.argmax(got) == np.argmax(exact) and abs(length / np.linalg.norm(v) - 1) < 0.25
     assert p.cosines("12:30 -- ") is None
+
+
+def test_a_turn_without_end_comes_in_parts(spark):
+    n = 2_345
+    df = spark.range(n).selectExpr("'segments' as origin", "'m' as record_id", "id as pos", "cast(id as double) as at", "case when id = 0 then 'Ann' when id = 2000 then 'Bob' end as speaker", "true as spoken", "concat('w', id) as said").repartition(7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = turns.turns(df, 300).orderBy("turn_no", "part").collect()
+        starts = rows(turns.turn_starts(df))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert [(r.turn_no, r.part, r.first_pos, r.last_pos, r.lines, r.speaker) for r in got] == [(1, k, 300 * k, min(300 * k + 299, 1999), min(300, 2000 - 300 * k), "Ann") for k in range(7)] + [(2, 0, 2000, 2299, 300, "Bob"), (2, 1, 2300, 2344, 45, "Bob")]
+    assert " ".join(r.text for r in got).split() == [f"w{i}" for i in range(n)] and starts == [("segments", "m", 0, "Ann"), ("segments", "m", 2000, "Bob")]
