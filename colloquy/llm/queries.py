@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(p1_groups(spark, d))
 
 
-def spoken_lines(spark: SparkSession, d: str) -> DataFrame:
+def spoken_lines(spark: SparkSession, d: str, words: bool = True) -> DataFrame:
     """Tagged lines; a segment delivered again counts once, by its latest delivery."""
     people = (
         table(spark, d, "meetings").select("meeting_id", "participants")
@@ -51,7 +51,7 @@ def spoken_lines(spark: SparkSession, d: str) -> DataFrame:
         .select(F.col("meeting_id").alias("record_id"), "seg_idx", "r.start_sec", "r.speaker", "r.text", "participants")
     )
     texts = imported(spark, d).unionByName(transcribed(spark, d).join(raw.select("meeting_id").distinct(), "meeting_id", "leftanti").select("origin", "record_id", "text", "lang", "meeting_id"))
-    return turns.lines_of(segments, texts.join(people, "meeting_id", "left"))
+    return turns.lines_of(segments, texts.join(people, "meeting_id", "left"), words)
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return turns.turn_starts(spoken_lines(spark, d))
+    return turns.turn_starts(spoken_lines(spark, d, words=False))
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:

@@ -290,11 +290,14 @@ def resolve(label: str, participants: str | None) -> str | None:
 
 def read(lines: list[str], participants: list[str | None]) -> list[tuple[str | None, float | None, bool]]:
     """(speaker, stamp in seconds, anything spoken) of each line."""
-    return [x[:3] for x in tagged(lines, participants)]
+    return [x[:3] for x in tagged(lines, participants, False)]
 
 
-def tagged(lines: list[str], participants: list[str | None]) -> list[tuple[str | None, float | None, bool, str]]:
-    """(speaker, stamp in seconds, anything spoken, what is spoken) of each line, every token of which is tagged."""
+def tagged(lines: list[str], participants: list[str | None], words: bool = True) -> list[tuple[str | None, float | None, bool, str]]:
+    """(speaker, stamp in seconds, anything spoken, what is spoken) of each line, every token of which is tagged.
+
+    Without ``words`` what is spoken is not put together ('').
+    """
     toks = [tokens(x) for x in lines]
     paths = tagger().decode([[c for c, _, _ in t] for t in toks])
     out = []
@@ -315,7 +318,7 @@ def tagged(lines: list[str], participants: list[str | None]) -> list[tuple[str |
             if speaker is None:  # no participant: spoken after all
                 k = next(i for i, (_, a, _) in enumerate(tok) if a == label[0])
         spoken = any(path[i] in (SPEECH, SPEAKER) and tok[i][0] in _WORDS for i in range(k, n))
-        out.append((speaker, at, spoken, speech(line, tok[k:], path[k:]) if spoken else ""))
+        out.append((speaker, at, spoken, speech(line, tok[k:], path[k:]) if spoken and words else ""))
     return out
 
 
@@ -361,7 +364,7 @@ def seconds(stamp: str) -> float:
 _CUE = re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,]\d{1,3}\s*-->")
 
 
-def text_lines(texts: list[str], participants: list[str | None], sure: list[bool]) -> list[list[tuple[int, float | None, str | None, bool, str]]]:
+def text_lines(texts: list[str], participants: list[str | None], sure: list[bool], words: bool = True) -> list[list[tuple[int, float | None, str | None, bool, str]]]:
     """(line, time, speaker, spoken, what is spoken) of the lines of each transcript; [] of a text that is none.
 
     A line without stamp of its own has the time of the line before it. What stands above the first stamp or label
@@ -378,7 +381,7 @@ def text_lines(texts: list[str], participants: list[str | None], sure: list[bool
             ]
         at.append(len(body))
     spread = [who for i, who in enumerate(participants) for _ in range(at[i + 1] - at[i])]
-    everything = tagged(body, spread)
+    everything = tagged(body, spread, words)
     out = []
     for i, known in enumerate(sure):
         got, lines = everything[at[i] : at[i + 1]], body[at[i] : at[i + 1]]
@@ -397,14 +400,17 @@ def text_lines(texts: list[str], participants: list[str | None], sure: list[bool
     return out
 
 
-def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
-    """Tagged lines of segments (record_id, seg_idx, start_sec, speaker, text, participants) and of texts."""
+def lines_of(segments: DataFrame, texts: DataFrame, words: bool = True) -> DataFrame:
+    """Tagged lines of segments (record_id, seg_idx, start_sec, speaker, text, participants) and of texts.
+
+    Without ``words`` the column said is empty, for uses that only ask where turns begin.
+    """
 
     def tag(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             text = p.text.fillna("")
             who = [x if isinstance(x, str) else None for x in p.participants]
-            got = tagged([" ".join(x.split("\n")) for x in text], who)
+            got = tagged([" ".join(x.split("\n")) for x in text], who, words)
             rows = []
             for rid, k, start, column, w, (s, _, spoken, said) in zip(p.record_id, p.seg_idx, p.start_sec, p.speaker, who, got, strict=True):
                 named = resolve(column, w) if isinstance(column, str) and column.strip() else None
@@ -416,7 +422,7 @@ def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
             p = p[[not mails.is_mail(x) for x in p.text]]
             who = [x if isinstance(x, str) else None for x in p.participants]
             rows = []
-            for origin, rid, lines in zip(p.origin, p.record_id, text_lines(list(p.text), who, list(p.origin == "transcripts")), strict=True):
+            for origin, rid, lines in zip(p.origin, p.record_id, text_lines(list(p.text), who, list(p.origin == "transcripts"), words), strict=True):
                 rows += [(origin, rid, n, at, s, spoken, said) for n, at, s, spoken, said in lines if spoken or s is not None]
             yield pd.DataFrame(rows, columns=["origin", "record_id", "pos", "at", "speaker", "spoken", "said"])
 
@@ -426,19 +432,23 @@ def lines_of(segments: DataFrame, texts: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-#: Lines of a turn whose text is one value; a turn of more comes in several parts.
-PART_LINES = 5_000
+RECORD = ["origin", "record_id"]
 
 
-def turns(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """One row per turn: origin, record_id, turn_no, part, first_pos, last_pos, start, speaker, lines, text.
+def in_partition() -> Window:
+    return Window.partitionBy(*RECORD, "pid").orderBy("o", "pos")
 
-    A turn of more than ``part_lines`` lines, as of a recording that never stops, has a row for each so many, numbered
-    by part from 0; so no row and no task holds more, however long somebody speaks. The text is what is spoken in the turn's lines, without labels, stamps, sound notes and fillers, joined by blanks.
+
+def along_partitions() -> Window:
+    return Window.partitionBy(*RECORD).orderBy("pid")
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """The spoken lines in order within partitions (pid, o, pos), each with its speaker and whether it starts a turn.
 
     Lines are ordered by time, without time by position. Lines of fillers and notes only make no turn and end none,
     but in texts a label standing alone counts for the lines below it. A record's first lines without any label have
-    speaker null. Records without spoken lines have no turn.
+    speaker null.
     """
     # written before it is range-partitioned, or drawing the sample of ranges would tag every line a second time
     kept = runtime.stored(lines.where("spoken or (origin != 'segments' and speaker is not null)"), "p2-tagged")
@@ -448,28 +458,42 @@ def turns(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
         ranged.repartitionByRange("origin", "record_id", "o", "pos").withColumn("pid", F.spark_partition_id()),
         "p2-lines",
     )
-    rec = ["origin", "record_id"]
-    part = Window.partitionBy(*rec, "pid").orderBy("o", "pos")
+    rec, part, along = RECORD, in_partition(), along_partitions()
     filled = ranged.withColumn("own", F.last("speaker", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
     ends = ranged.groupBy(*rec, "pid").agg(F.max_by("speaker", F.when(F.col("speaker").isNotNull(), F.struct("o", "pos"))).alias("last"))
-    along = Window.partitionBy(*rec).orderBy("pid")
     carried = ends.select(*rec, "pid", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     named = filled.join(carried, [*rec, "pid"]).withColumn("speaker", F.coalesce("own", "carry")).where("spoken")
     # the speaker before, over the spoken lines; at a partition's start, of the last spoken line of those before
     tails = named.groupBy(*rec, "pid").agg(F.max_by(F.struct("speaker"), F.struct("o", "pos")).alias("tail"))
     before = tails.select(*rec, "pid", F.lag("tail").over(along).alias("tail"))
-    marked = (
+    return (
         named.join(before, [*rec, "pid"])
         .withColumn("prev", F.coalesce(F.lag(F.struct("speaker")).over(part), F.col("tail")))
         .withColumn("starts", F.when(F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker")), 1).otherwise(0))
     )
-    marked = marked.withColumn("rn", F.row_number().over(part))
-    counts = marked.groupBy(*rec, "pid").agg(F.sum("starts").alias("n"), F.count("*").alias("c"), F.max(F.when(F.col("starts") == 1, F.col("rn"))).alias("begun"))
+
+
+#: Lines of a turn whose text is one value; a turn of more comes in several parts.
+PART_LINES = 5_000
+
+
+def turns(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """One row per turn: origin, record_id, turn_no, part, first_pos, last_pos, start, speaker, lines, text.
+
+    A turn of more than ``part_lines`` lines, as of a recording that never stops, has a row for each so many, numbered
+    by part from 0; so no row and no task holds more, however long somebody speaks. The text is what is spoken in the
+    turn's lines, without labels, stamps, sound notes and fillers, joined by blanks.
+
+    Which lines start a turn says ``marked``. Records without spoken lines have no turn.
+    """
+    rec, part, along = RECORD, in_partition(), along_partitions()
+    spoken = marked(lines).withColumn("rn", F.row_number().over(part))
+    counts = spoken.groupBy(*rec, "pid").agg(F.sum("starts").alias("n"), F.count("*").alias("c"), F.max(F.when(F.col("starts") == 1, F.col("rn"))).alias("begun"))
     offset = counts.select(*rec, "pid", (F.sum("n").over(along) - F.col("n")).alias("offset"), (F.sum("c").over(along) - F.col("c")).alias("rows"), "begun")
     # the row at which the turn going on began, of the partitions before
     offset = offset.withColumn("open", F.last(F.col("rows") + F.col("begun"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))).drop("begun")
     so_far = part.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.join(offset, [*rec, "pid"]).withColumn("turn_no", F.col("offset") + F.sum("starts").over(so_far))
+    numbered = spoken.join(offset, [*rec, "pid"]).withColumn("turn_no", F.col("offset") + F.sum("starts").over(so_far))
     began = F.coalesce(F.last(F.when(F.col("starts") == 1, F.col("rows") + F.col("rn")), ignorenulls=True).over(so_far), F.col("open"))
     numbered = numbered.withColumn("part", F.floor((F.col("rows") + F.col("rn") - began) / part_lines))
     first = F.struct("o", "pos")
@@ -484,4 +508,5 @@ def turns(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
 
 
 def turn_starts(lines: DataFrame) -> DataFrame:
-    return turns(lines).where("part = 0").select("origin", "record_id", "first_pos", "speaker")
+    """The first line of every turn: origin, record_id, first_pos, speaker."""
+    return marked(lines).where("starts = 1").select("origin", "record_id", F.col("pos").alias("first_pos"), "speaker")
