@@ -291,7 +291,7 @@ def detect(text: str, hints: set) -> list[tuple[int, int, str]]:
     return settle(found)
 
 
-_WRAP = re.compile(r"\n(?:(?:[>|]|[A-Z]{2,4}>|[一-鿿]{2,3}>)[ \t]?|[ \t])*(?=\S)")
+_WRAP = re.compile(r"(?<![.!?:>。！？：\n\r])\n(?:(?:[>|]|[A-Z]{2,4}>|[一-鿿]{2,3}>)[ \t]?|[ \t])*(?=\S)")
 
 
 def wrapped(text: str) -> list[tuple[int, int, str]]:
@@ -299,7 +299,7 @@ def wrapped(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WRAP.finditer(text):
         cut = m.start()
-        if not cut or text[cut - 1] in ".!?:>。！？：\n\r":
+        if not cut:
             continue
         mail = text[cut - 1] == "@" or text[m.end()] == "@"
         if not mail and not _JOINT.search(text, max(0, cut - 40), m.end() + 40):
