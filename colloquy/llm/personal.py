@@ -3,8 +3,9 @@
 Transducers rewrite a text step by step (wide digits and look-alike letters one to one; "(at)", "dot", spelled digits
 and line wraps with a change of length), each keeping the places where it changed something, so every match in the
 rewritten text is mapped back to its source characters. Identifiers are recognised by the shapes of their numbers.
-Names are proposed around words that may be family names, initials and Chinese family names, and accepted by a join
-with the table of known people, so neither the people nor their names have to fit into one task.
+Names are proposed around words that may be family names, initials and Chinese family names, those that go with no
+known person by a hash map of fixed size are dropped, and the others are accepted by a join with the table of known
+people, so neither the people nor their names have to fit into one task.
 """
 
 from __future__ import annotations
@@ -223,6 +224,31 @@ class Known(dict):
         return got
 
 
+class Pairs:
+    """Whether a family name may go with one of these given names, beginnings of one, or an initial."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
+        self.known: dict[tuple, bool] = {}
+
+    def __call__(self, family: str, givens: list[str], begins: list[str], initial: str | None) -> bool:
+        key = (family, givens[0] if givens else None, initial)
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            asked = (*(f"{family}\t{g}" for g in givens), *(f"{family}\t{g}*" for g in begins), *([f"{family}\t{initial}*"] if initial else ()))
+            got = self.known[key] = any(self.bits[h >> 3] >> (h & 7) & 1 for h in (zlib.crc32(x.encode()) % BITS for x in asked))
+        return got
+
+
+def pair_keys(people: DataFrame) -> DataFrame:
+    """What Pairs asks for: each person's two names, and the family name with the beginnings of the given one."""
+    both = F.concat_ws("\t", "family", "given")
+    begins = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.concat("family", F.lit("\t"), F.substring("given", F.lit(1), n), F.lit("*")))
+    return people.select(F.explode(F.concat(F.array(both), F.when(F.col("given") != "", begins).otherwise(F.array().cast("array<string>")))).alias("k")).distinct()
+
+
 class Finder:
     """The words of a text that known names may have, and which of the costlier searches it needs."""
 
@@ -451,6 +477,7 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
     families = people.where("given != ''").select("family")
     last = families.select(F.regexp_extract("family", r"[^'\-]*$", 0))  # by which a family name of two parts is met
     maps = (bitmap(families.union(last)), bitmap(borne))
+    fitting = Pairs(bitmap(pair_keys(people)))
     han = {r.c for r in people.where("given = ''").select(F.substring("family", 1, 1).alias("c")).distinct().collect()}
     families = re.compile(f"[{re.escape(''.join(sorted(han)))}](?=[ 　]?[一-鿿])") if han else None
 
@@ -463,8 +490,8 @@ def mentions(records: DataFrame, people: DataFrame) -> DataFrame:
                 hits = detect(text, hints)
                 rows += [(origin, rid, no, a, b, k, None, None, None, None, True) for a, b, k in hits]
                 free = Free(hits)
-                rows += [(origin, rid, no, a, b, "name", f, g, h, i, False) for a, b, f, g, h, i in around(text, words) if free(a, b)]
-                rows += [(origin, rid, no, a, b, "name", f, [""], [], None, False) for a, b, f in chinese(text, families) if free(a, b)]
+                rows += [(origin, rid, no, a, b, "name", f, g, h, i, False) for a, b, f, g, h, i in around(text, words) if (f is None or fitting(f, g, h, i)) and free(a, b)]
+                rows += [(origin, rid, no, a, b, "name", f, [""], [], None, False) for a, b, f in chinese(text, families) if fitting(f, [""], [], None) and free(a, b)]
             yield pd.DataFrame(rows, columns=["origin", "record_id", "fact_no", "start_pos", "end_pos", "kind", "family", "givens", "begins", "initial", "sure"])
 
     found = runtime.stored(
