@@ -253,6 +253,12 @@ def sender_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- entries -----------------------------------------------------------------------------------------------------
 
+_LINE = """'- **' || name || '**' || CASE WHEN len(aliases) > 0 THEN '（' || array_to_string(aliases, '、') || '）' ELSE '' END
+ || CASE WHEN type = 'commitment' THEN ' · ' || CASE WHEN status = '' THEN 'unknown' ELSE status END || CASE WHEN owner <> '' THEN ' · ' || owner ELSE '' END || CASE WHEN due <> '' THEN ' · ' || due ELSE '' END ELSE '' END
+ || CASE WHEN summary <> '' THEN '：' || regexp_replace(summary, '：+$', '') ELSE '' END"""
+_SAYS = """CASE WHEN regexp_matches(p, '已取消|已放弃|作废|cancelled|canceled|dropped|annulé') THEN 'cancelled' WHEN regexp_matches(p, '已兑现|已完成|已生效|已部署|已定|已执行|done|fulfilled|completed|réalisé') THEN 'done'
+ WHEN regexp_matches(p, '进行中|待办|待执行|待测试|待定|未兑现|推进中|in progress|open|pending|en cours') THEN 'open' ELSE 'unknown' END"""
+
 
 @query(f"""WITH {ENT} SELECT count(*) FILTER (type = 'person') AS person, count(*) FILTER (type = 'project') AS project, count(*) FILTER (type = 'commitment') AS commitment,
  count(*) FILTER (type = 'term') AS term, count(*) FILTER (type = 'commitment' AND status = 'open') AS open FROM ent""")
@@ -331,12 +337,15 @@ QUESTION = "What did Dorothea Zelavodorf and Nimeshiglo Ceramics say about the b
 _ASKED = f"'{QUESTION.lower()}'"
 
 
-@query(rf"""WITH {ENT}, {_NAMES}, q AS (SELECT {_ASKED} AS low, ' ' || regexp_replace({_ASKED}, '([^a-z0-9])', '\1\1', 'g') || ' ' AS wide),
+_RELATED = rf"""{_NAMES}, q AS (SELECT {_ASKED} AS low, ' ' || regexp_replace({_ASKED}, '([^a-z0-9])', '\1\1', 'g') || ' ' AS wide),
 c AS (SELECT id, sum(CASE WHEN whole AND length(k) < 3 AND k <> 'ai' THEN 0 ELSE {_TIMES} END) AS score FROM p, q GROUP BY id),
 h AS (SELECT e.*, c.score FROM ent e JOIN c USING (id) WHERE score > 0),
 o AS (SELECT DISTINCT {_KEY.format('x')} AS k FROM (SELECT unnest(list_concat([name], aliases)) AS x FROM h WHERE type = 'person') WHERE x <> ''),
-a AS (SELECT id, type, name, CAST(score AS INT) AS score, updated, ord FROM h UNION ALL SELECT id, type, name, 1, updated, ord FROM ent WHERE id NOT IN (SELECT id FROM h) AND type = 'commitment' AND status IN ('open', 'unknown') AND {_KEY.format('owner')} IN (SELECT k FROM o))
-SELECT id, type, name, score, updated FROM a ORDER BY score DESC, updated, ord LIMIT 40""")
+a AS (SELECT id, type, name, CAST(score AS INT) AS score, updated, ord FROM h UNION ALL SELECT id, type, name, 1, updated, ord FROM ent WHERE id NOT IN (SELECT id FROM h) AND type = 'commitment' AND status IN ('open', 'unknown') AND {_KEY.format('owner')} IN (SELECT k FROM o)),
+rel AS (SELECT id, type, name, score, updated, ord FROM a ORDER BY score DESC, updated, ord LIMIT 40)"""
+
+
+@query(f"WITH {ENT}, {_RELATED} SELECT id, type, name, score, updated FROM rel")
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.relevant(store(spark, d), QUESTION).select("id", "type", "name", "score", "updated")
 
@@ -419,13 +428,6 @@ def markdown_store(spark: SparkSession, d: str) -> DataFrame:
     return markdown.to_lines(store(spark, d)).groupBy("kind_no").agg(F.count("*").alias("lines"))
 
 
-_LINE = """'- **' || name || '**' || CASE WHEN len(aliases) > 0 THEN '（' || array_to_string(aliases, '、') || '）' ELSE '' END
- || CASE WHEN type = 'commitment' THEN ' · ' || CASE WHEN status = '' THEN 'unknown' ELSE status END || CASE WHEN owner <> '' THEN ' · ' || owner ELSE '' END || CASE WHEN due <> '' THEN ' · ' || due ELSE '' END ELSE '' END
- || CASE WHEN summary <> '' THEN '：' || regexp_replace(summary, '：+$', '') ELSE '' END"""
-_SAYS = """CASE WHEN regexp_matches(p, '已取消|已放弃|作废|cancelled|canceled|dropped|annulé') THEN 'cancelled' WHEN regexp_matches(p, '已兑现|已完成|已生效|已部署|已定|已执行|done|fulfilled|completed|réalisé') THEN 'done'
- WHEN regexp_matches(p, '进行中|待办|待执行|待测试|待定|未兑现|推进中|in progress|open|pending|en cours') THEN 'open' ELSE 'unknown' END"""
-
-
 @query(f"""WITH {ENT}, l AS (SELECT id, type, name, facts, lower(right({_LINE}, 60)) AS p FROM ent WHERE type IN ('term', 'commitment'))
 SELECT id AS doc_id, type, name, CASE WHEN type = 'term' THEN '' ELSE {_SAYS} END AS status, CAST(len(facts) AS INT) AS n_facts FROM l""")
 def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -498,11 +500,28 @@ def open_commitments(spark: SparkSession, d: str) -> DataFrame:
     return analyses.open_commitments(store(spark, d)).select("id", "name")
 
 
-@query()
+def _memory_sql(limit: int) -> str:
+    fact = "array_to_string(list_transform(list_filter(e.facts[greatest(len(e.facts) - 1, 1):], lambda f: coalesce(f.text, '') <> ''), lambda f: CASE WHEN coalesce(f.fact_date, '') <> '' THEN f.fact_date || ' ' ELSE '' END || left(f.text, 120)), '；')"
+    return f"""WITH RECURSIVE {ENT}, {_RELATED}, b AS (SELECT list_position(['person', 'project', 'commitment', 'term'], rel.type) AS kind_no, rel.score, rel.updated, rel.ord, {fact} AS fact, sources, {_LINE} AS line
+ FROM rel JOIN (SELECT id, aliases, status, owner, due, summary, facts, sources FROM ent) e USING (id)),
+s AS (SELECT kind_no, line || CASE WHEN fact <> '' THEN ' ' || fact ELSE '' END || CASE WHEN len(sources) > 0 THEN ' [' || sources[-1] || ']' ELSE '' END AS line, row_number() OVER (ORDER BY kind_no, score DESC, updated, ord) AS rn FROM b),
+f AS (SELECT 0::BIGINT AS rn, 0 AS used, 0 AS closed, 0 AS kind_no, '' AS line, false AS took
+ UNION ALL SELECT s.rn, CASE WHEN fits THEN f.used + length(s.line) ELSE f.used END, CASE WHEN NOT fits AND NOT (f.closed = s.kind_no OR f.used >= {limit}) THEN s.kind_no ELSE f.closed END, s.kind_no, s.line, fits
+ FROM f JOIN s ON s.rn = f.rn + 1, LATERAL (SELECT NOT (f.closed = s.kind_no OR f.used >= {limit}) AND f.used + length(s.line) <= {limit} AS fits))
+SELECT CAST(kind_no AS INT) AS kind_no, CAST(row_number() OVER (ORDER BY rn) - 1 AS INT) AS n, line FROM f WHERE took"""
+
+
+@query(_memory_sql(6000))
 def memory_context(spark: SparkSession, d: str) -> DataFrame:
     return analyses.memory_lines(store(spark, d), QUESTION)
 
 
+@query(_memory_sql(700))
+def memory_context_short(spark: SparkSession, d: str) -> DataFrame:
+    """With a budget that ends every type before its last entry."""
+    return analyses.memory_lines(store(spark, d), QUESTION, limit=700)
+
+
 @query(f"""WITH {MEET} SELECT meeting_id, '- [' || meeting_id || '] ' || date || ' ' || title || CASE WHEN digest <> '' THEN ': ' || digest ELSE '' END AS line FROM m""")
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
     return analyses.index_lines(meetings(spark, d))
