@@ -8,7 +8,8 @@
    words become many; those of words with a common beginning are cut finer by more letters.
 3. Nodes of which two words (of a weak reading, its word and initial) are neighbours, short forms or abbreviations of
    one another are compared part by part in every order, and all slips together stay within the bound. The join is on
-   both words, so a common one makes no more pairs than are alike in the other, and none is left out.
+   the two words of a node that meet fewest others: as a node alike has all its words, none is missed, and what many
+   have (a trade, a place) makes no pairs.
 4. Entries are joined along their nodes and these links. An initial, or a firm's word without its trade, counts only
    if all that it fits is one person or firm; a given name, a title or a set of initials alone counts for nothing.
 """
@@ -400,6 +401,28 @@ def readings(entries: DataFrame) -> DataFrame:
     return one.mapInPandas(read, "entity_id string, entity_type string, kind string, key string, parts array<string>")
 
 
+def side(nodes: DataFrame, c: str) -> DataFrame:
+    """Nodes as the one or the other side of a pair."""
+    return nodes.select(F.col("key").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("parts").alias(f"parts_{c}"), "entity_type", *[x for x in ("n", "x", "y", "letter") if x in nodes.columns])
+
+
+def full_pairs(full: DataFrame, related: DataFrame) -> DataFrame:
+    """Pairs of full names to be compared; ``full`` has a row for each word (i, x) of a node.
+
+    The two words of a node that meet fewest others meet two of the other, which has all of its words if it is alike.
+    """
+    held_by = full.where("n > 2").groupBy("entity_type", F.col("x").alias("other")).agg(F.count("*").alias("f"))
+    met_by = related.join(held_by, ["entity_type", "other"]).groupBy("entity_type", F.col("word").alias("x")).agg(F.sum("f").alias("f"))
+    fewest = F.slice(F.array_sort(F.collect_list(F.struct("f", "i", "x"))), 1, 2)
+    rare = full.where("n > 2").join(met_by, ["entity_type", "x"]).groupBy("entity_type", "key").agg(fewest.alias("r"))
+    chosen = full.where("i = 0").drop("i", "x").join(rare, ["entity_type", "key"], "left")
+    chosen = chosen.withColumn("x", F.coalesce(F.get("r", F.lit(0))["x"], F.get("parts", F.lit(0)))).withColumn("y", F.coalesce(F.get("r", F.lit(1))["x"], F.get("parts", F.lit(1))))
+    met = related.select("entity_type", F.col("word").alias("x"), F.col("other").alias("x_b"))
+    met = side(chosen, "a").join(met, ["entity_type", "x"]).join(met.toDF("entity_type", "y", "y_b"), ["entity_type", "y"]).drop("x", "y")
+    other = full.select("*", F.posexplode("parts").alias("j", "y")).where("i != j")
+    return met.join(side(other, "b").withColumnsRenamed({"x": "x_b", "y": "y_b"}), ["entity_type", "n", "x_b", "y_b"]).where("a < b")
+
+
 def groups(entries: DataFrame) -> DataFrame:
     """entity_id, entity_type, cluster_id of every person and project entry; cluster_id is the least id of the group.
 
@@ -415,13 +438,8 @@ def groups(entries: DataFrame) -> DataFrame:
     near = words.join(trie_join(words.select("word").distinct()), "word").select("entity_type", "word", "other", "slips")
     same = words.select("entity_type", "word", F.col("word").alias("other"), F.lit(0).alias("slips"))
     related = runtime.stored(near.unionByName(same).unionByName(short_join(words).withColumn("slips", F.lit(0))), "p1-near")
-    # full names: two words of one meet two of the other
     full = nodes.where("kind = 'full'").select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "x"))
-    two = full.select("*", F.posexplode("parts").alias("j", "y"))
-    side = lambda df, c: df.select(F.col("key").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("parts").alias(f"parts_{c}"), "entity_type", *[x for x in ("n", "x", "y", "letter") if x in df.columns])
-    met = related.select("entity_type", F.col("word").alias("x"), F.col("other").alias("x_b"))
-    met = side(two.where("i < j"), "a").join(met, ["entity_type", "x"]).join(met.toDF("entity_type", "y", "y_b"), ["entity_type", "y"]).drop("x", "y")
-    strong = met.join(side(two.where("i != j"), "b").withColumnsRenamed({"x": "x_b", "y": "y_b"}), ["entity_type", "n", "x_b", "y_b"]).where("a < b")
+    strong = full_pairs(full, related)
     # weak readings: a word and an initial, or a word alone
     letters = F.pandas_udf(lambda t, k, p, i: pd.Series([_letters(*x) for x in zip(t, k, p, i, strict=True)]), "array<string>")
     weak = nodes.where("kind != 'full'").select("*", F.lit(0).alias("i"), F.col("parts")[0].alias("x"))

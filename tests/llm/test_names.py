@@ -1,6 +1,7 @@
 """Problem 1."""
 
 import random
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -60,6 +61,21 @@ def test_common_words_link(spark):
     assert [n - 4, n - 3, n - 2, n - 1] in groups and [n + len(firms) - 2, n + len(firms) - 1] in groups
 
 
+def test_words_many_firms_have_make_no_pairs(spark):
+    names = ["".join(w) for w in product("bdfgklmnprstvz", "aeiou", "bdfgklmnprstvz", "aeiou")][::3]  # words of four letters allow no slips
+    n = len(names)
+    firms = [("project", f"{x} Logistics Berlin", []) for x in names] + [("project", f"Berlin Logistcs {names[7]}", []), ("project", f"{names[9]} Logistics Hamburg", [])]
+    df = spark.createDataFrame([(f"e{i:05}", t, x, a, None, "", "") for i, (t, x, a) in enumerate(firms)], SCHEMA)
+    pairs, made = N.full_pairs, []
+    N.full_pairs = lambda *x: made.append(pairs(*x)) or made[-1]
+    try:
+        got = {r.entity_id: r.cluster_id for r in N.groups(df).collect()}
+    finally:
+        N.full_pairs = pairs
+    assert got[f"e{n:05}"] == got["e00007"] == "e00007" and got[f"e{n + 1:05}"] == f"e{n + 1:05}" and len(set(got.values())) == n + 1
+    assert n > 1400 and made[0].count() < 3 * n
+
+
 def test_slips_of_spellings_many_have(spark):
     got = clusters(spark, *[("person", x, []) for x in ("Hubert Orvolkeshaw", "Hubert Orvolkeshaw", "Hubertt Orvolkehsaw", "Hubertt Orvolkehsaw")], *[("project", x, []) for x in ("Zephyr Orbit Coastal Logistics", "Zephyr Orbit Coastal Logistcs", "Zephyr Orbit Coastal Insurance")])
     assert got == [[0, 1, 2, 3], [4, 5], [6]]
