@@ -125,3 +125,20 @@ def test_copies_cost_nothing_twice(spark):
     many = spark.range(300).select(F.format_string("e%03d", "id").alias("entity_id"), F.lit("person").alias("entity_type"), F.lit("Ann Horlund").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("timestamp").alias("updated"))
     g = N.groups(many)
     assert g.select("cluster_id").distinct().count() == 1 and N.pairs(g).count() == 300 * 299 // 2
+
+
+def test_no_side_of_a_join_is_sent_to_the_driver(spark, monkeypatch):
+    plans = []
+    for name in ("cut", "stored"):
+        def spied(df, *args, made=getattr(N.runtime, name)):
+            out = made(df, *args)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        monkeypatch.setattr(N.runtime, name, spied)
+    entries = [("a", "Ann Horlund"), ("b", "Ann Horlumd"), ("c", "A. Horlund"), ("d", "Bea Quist")]
+    df = spark.createDataFrame([(i, "person", n, [], None) for i, n in entries], "entity_id string, entity_type string, name string, aliases array<string>, updated timestamp")
+    found = N.pairs(N.groups(df))
+    assert rows(found) == [("a", "b"), ("a", "c"), ("b", "c")]
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
